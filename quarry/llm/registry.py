@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import bpe, embeddings, jaccard, language, license, lines, mixing, tiff, toxicity
+from quarry.llm import bpe, embeddings, jaccard, language, license, lines, mixing, repeats, tiff, toxicity
 from quarry.llm.common import table
 
 
@@ -14,6 +14,10 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_jaccard, op3_tiff, op4_toxicity, op5_language, op6_mixing, op7_license, op8_embeddings, op9_bpe, op10_lines)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_jaccard, op3_tiff, op4_toxicity, op5_language, op6_mixing, op7_license, op8_embeddings, op9_bpe, op10_lines)}
 ORACLE_SQL: dict[str, str] = {}
