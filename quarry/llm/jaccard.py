@@ -1,6 +1,6 @@
 """Operator 2: exact n-gram Jaccard join with set-relation skipping.
 
-Documents become sets of word shingles; equal sets are one class. Shingles are ordered by document frequency (frequent ones last, the rest by hash), and only a set's prefix is indexed, so that sets that link share an indexed shingle. Index lists are ordered by set size and position: blocks whose sizes or positions can't reach the threshold are skipped. Answers are derived from similar sets' answers: a set is compared with its neighbours in its lists first, and sets that are already known to be connected are never compared again; what is left, pairs across components, is counted over the whole prefix, bounded, and verified exactly.
+Documents become sets of word shingles; equal sets are one class. Shingles are ordered by document frequency (frequent ones last, the rest by hash), and only a set's prefix is indexed, so that sets that link share an indexed shingle. Index lists are ordered by set size and position: blocks whose sizes or positions can't reach the threshold are skipped. Answers are derived from similar sets' answers: sets that share enough of a list's hub, the set with the fewest shingles of its own, are compared as a group by their differences; sets that are known to be connected, or were compared as a group, are not visited again. What is left, pairs across groups and components, is counted over the whole prefix, bounded, and verified exactly.
 """
 
 from __future__ import annotations
@@ -11,20 +11,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quarry.llm.common import by_row, components, cut, shuffle_partitions
+from quarry.llm.common import by_row, components, cut, packed_texts, shuffle_partitions, unpacked
 from quarry.llm.words import shingles, word_hashes
 
 #: Distinct frequent shingles are at most so many: a shingle is frequent if its count is above the count of all shingles divided by this.
 FREQUENT = 1 << 20
 #: Shingles counted in a task's memory before they are sent on.
 HELD = 4_000_000
-#: Comparison rounds with list neighbours before the remaining pairs are enumerated.
-ROUNDS = 2
-
-
-def least_overlap(n: np.ndarray, threshold: tuple[int, int]):
-    """Shingles of a set of n that any set it links with must share."""
-    return -(-n * threshold[0] // threshold[1])
+#: Sets of one side of a block comparison.
+BLOCK = 1024
 
 
 def prefix_size(n: int, threshold: tuple[int, int]) -> int:
@@ -143,11 +138,6 @@ def sets(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: tup
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, sid long, prefix array<long>")
 
 
-def fits(a: str, b: str, threshold: tuple[int, int]):
-    """Whether two set sizes can link."""
-    return F.least(a, b) * threshold[1] >= F.greatest(a, b) * threshold[0]
-
-
 def bound(a: str, b: str, shared: str, threshold: tuple[int, int]):
     """Whether sets of sizes a and b that share so many shingles of their whole prefixes can link: beyond its prefix a set has only ceil(t n) - 1 more."""
     p, q = threshold
@@ -155,13 +145,23 @@ def bound(a: str, b: str, shared: str, threshold: tuple[int, int]):
     return (F.col(shared) + most) * (p + q) >= (F.col(a) + F.col(b)) * p
 
 
+def possible(a: str, b: str, threshold: tuple[int, int]):
+    """Whether two sets can link by their sizes and the shingles, u of each, that no other set has."""
+    p, q = threshold
+    n_a, n_b, u_a, u_b = (F.col(f"{k}{x}") for k in "nu" for x in (a, b))
+    return F.least(n_a - u_a, n_b - u_b) * (p + q) >= (n_a + n_b) * p
+
+
+def linked(x: np.ndarray, y: np.ndarray, threshold: tuple[int, int]) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common * threshold[1] >= threshold[0] * (len(x) + len(y) - common)
+
+
 def verified(pairs: DataFrame, members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of classes whose sets link, by exact intersection. Rows of one pair hold two sets at most; nothing is grouped."""
 
     def check(a, b, x, y):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        return a, b, common * threshold[1] >= threshold[0] * (len(x) + len(y) - common)
+        return a, b, linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold)
 
     left = members.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))
     right = members.select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
@@ -169,37 +169,93 @@ def verified(pairs: DataFrame, members: DataFrame, threshold: tuple[int, int]) -
     return both.mapInArrow(by_row({"a": pa.int64(), "b": pa.int64(), "ok": pa.bool_()}, check), "a long, b long, ok boolean").where("ok").select("a", "b")
 
 
+def compare(pdf, threshold: tuple[int, int]):
+    """Edges that span the linked sets of two blocks of one hub's group. Sets are differences from the first: shared shingles of all cost nothing, overlaps follow from the rest as matrix products."""
+    import pandas as pd
+
+    p, q = threshold
+    pdf = pdf.sort_values(["block", "sid"], ignore_index=True)
+    sids, blocks = pdf["sid"].to_numpy(), pdf["block"].to_numpy()
+    tokens = [np.frombuffer(t, np.uint64) for t in pdf["tokens"]]
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    ids, column, counts = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    of = np.repeat(np.arange(len(tokens)), sizes)
+    everywhere = counts == len(tokens)
+    useful = (counts > 1) & ~everywhere
+    place = np.cumsum(useful) - 1
+    keep = useful[column]
+    of, column = of[keep], place[column[keep]]
+    width, base = int(useful.sum()), int(everywhere.sum())
+    first, last = int(pdf["first"][0]), int(pdf["last"][0])
+    left = np.flatnonzero(blocks == first)
+    right = left if first == last else np.flatnonzero(blocks == last)
+    root = list(range(len(tokens)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    edges = []
+    overlap = np.full((len(left), len(right)), base, np.int64)
+    step = max(1, (1 << 24) // max(len(tokens), 1))
+    for k in range(0, width, step):  # so many shingles at a time
+        some = (column >= k) & (column < k + step)
+        x = np.zeros((len(tokens), min(step, width - k)), np.float32)
+        x[of[some], column[some] - k] = 1
+        overlap += (x[left] @ x[right].T).astype(np.int64)
+    close = overlap * (p + q) >= (sizes[left][:, None] + sizes[right][None, :]) * p
+    for k in range(len(left)):
+        for j in right[np.flatnonzero(close[k])]:
+            a, b = find(int(left[k])), find(int(j))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                edges.append((sids[left[k]], sids[j]))
+    return pd.DataFrame({"a": np.array([e[0] for e in edges], np.int64), "b": np.array([e[1] for e in edges], np.int64)})
+
+
+def in_groups(groups: DataFrame, members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Edges that span the links inside each hub's group (hub, sid); a group of more than BLOCK sets is compared exactly, block against block."""
+    sizes = groups.groupBy("hub").agg(F.count("*").alias("rows")).where("rows > 1")
+    rows = groups.join(sizes, "hub").join(members, "sid").select("hub", "sid", "tokens", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    own = rows.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    paired = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("hub", "sid", "tokens", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("last"))
+    return paired.groupBy("hub", "first", "last").applyInPandas(lambda pdf: compare(pdf, threshold), "a long, b long")
+
+
 def enumerate_pairs(lists: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """a, b, na, nb and the shared prefix shingles of all pairs across components whose sizes and positions fit. Lists stream by in the order of size; for a set, only the block of earlier sets of its size range is visited, and entries of its own component are skipped."""
+    """a, b, na, nb and the shared prefix shingles of all pairs across components and groups whose sizes and positions fit. Lists (tok, n, sid, component, hub, pos, u) stream by in the order of size: for a set, only the block of earlier sets of its size range is visited."""
     p, q = threshold
 
     def run(batches):
         token, held, found = None, [], {}
 
         def flush():
-            rows = [(a, b, na, nb, c) for (a, b, na, nb), c in found.items()]
+            rows = [(*key, c) for key, c in found.items()]
             found.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*rows, strict=True)], ["a", "b", "na", "nb", "c"])
 
         for batch in batches:
-            for tok, n, sid, comp, pos in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for tok, n, sid, comp, hub, pos, u in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 if tok != token:
                     token, held, start = tok, [], 0
                 while start < len(held) and held[start][0] * q < n * p:
                     start += 1
-                need = -(-n * p // q)
-                for other in held[start:]:
-                    # the sets share at most what follows either position, and this shingle, and what precedes both
-                    if other[2] != comp and min(pos, other[3]) + 1 + min(n - pos, other[0] - other[3]) - 1 >= need:
-                        key = (min(sid, other[1]), max(sid, other[1]), other[0] if other[1] < sid else n, n if other[1] < sid else other[0])
+                for m, other, comp2, hub2, pos2, u2 in held[start:] if start else held:
+                    if comp2 == comp or hub2 == hub:
+                        continue
+                    # they share at most what precedes both positions, what follows both, this shingle, and nothing that only one set has
+                    if min(min(pos, pos2) + min(n - pos, m - pos2), n - u, m - u2) * (p + q) >= (n + m) * p:
+                        key = (sid, other, n, m) if sid < other else (other, sid, m, n)
                         found[key] = found.get(key, 0) + 1
-                held.append((n, sid, comp, pos))
+                held.append((n, sid, comp, hub, pos, u))
                 if len(found) >= 200_000:
                     yield flush()
         if found:
             yield flush()
 
-    dealt = lists.select("tok", "n", "sid", "component", "pos").repartition(shuffle_partitions(lists), "tok").sortWithinPartitions("tok", "n", "sid")
+    dealt = lists.select("tok", "n", "sid", "component", "hub", "pos", "u").repartition(shuffle_partitions(lists), "tok").sortWithinPartitions("tok", "n", "sid")
     return dealt.mapInArrow(run, "a long, b long, na long, nb long, c long").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
 
 
@@ -211,60 +267,43 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     frequent = frequencies(docs, text_col, words)
     rows = cut(sets(docs, id_col, text_col, words, threshold, frequent))
     base = rows.where("sid is not null")
+    reps = base.groupBy("sid", "n").agg(F.min("id").alias("rep"))
     classes = base.where("prefix is not null").select("sid", "n", F.posexplode("prefix").alias("pos", "tok")).distinct()
     # only lists with two sets matter; a frequent shingle stands in a prefix only where hardly anything else does
     by_token = Window.partitionBy("tok")
-    ordered = by_token.orderBy("n", "sid")
-    listed = classes.withColumn("low", F.min("sid").over(by_token)).withColumn("high", F.max("sid").over(by_token)).where("low <> high").drop("low", "high")
-    lists = cut(listed)
-    members, joined, linked = None, None, None
-    reps = base.groupBy("sid", "n").agg(F.min("id").alias("rep"))
-
-    def neighbours(lists: DataFrame) -> DataFrame:
-        """Pairs of a set and the first of its list, and the one before it, across components."""
-        lead, lag = F.first(F.struct("sid", "n", "component")).over(ordered), F.lag(F.struct("sid", "n", "component")).over(ordered)
-        both = lists.withColumn("lead", lead).withColumn("lag", lag)
-        rows = both.select("sid", "n", "component", F.explode(F.array_distinct(F.array("lead", "lag"))).alias("o")).where("o is not null and o.sid <> sid and o.component <> component").select(F.least("sid", "o.sid").alias("a"), F.greatest("sid", "o.sid").alias("b"), F.when(F.col("sid") < F.col("o.sid"), F.col("n")).otherwise(F.col("o.n")).alias("na"), F.when(F.col("sid") < F.col("o.sid"), F.col("o.n")).otherwise(F.col("n")).alias("nb"))
-        return rows.where(fits("na", "nb", threshold)).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-
-    def fetch(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
-        """The sets of all classes in the pairs, made again from their first document's text."""
-        wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-        if known is not None:
-            wanted = wanted.join(known.select("sid"), "sid", "left_anti")
-        texts = wanted.join(reps, "sid").select("sid", F.col("rep").alias("_rep"))
-        own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-        both = own.join(texts.hint("shuffle_hash"), own["_id"] == texts["_rep"]).select("sid", "_text")
-
-        def tokens(sid, text):
-            found = set_of(text, words)
-            return sid, found.tobytes() if identity(found) == sid else None
+    shared = cut(classes.withColumn("low", F.min("sid").over(by_token)).withColumn("high", F.max("sid").over(by_token)).where("low <> high").drop("low", "high"))
+    p, q = threshold
+    in_lists = shared.groupBy("sid", "n").agg(F.count("*").alias("k")).select(F.col("sid").alias("_sid"), (F.col("n") - F.ceil(F.col("n") * p / q) + 1 - F.col("k")).alias("u"))
+    lists = cut(shared.join(in_lists, shared["sid"] == F.col("_sid")).where((F.col("n") - F.col("u")) * q >= F.col("n") * p).drop("_sid"))
+    # the hub of a list is its set with the fewest shingles of its own, so the one most like the others
+    hub = F.first(F.struct("sid", "n", "u")).over(by_token.orderBy("u", "n", "sid"))
+    pairs = lists.withColumn("h", hub).where("h.sid <> sid").select(F.col("h.sid").alias("hub"), F.col("h.n").alias("na"), F.col("h.u").alias("ua"), "sid", F.col("n").alias("nb"), F.col("u").alias("ub")).where(possible("a", "b", threshold))
+    counted = pairs.groupBy("sid", "hub", "na", "nb").agg(F.count("*").alias("c")).where(bound("na", "nb", "c", threshold))
+    near = counted.groupBy("sid").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
+    # a hub may have a hub itself; sets that hang together so are one group
+    groups = cut(components(near.select(F.col("sid").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("sid"), F.col("component").alias("hub")).distinct())
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        """sid and tokens of the wanted classes, made again from their first document's text."""
+        texts = wanted.distinct().join(reps, "sid").select("sid", F.col("rep").alias("_rep"))
+        both = packed_texts(docs, id_col, text_col).join(texts.hint("shuffle_hash"), F.col("id") == F.col("_rep")).select("sid", "packed")
+
+        def tokens(sid, packed):
+            found = set_of(unpacked(packed), words)
+            return sid, found.tobytes() if len(found) and identity(found) == sid else None
 
         made = both.mapInArrow(by_row({"sid": pa.int64(), "tokens": pa.binary()}, tokens), "sid long, tokens binary").where("tokens is not null")
-        made = cut(made)
-        return made if known is None else known.union(made)
-
-    def labelled(lists: DataFrame, joined: DataFrame | None) -> DataFrame:
-        plain = lists.select("tok", "n", "sid", "pos")
-        if joined is None:
-            return plain.withColumn("component", F.col("sid"))
-        return plain.join(joined.withColumnRenamed("node", "sid"), "sid", "left").select("tok", "n", "sid", "pos", F.coalesce("component", "sid").alias("component"))
-
-    for step in range(ROUNDS + 1):
-        if step < ROUNDS:
-            pairs = neighbours(labelled(lists, joined))
-        else:
-            pairs = enumerate_pairs(labelled(lists, joined), threshold)
-        pairs = cut(pairs.where(bound("na", "nb", "c", threshold)).select("a", "b"))
-        if pairs.isEmpty():
-            continue
-        members = fetch(pairs, members)
-        new = verified(pairs, members, threshold)
-        linked = cut(new if linked is None else linked.union(new))
-        joined = components(linked)
-    of_class = reps if joined is None else reps.join(joined.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "n", "rep", F.coalesce("component", "sid").alias("component"))
-    if joined is None:
-        of_class = reps.withColumn("component", F.col("sid"))
+        return made.groupBy("sid").agg(F.first("tokens").alias("tokens"))
+
+    edges = cut(in_groups(groups, fetch(groups.select("sid")), threshold))
+    joined = components(edges)
+    known = lists.join(joined.withColumnRenamed("node", "sid"), "sid", "left").join(groups, "sid", "left").select("tok", "n", "sid", "pos", "u", F.coalesce("component", "sid").alias("component"), F.coalesce("hub", "sid").alias("hub"))
+    rest = cut(enumerate_pairs(known, threshold).where(bound("na", "nb", "c", threshold)).select("a", "b"))
+    if not rest.isEmpty():
+        more = cut(verified(rest, fetch(rest.select(F.col("a").alias("sid")).union(rest.select("b"))), threshold))
+        if not more.isEmpty():
+            joined = components(edges.union(more))
+    of_class = reps.join(joined.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "n", "rep", F.coalesce("component", "sid").alias("component"))
     smallest = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
     answer = of_class.join(smallest, "component").select("sid", "n", "component_id")
     return rows.select("id", "n", "sid").join(answer, ["sid", "n"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
