@@ -83,11 +83,17 @@ def pack(first, mark, more, anchor):
 
 
 def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc (a null id counts as the smallest number), mark (16 bits of the text's hash, to tell apart rows of one id) and text."""
+    """doc (a null id counts as the smallest number), mark (16 bits of the text's hash, to tell apart rows of one id) and text, a null as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOW)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(65536)).cast("int").alias("mark"), text.alias("text"))
 
 
+def deflated(batches):
+    for batch in batches:
+        packed = [zlib.compress(t.encode("utf-8", "surrogatepass"), 4) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc", "mark", "packed"])
+
+
 def places(rows: DataFrame) -> DataFrame:
     """gram, doc, place of every range of windows."""
 
@@ -121,10 +127,11 @@ class Run:
             last = text
         n = len(entries)
         parts = [np.array(shared, "<u2"), np.array([len(r) for r in rest], "<u2"), np.array([o for _, o, _ in entries], np.uint8), np.array([p[0] for _, _, p in entries], "<i8"), np.array([p[1] for _, _, p in entries], "<u2"), np.array([p[2] for _, _, p in entries], "<u4")]
-        return n.to_bytes(4, "little") + b"".join(p.tobytes() for p in parts) + b"".join(rest)
+        return zlib.compress(n.to_bytes(4, "little") + b"".join(p.tobytes() for p in parts) + b"".join(rest), 4)
 
     @staticmethod
     def decoded(block: bytes) -> Iterator[tuple[int, bytes, int, tuple[int, int, int]]]:
+        block = zlib.decompress(block)
         n, at, columns = int.from_bytes(block[:4], "little"), 4, []
         for kind in ("<u2", "<u2", np.uint8, "<i8", "<u2", "<u4"):
             column = np.frombuffer(block, kind, n, at)
@@ -213,7 +220,7 @@ def sorted_runs(buckets: int):
 
         for batch in batches:
             for r in range(batch.num_rows):
-                doc, mark, raw = batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), batch.column(2)[r].as_py().encode("utf-8", "surrogatepass")
+                doc, mark, raw = batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), zlib.decompress(batch.column(2)[r].as_py())
                 own = batch.column(3)[r].values
                 for packed, gram in zip(own.field(0).to_numpy().tolist(), own.field(1).to_numpy().tolist(), strict=True):
                     first, of, more, anchor = packed >> 31, packed >> 15 & 65535, packed >> 8 & 127, packed >> 1 & 127
@@ -336,22 +343,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = rows_of(docs, id_col, text_col)
     every = places(rows)
+    sent = rows.mapInArrow(deflated, "doc long not null, mark int, packed binary")
     often = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    shared = every.join(often, "gram").select("doc", "gram", (F.col("place") + (F.col("n") > FREQUENT).cast("long")).alias("place"))
+    shared = every.join(often, "gram").select("doc", "gram", (F.col("place") + (F.col("n") > FREQUENT).cast("long")).alias("place")).repartition(shuffle_partitions(docs), "doc")
     by_doc = shared.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("place", "gram")).alias("places"))
-    with_text = rows.join(by_doc.hint("shuffle_hash"), rows["doc"] == by_doc["_doc"]).select("doc", "mark", "text", "places")
-    buckets = 8 * shuffle_partitions(docs)
+    with_text = sent.join(by_doc.hint("shuffle_hash"), sent["doc"] == by_doc["_doc"]).select("doc", "mark", "packed", "places")
+    buckets = 2 * shuffle_partitions(docs)
     runs = with_text.mapInArrow(sorted_runs(buckets), "bucket int, block binary, found binary")
     repeats = runs.groupBy("bucket").applyInArrow(merged_group, "doc long, mark int, first long, more long")
     found = repeats.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("mark", "first", "more")).alias("found"))
-    joined = rows.join(found.hint("shuffle_hash"), rows["doc"] == found["_doc"], "left").select("doc", "mark", "text", "found")
+    joined = sent.join(found.hint("shuffle_hash"), sent["doc"] == found["_doc"], "left").select("doc", "mark", "packed", "found")
     columns = {id_col: pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept": pa.binary()} if keep_text else {})
 
     def run(batches):
         for batch in batches:
             out = []
             for r in range(batch.num_rows):
-                doc, raw = batch.column(0)[r].as_py(), batch.column(2)[r].as_py().encode("utf-8", "surrogatepass")
+                doc, raw = batch.column(0)[r].as_py(), zlib.decompress(batch.column(2)[r].as_py())
                 removed, spans, kept = 0, 0, raw
                 if batch.column(3)[r].is_valid:
                     own = batch.column(3)[r].values
