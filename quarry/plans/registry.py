@@ -1,6 +1,227 @@
-"""Queries and their SQL, by name."""
+"""Queries and their SQL, by name. Where the tables hold no files, names, sizes and pages are made from keys."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from quarry.functions import scalars as S
+from quarry.operators import relational as R
+from quarry.session import table
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY strlen(text), sha256(text)) AS keep_id, CAST(strlen(text) AS BIGINT) AS bytes, doc_id <> min(doc_id) OVER (PARTITION BY strlen(text), sha256(text)) AS is_alias FROM documents WHERE strlen(text) >= 512")
+def merge_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return R.merge_duplicates(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def sha256_digest(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query()
+def crc32_digest(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.crc32("text").alias("crc32"))
+
+
+HEADS = ("FFD8FFE0", "89504E470D0A1A0A", "52494646000000005745425020", "47494638", "5249464600000000574156452020", "4F676753", "664C6143", "494433", "000000206674797061766966", "000000206674797069736F6D", "1A45DFA3", "255044462D", "504B0304", "")
+
+
+@query("""SELECT doc_id, CASE doc_id % 14 WHEN 4 THEN 'audio' WHEN 5 THEN 'audio' WHEN 6 THEN 'audio' WHEN 7 THEN 'audio' WHEN 9 THEN 'video' WHEN 10 THEN 'video' WHEN 11 THEN 'pdf' WHEN 12 THEN 'zip' WHEN 13 THEN 'other' ELSE 'image' END AS kind,
+CASE doc_id % 14 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' WHEN 2 THEN 'webp' WHEN 3 THEN 'gif' WHEN 4 THEN 'wav' WHEN 5 THEN 'ogg' WHEN 6 THEN 'flac' WHEN 7 THEN 'mp3' WHEN 8 THEN 'avif' WHEN 9 THEN 'mp4' WHEN 10 THEN 'mkv' WHEN 11 THEN 'pdf' WHEN 12 THEN 'zip' ELSE '' END AS format FROM documents""")
+def sniff_kind(spark, d):
+    head = F.unhex(F.element_at(F.array(*map(F.lit, HEADS)), (F.col("doc_id") % 14 + 1).cast("int")))
+    kind, fmt = S.sniff("content")
+    return table(spark, d, "documents").select("doc_id", F.concat(head, F.encode("text", "UTF-8")).alias("content")).select("doc_id", kind.alias("kind"), fmt.alias("format"))
+
+
+EXTENSIONS = ("jpg", "PDF", "pptx", "ods", "docm", "mkv", "opus", "zip", "txt", "tar.gz")
+NAME_SQL = "'f' || p_partkey || CASE p_partkey % 10 " + " ".join(f"WHEN {k} THEN '.{e}'" for k, e in enumerate(EXTENSIONS)) + " END"
+
+
+def part_names(spark, d):
+    ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("p_partkey") % 10 + 1).cast("int"))
+    return table(spark, d, "part").withColumn("name", F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.lit("."), ext))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN 'image' WHEN 1 THEN 'pdf' WHEN 2 THEN 'presentation' WHEN 3 THEN 'spreadsheet' WHEN 4 THEN 'document' WHEN 5 THEN 'video' WHEN 6 THEN 'audio' WHEN 7 THEN 'archive' ELSE 'other' END AS category FROM part")
+def category_of(spark, d):
+    return part_names(spark, d).select("p_partkey", S.category(F.col("name")).alias("category"))
+
+
+@query(r"SELECT page_id, left(CASE WHEN s = '' THEN 'file' ELSE s END, 200) AS safe FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace('..' || url || chr(9) || ' ', '[\x00-\x1F\x7F]', '', 'g'), '[\\/:*?\"<>|]', '_', 'g'), '^[.\s]+', ''), '\s+$', '') AS s FROM pages)")
+def safe_name(spark, d):
+    return table(spark, d, "pages").select("page_id", S.safe_name(F.concat(F.lit(".."), F.col("url"), F.lit("\t "))).alias("safe"))
+
+
+@query("SELECT p_partkey, p_partkey % 7 < 4 AS unsafe FROM part")
+def unsafe_name(spark, d):
+    made = F.element_at(F.array(*map(F.lit, ("/abs", "a/../b", "x/NUL.txt", "dir /f", "a/b.txt", "plain", "folder/"))), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", S.unsafe_name(made).alias("unsafe"))
+
+
+@query("SELECT p_partkey, count(*) OVER (PARTITION BY p_size, lower(p_name)) > 1 AS twin FROM part")
+def name_twins(spark, d):
+    odd = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    return R.twins(table(spark, d, "part").select("p_partkey", "p_size", odd.alias("name")), "p_size", "name").select("p_partkey", "twin")
+
+
+@query("SELECT o_orderkey, (a, b, c) > (b, a, c) AS is_newer FROM (SELECT o_orderkey, CAST(o_orderkey % 5 AS INT) a, CAST(o_orderkey % 13 AS INT) b, CAST(o_orderkey % 3 AS INT) c FROM orders)")
+def version_newer(spark, d):
+    k = F.col("o_orderkey")
+    dots = lambda *m: F.concat_ws(".", *((k % x).cast("string") for x in m))
+    return table(spark, d, "orders").select("o_orderkey", S.newer(dots(5, 13, 3), dots(13, 5, 3)).alias("is_newer"))
+
+
+@query("SELECT p_partkey, 'compress' AS task, CAST(CASE p_partkey % 4 WHEN 0 THEN p_size * 100.0 * 200 * 16 + 2 * n WHEN 1 THEN n * 4.0 WHEN 2 THEN least(n, 134217728.0) * 3 ELSE n * 2.0 END AS DOUBLE) AS cost FROM (SELECT p_partkey, p_size, CAST(p_partkey AS DOUBLE) * 100000 AS n FROM part)")
+def memory_cost(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, ("image", "pdf", "zip", "other"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", F.lit("compress").alias("task"), S.memory_cost(F.lit("compress"), kind, F.col("p_partkey") * 100000.0, F.col("p_size") * 100, F.lit(200)).alias("cost"))
+
+
+@query("SELECT doc_id, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 100000 THEN CAST(CAST(floor(n / 1000.0 * 10 + 0.5) / 10 AS DECIMAL(10,1)) AS VARCHAR) || ' kB' WHEN n < 1000000 THEN CAST(CAST(floor(n / 1000.0 + 0.5) AS BIGINT) AS VARCHAR) || ' kB' ELSE CAST(CAST(floor(n / 1000000.0 * 10 + 0.5) / 10 AS DECIMAL(10,1)) AS VARCHAR) || ' MB' END AS shown FROM (SELECT doc_id, n_chars AS n FROM documents)")
+def size_format(spark, d):
+    return table(spark, d, "documents").select("doc_id", S.human_bytes(F.col("n_chars")).alias("shown"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity * 1000 * (1 - l_discount) <= l_quantity * 1000 * 0.99 THEN 'optimized' ELSE 'already-optimal' END AS outcome FROM lineitem")
+def keep_if_smaller(spark, d):
+    size = F.col("l_quantity") * 1000
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(size * (1 - F.col("l_discount")) <= size * 0.99, "optimized").otherwise("already-optimal").alias("outcome"))
+
+
+@query("SELECT doc_id, source, n_chars, CAST(coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM documents")
+def running_offset(spark, d):
+    return R.running_offset(table(spark, d, "documents").select("doc_id", "source", "n_chars"), "source", "doc_id", "n_chars")
+
+
+@query("""WITH f AS (SELECT doc_id, lang, CAST(n_chars AS DOUBLE) AS cost, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place, sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id) AS total FROM documents),
+s AS (SELECT lang, min(place) AS stop FROM f WHERE place > 1 AND total > 5000 GROUP BY lang) SELECT doc_id, f.lang, CAST(place AS INT) AS place FROM f LEFT JOIN s ON f.lang = s.lang WHERE place <= 4 AND (stop IS NULL OR place < stop)""")
+def admission_step(spark, d):
+    return R.admission(table(spark, d, "documents").select("doc_id", "lang", F.col("n_chars").cast("double").alias("cost")), "lang", "doc_id", "cost", 4, 5000.0).select("doc_id", "lang", "place")
+
+
+@query("SELECT conv_id, turn, CAST(turn // 2 + 1 AS INT) AS part, lpad(CAST(turn // 2 + 1 AS VARCHAR), CAST(greatest(2, length(CAST(max(turn) OVER (PARTITION BY conv_id) // 2 + 1 AS VARCHAR))) AS INT), '0') AS suffix FROM conversations")
+def split_pages(spark, d):
+    return R.split_pages(table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn", 2)
+
+
+@query("SELECT conv_id, CAST(m.n - turn AS BIGINT) AS pos, turn AS index, CAST((((turn * 90 + 360) % 360)) AS INT) AS rotate, role FROM conversations JOIN (SELECT conv_id AS c, max(turn) AS n FROM conversations GROUP BY conv_id) m ON conv_id = c")
+def organise_pages(spark, d):
+    pages = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    last = pages.groupBy(F.col("conv_id").alias("c")).agg(F.max("turn").alias("n"))
+    spec = pages.join(last, F.col("conv_id") == F.col("c")).select("conv_id", (F.col("n") - F.col("turn")).alias("pos"), F.col("turn").alias("index"), S.quarter_turn(F.col("turn") * 90 + 360).alias("rotate"))
+    return R.organise(pages, spec, "conv_id", "turn")
+
+
+@query("SELECT p_partkey, round(w * least(0.75, 14400 / greatest(w, h)), 6) AS width, round(h * least(0.75, 14400 / greatest(w, h)), 6) AS height, CAST(greatest(1, floor(w * least(1, 1000 / greatest(w, h)) + 0.5)) AS BIGINT) AS small FROM (SELECT p_partkey, p_size * 500.0 AS w, p_retailprice AS h FROM part)")
+def page_size(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 500.0).alias("w"), F.col("p_retailprice").alias("h"))
+    most = F.greatest("w", "h")
+    scale = F.least(F.lit(0.75), 14400 / most)
+    return rows.select("p_partkey", F.round(F.col("w") * scale, 6).alias("width"), F.round(F.col("h") * scale, 6).alias("height"), F.greatest(F.lit(1), S.half_up(F.col("w") * F.least(F.lit(1.0), 1000 / most))).cast("long").alias("small"))
+
+
+@query("SELECT vec_id, round(min(v), 5) AS lowest, round(max(v), 5) AS highest, round((avg(v) - min(v)) / (max(v) - min(v)), 5) AS coverage FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY vec_id")
+def mask_normalise(spark, d):
+    found = R.normalise(R.pixels(table(spark, d, "embeddings"), "vec_id", "embedding", 8), "vec_id")
+    return found.select("vec_id", *(F.round(c, 5).alias(c) for c in ("lowest", "highest", "coverage")))
+
+
+PIXELS = "p AS (SELECT vec_id, CAST((i - 1) // 8 AS INT) AS y, CAST((i - 1) % 8 AS INT) AS x, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, generate_series(1, 64) AS g(i))"
+
+
+@query(f"WITH {PIXELS}, r AS (SELECT vec_id, y, x, avg(v) OVER (PARTITION BY vec_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM p) SELECT vec_id, y, x, round(avg(v) OVER (PARTITION BY vec_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 5) + 0 AS v FROM r")
+def box_mean(spark, d):
+    return R.box_mean(R.pixels(table(spark, d, "embeddings"), "vec_id", "embedding", 8), "vec_id", 1).withColumn("v", F.round("v", 5) + 0.0)
+
+
+@query()
+def guided_filter(spark, d):
+    image = R.pixels(table(spark, d, "embeddings"), "vec_id", "embedding", 8).withColumn("guide", F.col("v") / 2 + 0.5)
+    return R.guided_filter(image, "vec_id", 2, 5e-4).withColumn("q", F.round("q", 5))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 5 = 4 THEN 'POST not permitted' WHEN page_id % 5 = 3 THEN 'query strings not permitted' WHEN page_id % 5 = 2 THEN 'not an application file' WHEN page_id % 5 = 1 THEN 'cross-origin' END AS refused FROM pages")
+def egress_policy(spark, d):
+    k = F.col("page_id") % 5
+    url = F.concat(F.when(k == 1, "https://other.example").otherwise("https://app.example"), F.lit("/a/"), F.col("page_id").cast("string"), F.when(k == 2, ".pdf").otherwise(".js"), F.when(k == 3, "?d=1").otherwise(""))
+    return table(spark, d, "pages").select("page_id", S.egress(url, F.when(k == 4, "POST").otherwise("GET"), F.lit("https://app.example")).alias("refused"))
+
+
+@query("SELECT event_type AS scope, user_id % 7 = 0 AS blocked, count(*) AS requests FROM events GROUP BY 1, 2")
+def net_log_summary(spark, d):
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("scope"), (F.col("user_id") % 7 == 0).alias("blocked")).agg(F.count("*").alias("requests"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'missing' WHEN doc_id % 10 = 1 THEN 'mismatch' END AS problem FROM documents WHERE doc_id % 10 < 2")
+def manifest_check(spark, d):
+    served = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+    manifest = served.where("doc_id % 10 <> 0").select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % 10 == 1, "0").otherwise(F.col("sha")).alias("want"))
+    return served.join(manifest, served["doc_id"] == manifest["path"], "left").select("doc_id", F.when(F.col("want").isNull(), "missing").when(F.col("want") != F.col("sha"), "mismatch").alias("problem")).where("problem is not null")
+
+
+@query("SELECT l_orderkey AS source, l_partkey AS target FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+def dangling_refs(spark, d):
+    refs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"))
+    return R.dangling(refs, table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("name")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 100 = 0 THEN 'name' ELSE 'content' END AS problem FROM documents WHERE doc_id % 50 = 0 AND doc_id % 150 <> 50")
+def verify_join(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.col("source").alias("name"), F.crc32("text").alias("crc"), F.col("n_chars").alias("size"))
+    after = docs.select("idx", F.when(F.col("idx") % 100 == 0, F.concat("name", F.lit("x"))).otherwise(F.col("name")).alias("name"), (F.col("crc") + (F.col("idx") % 50 == 0).cast("long")).alias("crc"), "size")
+    found = R.verify(docs, after, docs.where("idx % 150 = 50").select("idx"))
+    return found.where("NOT (idx % 150 = 50)").select(F.col("idx").alias("doc_id"), "problem")
+
+
+@query("WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 2 + 1) % 25 AS dst FROM nation UNION ALL SELECT n_nationkey, n_regionkey FROM nation), r AS (SELECT 7 AS node UNION SELECT CAST(dst AS INT) FROM e JOIN r ON src = node) SELECT DISTINCT CAST(node AS INT) AS node FROM r")
+def reachable(spark, d):
+    n = table(spark, d, "nation")
+    edges = n.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 2 + 1) % 25).alias("dst")).union(n.select("n_nationkey", "n_regionkey"))
+    return R.reachable(edges, n.where("n_nationkey = 7").select(F.col("n_nationkey").alias("node")))
+
+
+@query("SELECT l_orderkey, min(CAST(l_quantity AS BIGINT)) AS size, CAST(min(l_linenumber) FILTER (WHERE l_quantity = m) AS INT) AS rank FROM lineitem JOIN (SELECT l_orderkey AS k, min(l_quantity) AS m FROM lineitem GROUP BY 1) ON l_orderkey = k GROUP BY l_orderkey")
+def argmin_candidate(spark, d):
+    return R.smallest(table(spark, d, "lineitem").withColumn("q", F.col("l_quantity").cast("long")), "l_orderkey", "q", "l_linenumber")
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'convert' ELSE 'compress' END AS task, CASE event_id % 4 WHEN 1 THEN 'compact' ELSE 'lossless' END AS mode, CASE event_id % 4 WHEN 2 THEN 'webp' ELSE 'jpg' END AS \"imageTarget\", 'mp4' AS \"mediaTarget\", event_id % 4 = 1 AS \"stripMetadata\", event_id % 4 = 0 AS \"allowMacros\" FROM events")
+def settings_sanitise(spark, d):
+    texts = ('{"task":"convert","allowMacros":true}', '{"mode":"compact","allowMacros":"yes","stripMetadata":true}', '{"task":"upload","imageTarget":"webp","mediaTarget":"constructor"}', "null")
+    made = F.element_at(F.array(*map(F.lit, texts)), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", made.alias("t")).select("event_id", *S.sanitise(F.col("t")))
+
+
+@query("SELECT conv_id, CAST(turn AS INT) AS page, CASE WHEN turn <= least(1, n - 1) THEN 1 ELSE 2 END AS grp FROM conversations JOIN (SELECT conv_id AS c, count(*) AS n FROM conversations GROUP BY 1) ON conv_id = c WHERE turn < 2 OR (turn = n - 1 AND n > 2)")
+def page_ranges(spark, d):
+    n = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").cast("int").alias("n"))
+    text = F.when(F.col("n") > 2, F.concat(F.lit("1-2; "), F.col("n").cast("string"), F.lit("-"))).when(F.col("n") == 2, "1-2").otherwise("1")
+    groups = n.select("conv_id", F.posexplode(S.page_ranges(text, F.col("n"))).alias("g", "pages"))
+    return groups.select("conv_id", F.explode("pages").alias("page"), (F.col("g") + 1).alias("grp"))
+
+
+@query("SELECT doc_id, quality = 1 AND toxic = 0 AS passed FROM labels")
+def checks_pass(spark, d):
+    checks = F.array(F.struct(F.lit("quality").alias("label"), (F.col("quality") == 1).alias("ok")), F.struct(F.lit("clean").alias("label"), (F.col("toxic") == 0).alias("ok")))
+    return table(spark, d, "labels").select("doc_id", F.forall(checks, lambda c: c["ok"]).alias("passed"))
+
+
+@query("SELECT p_partkey, round((0.299 * (p_size % 256) + 0.587 * (p_partkey % 256) + 0.114 * ((p_size * 7) % 256)) / 255, 6) AS luma FROM part")
+def luma(spark, d):
+    r, g, b = F.col("p_size") % 256, F.col("p_partkey") % 256, (F.col("p_size") * 7) % 256
+    return table(spark, d, "part").select("p_partkey", F.round((0.299 * r + 0.587 * g + 0.114 * b) / 255, 6).alias("luma"))
