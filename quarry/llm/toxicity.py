@@ -41,7 +41,7 @@ class Linear:
         expected = total * pos / max(n, 1)
         strength = np.abs(with_ - expected) / np.sqrt(expected * (1 - pos / max(n, 1)) + 1)
         best = np.argsort(-strength * (total >= 4), kind="stable")[:KEPT]
-        best = np.sort(best[(total[best] >= 4) & (strength[best] >= 4)])
+        best = np.sort(best[(total[best] >= 4) & (strength[best] >= 2.9)])
         self.ids, scale = ids[best], ratio[best]
         place = np.full(len(ids), -1)
         place[best] = np.arange(len(best))
