@@ -21,7 +21,9 @@ def lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, shortest:
     """One row per line that is long enough: id, of (the text's hash), site, like (the text's smallest word hash, if asked for), at, h1, h2. A line is trimmed of spaces and tabs for its hash; a null site is a site of its own."""
     text = F.col(text_col)
     like = F.array_min(F.transform(F.split(F.translate(text, "\n\t", "  "), " "), lambda w: F.xxhash64(w))) if alike else F.lit(0).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("of"), F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit("")).alias("site"), like.alias("like"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
+    # once a document, in a projection of its own: beside the generator it would run once a line
+    whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("of"), F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit("")).alias("site"), like.alias("like"), F.split(text, "\n", -1).alias("parts"))
+    rows = whole.select("id", "of", "site", "like", F.posexplode("parts").alias("at", "line"))
     trimmed = F.trim(F.translate("line", "\t\r", "  "))
     return rows.where(F.char_length(trimmed) >= shortest).select("id", "of", "site", "like", "at", F.xxhash64(trimmed).alias("h1"), F.xxhash64(F.lit(1), trimmed).alias("h2"))
 
