@@ -20,6 +20,8 @@ FREQUENT = 1 << 20
 HELD = 4_000_000
 #: Sets of one side of a block comparison.
 BLOCK = 1024
+#: A set joins a hub's group if it shares at least this part of the prefix shingles that a link with the hub takes. Groups are compared exactly, so this decides where a pair is compared, not whether.
+NEAR = (1, 2)
 
 
 def prefix_size(n: int, threshold: tuple[int, int]) -> int:
@@ -145,6 +147,13 @@ def bound(a: str, b: str, shared: str, threshold: tuple[int, int]):
     return (F.col(shared) + most) * (p + q) >= (F.col(a) + F.col(b)) * p
 
 
+def close_to(a: str, b: str, shared: str, threshold: tuple[int, int]):
+    """Whether a set shares so many prefix shingles with a hub that sets like it may link with each other, though perhaps not with the hub."""
+    p, q = threshold
+    most = F.greatest(F.ceil(F.col(a) * p / q), F.ceil(F.col(b) * p / q)) - 1
+    return F.col(shared) * (NEAR[1] * (p + q)) >= ((F.col(a) + F.col(b)) * p - most * (p + q)) * NEAR[0]
+
+
 def possible(a: str, b: str, threshold: tuple[int, int]):
     """Whether two sets can link by their sizes and the shingles, u of each, that no other set has."""
     p, q = threshold
@@ -278,7 +287,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     # the hub of a list is its set with the fewest shingles of its own, so the one most like the others
     hub = F.first(F.struct("sid", "n", "u")).over(by_token.orderBy("u", "n", "sid"))
     pairs = lists.withColumn("h", hub).where("h.sid <> sid").select(F.col("h.sid").alias("hub"), F.col("h.n").alias("na"), F.col("h.u").alias("ua"), "sid", F.col("n").alias("nb"), F.col("u").alias("ub")).where(possible("a", "b", threshold))
-    counted = pairs.groupBy("sid", "hub", "na", "nb").agg(F.count("*").alias("c")).where(bound("na", "nb", "c", threshold))
+    counted = pairs.groupBy("sid", "hub", "na", "nb").agg(F.count("*").alias("c")).where(close_to("na", "nb", "c", threshold))
     near = counted.groupBy("sid").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
     # a hub may have a hub itself; sets that hang together so are one group
     groups = cut(components(near.select(F.col("sid").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("sid"), F.col("component").alias("hub")).distinct())
