@@ -17,7 +17,7 @@ from quarry.llm.words import shingles, word_hashes
 #: Distinct frequent shingles are at most so many: a shingle is frequent if its count is above the count of all shingles divided by this.
 FREQUENT = 1 << 20
 #: Shingles counted in a task's memory before they are sent on.
-HELD = 4_000_000
+HELD = 1_000_000
 #: Sets of one side of a block comparison.
 BLOCK = 1024
 #: A set joins a hub's group if it shares at least this part of the prefix shingles that a link with the hub takes. Groups are compared exactly, so this decides where a pair is compared, not whether.
