@@ -19,7 +19,7 @@ from quarry.llm.common import by_row
 
 #: Marks a word's end inside this module; no byte maps to it.
 END = "\0"
-WORDS_KEPT = 500_000
+WORDS_KEPT = 150_000
 
 
 def byte_letters() -> list[str]:

@@ -207,14 +207,14 @@ def compare(pdf, threshold: tuple[int, int]):
         return i
 
     edges = []
-    overlap = np.full((len(left), len(right)), base, np.int64)
-    step = max(1, (1 << 24) // max(len(tokens), 1))
+    overlap = np.full((len(left), len(right)), base, np.int32)
+    step = max(1, (1 << 22) // max(len(tokens), 1))
     for k in range(0, width, step):  # so many shingles at a time
         some = (column >= k) & (column < k + step)
         x = np.zeros((len(tokens), min(step, width - k)), np.float32)
         x[of[some], column[some] - k] = 1
-        overlap += (x[left] @ x[right].T).astype(np.int64)
-    close = overlap * (p + q) >= (sizes[left][:, None] + sizes[right][None, :]) * p
+        overlap += (x[left] @ x[right].T).astype(np.int32)
+    close = overlap.astype(np.int64) * (p + q) >= (sizes[left][:, None] + sizes[right][None, :]) * p
     for k in range(len(left)):
         for j in right[np.flatnonzero(close[k])]:
             a, b = find(int(left[k])), find(int(j))

@@ -122,7 +122,7 @@ def score(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col
 
     def run(batches):
         for batch in batches:
-            found = [model.value.predict(text) for text in batch.column(batch.num_columns - 1).to_pylist()]
+            found = [model.value.predict(text.as_py()) for text in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([p[k] for p in found], pa.float64()) for k in range(len(categories)))], [*columns, *(f"p_{c}" for c in categories)])
 
     base = docs.select(*columns, F.col(text_col).alias("_text"))
