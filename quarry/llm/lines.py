@@ -49,7 +49,8 @@ def strip_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     hits = boilerplate_lines(docs, id_col, text_col, site_col, sites, shortest, alike).groupBy(F.col("id").alias("_id"), F.col("of").alias("_of")).agg(F.collect_set("at").alias("_hits"))
     rows = docs.drop("n_lines", "n_removed")
-    joined = rows.join(hits, rows[id_col].eqNullSafe(hits["_id"]) & (F.xxhash64(rows[text_col]) == hits["_of"]), "left")
+    # hashing the hits, small beside the texts, saves sorting whole texts
+    joined = rows.join(hits.hint("shuffle_hash"), rows[id_col].eqNullSafe(hits["_id"]) & (F.xxhash64(rows[text_col]) == hits["_of"]), "left")
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_hits", i)), "\n")
     return joined.select(
