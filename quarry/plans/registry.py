@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.functions import scalars as S
-from quarry.operators import relational as R
+from quarry.functions import planning as P, scalars as S
+from quarry.operators import packages as Pack, pictures as Pic, relational as R
 from quarry.session import table
 
 QUERIES: dict = {}
@@ -225,3 +225,111 @@ def checks_pass(spark, d):
 def luma(spark, d):
     r, g, b = F.col("p_size") % 256, F.col("p_partkey") % 256, (F.col("p_size") * 7) % 256
     return table(spark, d, "part").select("p_partkey", F.round((0.299 * r + 0.587 * g + 0.114 * b) / 255, 6).alias("luma"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN ['png', 'webp', 'pdf'] WHEN 1 THEN ['jpg', 'png', 'webp', 'pdf'] WHEN 2 THEN ['jpg', 'png', 'webp'] WHEN 3 THEN ['webm', 'm4a', 'wav'] WHEN 4 THEN ['m4a', 'wav', 'webm'] ELSE [] END AS targets FROM part")
+def conversion_targets(spark, d):
+    name = F.concat(F.lit("f."), F.element_at(F.array(*map(F.lit, ("JFIF", "heic", "pdf", "mp4", "flac", "txt"))), (F.col("p_partkey") % 6 + 1).cast("int")))
+    return table(spark, d, "part").select("p_partkey", P.targets(name).alias("targets"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN 'file' ELSE 'a.' || p_partkey END || CASE p_partkey % 3 WHEN 0 THEN '.compressed' WHEN 1 THEN '.nobg' ELSE '' END || '.png' AS name FROM part")
+def output_name(spark, d):
+    given = F.when(F.col("p_partkey") % 4 == 3, "...").otherwise(F.concat(F.lit("..a."), F.col("p_partkey").cast("string"), F.lit(".jpg ")))
+    task = F.when(F.col("p_partkey") % 3 == 0, "compress").when(F.col("p_partkey") % 3 == 1, "removebg").otherwise("convert")
+    return table(spark, d, "part").select("p_partkey", P.output_name(given, task, F.lit("png")).alias("name"))
+
+
+@query("""WITH s AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'balanced' WHEN 1 THEN 'compact' ELSE 'lossless' END AS mode, p_size * 170 AS w, CAST(p_partkey % 4300 + 50 AS INT) AS h, CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 90 / 1.5 END AS rate, p_retailprice * 10000 AS bits FROM part),
+t AS (SELECT *, CASE WHEN mode = 'lossless' THEN 'video-lossless' WHEN CAST(w AS DOUBLE) * h > 33177600 THEN 'too-large' END AS reason, least(60, greatest(1, floor(coalesce(nullif(rate, 0), 30) + 0.5))) AS f, least(1.0::DOUBLE, CASE mode WHEN 'balanced' THEN 1080::DOUBLE ELSE 720::DOUBLE END / least(w, h)) AS k, CASE mode WHEN 'balanced' THEN 0.06::DOUBLE ELSE 0.035::DOUBLE END AS bpp FROM s),
+u AS (SELECT *, greatest(2, floor(w * k / 2 + 0.5) * 2) AS ew, greatest(2, floor(h * k / 2 + 0.5) * 2) AS eh FROM t)
+SELECT p_partkey, reason, CASE WHEN reason IS NULL THEN CAST(ew AS BIGINT) END AS width, CASE WHEN reason IS NULL THEN CAST(eh AS BIGINT) END AS height, CASE WHEN reason IS NULL THEN CAST(f AS BIGINT) END AS fps, CASE WHEN reason IS NULL THEN CAST(greatest(250000, least(floor(ew * eh * f * bpp + 0.5), floor(bits * 0.85::DOUBLE + 0.5))) AS BIGINT) END AS bitrate, p_partkey % 2 = 0 AND p_partkey % 200 * 1000 <= CASE mode WHEN 'balanced' THEN 160000 ELSE 120000 END AS keeps_audio FROM u""")
+def video_plan(spark, d):
+    k = F.col("p_partkey")
+    mode = F.when(k % 3 == 0, "balanced").when(k % 3 == 1, "compact").otherwise("lossless")
+    rows = table(spark, d, "part").select(k, mode.alias("mode"), (F.col("p_size") * 170).alias("w"), (k % 4300 + 50).cast("int").alias("h"), F.when(k % 5 > 0, k % 90 / 1.5).alias("rate"), (F.col("p_retailprice") * 10000).alias("bits"))
+    audio = P.keeps_audio(F.col("mode"), F.when(k % 2 == 0, "aac").otherwise("mp3"), k % 200 * 1000)
+    return rows.select("p_partkey", *P.video_plan(*map(F.col, ("mode", "w", "h", "rate", "bits"))), audio.alias("keeps_audio"))
+
+
+@query("""WITH s AS (SELECT p_partkey, p_size * 30.0::DOUBLE AS w, p_retailprice AS h, CAST(p_partkey % 40 AS DOUBLE) / 2 AS u FROM part),
+t AS (SELECT *, least(48::DOUBLE, sqrt(w * w + h * h) * 0.8::DOUBLE / greatest(1, u)) AS s, atan2(h, w) AS a FROM s)
+SELECT p_partkey, round(s, 4) AS size, round(w / 2 - u * s / 2 * cos(a) + s / 3 * sin(a), 4) AS x, round(h / 2 - u * s / 2 * sin(a) - s / 3 * cos(a), 4) AS y, round(degrees(a), 4) AS angle, 0.9::DOUBLE AS alpha, round(least(150::DOUBLE / 72, 6000 / greatest(w, h), sqrt(36e6 / (w * h))), 6) AS scale FROM t""")
+def watermark_place(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 30.0).alias("w"), F.col("p_retailprice").alias("h"), ((F.col("p_partkey") % 40) / 2).alias("u"))
+    w, h = F.col("w"), F.col("h")
+    found = rows.select("p_partkey", *P.watermark(w, h, F.col("u"), F.lit(48.0), F.lit(2.0)), P.render_scale(w, h).alias("scale"))
+    return found.select("p_partkey", *(F.round(c, 4).alias(c) for c in ("size", "x", "y", "angle")), "alpha", F.round("scale", 6).alias("scale"))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'it''s a \"page\"' WHEN 1 THEN 'x ? y' END AS label FROM pages")
+def watermark_text(spark, d):
+    text = F.when(F.col("page_id") % 3 == 0, " it’s \t a “page” ").when(F.col("page_id") % 3 == 1, "x\n字 y").otherwise("  ")
+    return table(spark, d, "pages").select("page_id", P.watermark_label(text).alias("label"))
+
+
+@query("SELECT p_partkey, k AS point, round(p_size * CAST(k AS DOUBLE) / n, 5) AS x, round(30.0::DOUBLE * k / n, 5) AS y FROM (SELECT p_partkey, p_size, CAST(greatest(1, ceil(sqrt(CAST(p_size AS DOUBLE) * p_size + 900) / 4)) AS INT) AS n FROM part), LATERAL (SELECT CAST(unnest(range(1, n + 1)) AS INT) AS k)")
+def brush_dabs(spark, d):
+    points = P.dabs(F.lit(0.0), F.lit(0.0), F.col("p_size").cast("double"), F.lit(30.0), F.lit(16.0))
+    rows = table(spark, d, "part").select("p_partkey", F.posexplode(points).alias("k", "p"))
+    return rows.select("p_partkey", (F.col("k") + 1).alias("point"), F.round("p.x", 5).alias("x"), F.round("p.y", 5).alias("y"))
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'pptx' WHEN 1 THEN 'xlsm' WHEN 2 THEN 'docx' END AS extension, s_suppkey % 5 = 1 AS macro FROM supplier")
+def office_kind(spark, d):
+    names = [("[Content_Types].xml", "ppt/presentation.xml"), ("[Content_Types].xml", "xl/workbook.xml", "xl/vbaProject.bin"), ("[Content_Types].xml", "word/document.xml"), ("word/document.xml", "word/vbaProject.bin"), ("[Content_Types].xml", "a.txt")]
+    listed = F.element_at(F.array(*(F.array(*map(F.lit, n)) for n in names)), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    return Pack.office_kind(table(spark, d, "supplier").select("s_suppkey", F.explode(listed).alias("name")), "s_suppkey", "name")
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_suppkey % 5 NOT IN (1, 4) AS resolves, s_suppkey % 5 = 3 AS active_links FROM supplier")
+def package_checks(spark, d):
+    target = F.element_at(F.array(*map(F.lit, ("../media/a&amp;b%20c.png", "../media/none.png", "/ppt/media/a&amp;b%20c.png", "https://x.example/t", "./../media/a&amp;b%20c.png"))), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    xml = F.concat(F.lit('<Relationships><Relationship Id="h" Type="t/hyperlink" Target="https://y.example" TargetMode="External"/><Relationship Id="r" Type="t/image" Target="'), target, F.lit('"'), F.when(F.col("s_suppkey") % 5 == 3, ' TargetMode="External"').otherwise(""), F.lit("/></Relationships>"))
+    listed = F.array(*(F.struct(F.lit(n).alias("name"), x.alias("xml")) for n, x in (("ppt/slides/_rels/s.xml.rels", xml), ("ppt/media/a&b c.png", F.lit("")))), F.struct(F.when(F.col("s_suppkey") % 5 == 4, "other").otherwise("[Content_Types].xml").alias("name"), F.lit("").alias("xml")))
+    parts = table(spark, d, "supplier").select("s_suppkey", F.explode(listed).alias("p")).select("s_suppkey", "p.*")
+    return Pack.package_checks(parts, "s_suppkey", "name", "xml")
+
+
+@query("SELECT page_id, regexp_replace(html, '<title>.*?</title>', '<title></title>', 'gs') AS cleaned FROM pages")
+def metadata_clear(spark, d):
+    return table(spark, d, "pages").select("page_id", Pack.cleared(F.col("html"), ("title",)).alias("cleaned"))
+
+
+@query("SELECT p_size, p_partkey, 'n' || p_partkey % 3 || '.txt' AS name, 'n' || p_partkey % 3 || CASE WHEN k = 1 THEN '' ELSE ' (' || k || ')' END || '.txt' AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY p_size, p_partkey % 3 ORDER BY p_partkey) AS k FROM part)")
+def unique_names(spark, d):
+    files = table(spark, d, "part").select("p_size", "p_partkey", F.concat(F.lit("n"), (F.col("p_partkey") % 3).cast("string"), F.lit(".txt")).alias("name"))
+    return Pack.unique_names(files, "p_size", "p_partkey", "name")
+
+
+@query("SELECT host, count(*) AS texts FROM (SELECT page_id, lower(regexp_extract(url, '://([A-Za-z0-9.-]+)', 1)) AS host FROM pages) WHERE regexp_matches(host, '[^.]') AND NOT starts_with(host, 'a') GROUP BY host")
+def unreviewed_hosts(spark, d):
+    pages = table(spark, d, "pages")
+    reviewed = Pack.hosts(pages, "page_id", "url").where(F.col("host").startswith("a"))
+    return Pack.unreviewed(pages, reviewed, "page_id", "url")
+
+
+def taps_sql(name: str, size: int, count: int) -> str:
+    return f"{name} AS (SELECT k, CAST(floor(s) AS INT) + o AS src, CASE o WHEN 0 THEN 1 - (s - floor(s)) ELSE s - floor(s) END AS share FROM (SELECT k, least(greatest((k + 0.5::DOUBLE) * {size} / {count} - 0.5::DOUBLE, 0), {size - 1}) AS s FROM (SELECT unnest(range({count})) AS k)), (VALUES (0), (1)) AS v(o))"
+
+
+@query(f"WITH {PIXELS}, {taps_sql('tx', 8, 11)}, {taps_sql('ty', 8, 13)} SELECT vec_id, CAST(ty.k AS INT) AS y, CAST(tx.k AS INT) AS x, round(sum(v * tx.share * ty.share), 5) + 0 AS v FROM p JOIN tx ON tx.src = p.x JOIN ty ON ty.src = p.y GROUP BY ALL")
+def upsample(spark, d):
+    found = Pic.upsample(R.pixels(table(spark, d, "embeddings"), "vec_id", "embedding", 8), "vec_id", 11, 13)
+    return found.withColumn("v", F.round("v", 5) + 0.0)
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 THEN p_size END AS width, CASE WHEN p_partkey % 4 < 2 THEN CAST(p_partkey % 60000 + 1 AS INT) END AS height, CASE WHEN p_partkey % 4 < 2 THEN 3 END AS components, CASE WHEN p_partkey % 4 < 2 THEN p_partkey % 4 = 1 END AS progressive, CASE WHEN p_partkey % 4 = 3 THEN 1 ELSE CAST(p_partkey % 8 + 1 AS INT) END AS orientation, CASE p_partkey % 4 WHEN 2 THEN 'unsupported' WHEN 3 THEN 'unreadable' END AS reason FROM part")
+def jpeg_info(spark, d):
+    k, short = F.col("p_partkey"), lambda n: F.unhex(F.lpad(F.hex(n.cast("long")), 4, "0"))
+    raw = lambda x: F.unhex(F.lit(x))
+    exif = F.concat(raw("FFE10022"), raw("457869660000" + "4D4D002A00000008" + "0001" + "0112000300000001"), short(k % 8 + 1), raw("0000" + "00000000"))
+    frame = F.concat(F.element_at(F.array(raw("FFC0"), raw("FFC2"), raw("FFC9")), F.least(k % 4 + 1, F.lit(3)).cast("int")), raw("000B08"), short(k % 60000 + 1), short(F.col("p_size")), raw("03010000"))
+    content = F.concat(F.when(k % 4 == 3, raw("8950")).otherwise(raw("FFD8")), exif, frame, raw("FFD9"))
+    return Pic.jpeg_info(table(spark, d, "part").select("p_partkey", content.alias("content")), "p_partkey", "content").drop("segments")
+
+
+@query()
+def prefix_codes(spark, d):
+    bytes_ = table(spark, d, "documents").select("lang", F.explode(F.split("text", "")).alias("c")).select("lang", F.ascii("c").alias("symbol"))
+    return Pic.prefix_codes(bytes_.where("symbol is not null and lang is not null"), "lang", "symbol")
