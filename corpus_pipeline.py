@@ -32,13 +32,13 @@ def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by similarity of their five-word shingles, 0.8 or more, the smallest doc_id stays. Texts without words link with nothing and stay. Of rows that repeat a doc_id whole one stays as well."""
     kept = jaccard.join(docs, words=5, threshold=(80, 100)).where("doc_id is null or component_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").select(*COLUMNS)
+    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix in training order: a document that is taken n times is there n times, one that is not taken is gone. Rows are range-sorted by training position."""
     planned = mixing.plan(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("copies"), F.max("position").alias("position"))
-    return mixing.schedule(docs.join(planned, docs["doc_id"].eqNullSafe(planned["_id"])).select(*COLUMNS, "copies", "position")).select(*COLUMNS)
+    return mixing.schedule(docs.join(planned.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(planned["_id"])).select(*COLUMNS, "copies", "position")).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
