@@ -227,10 +227,10 @@ def luma(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round((0.299 * r + 0.587 * g + 0.114 * b) / 255, 6).alias("luma"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN ['png', 'webp', 'pdf'] WHEN 1 THEN ['jpg', 'png', 'webp', 'pdf'] WHEN 2 THEN ['jpg', 'png', 'webp'] WHEN 3 THEN ['webm', 'm4a', 'wav'] WHEN 4 THEN ['m4a', 'wav', 'webm'] ELSE [] END AS targets FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'png,webp,pdf' WHEN 1 THEN 'jpg,png,webp,pdf' WHEN 2 THEN 'jpg,png,webp' WHEN 3 THEN 'webm,m4a,wav' WHEN 4 THEN 'm4a,wav,webm' ELSE '' END AS targets FROM part")
 def conversion_targets(spark, d):
     name = F.concat(F.lit("f."), F.element_at(F.array(*map(F.lit, ("JFIF", "heic", "pdf", "mp4", "flac", "txt"))), (F.col("p_partkey") % 6 + 1).cast("int")))
-    return table(spark, d, "part").select("p_partkey", P.targets(name).alias("targets"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(P.targets(name), ",").alias("targets"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN 'file' ELSE 'a.' || p_partkey END || CASE p_partkey % 3 WHEN 0 THEN '.compressed' WHEN 1 THEN '.nobg' ELSE '' END || '.png' AS name FROM part")
@@ -243,13 +243,13 @@ def output_name(spark, d):
 @query("""WITH s AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'balanced' WHEN 1 THEN 'compact' ELSE 'lossless' END AS mode, p_size * 170 AS w, CAST(p_partkey % 4300 + 50 AS INT) AS h, CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 90 / 1.5 END AS rate, p_retailprice * 10000 AS bits FROM part),
 t AS (SELECT *, CASE WHEN mode = 'lossless' THEN 'video-lossless' WHEN CAST(w AS DOUBLE) * h > 33177600 THEN 'too-large' END AS reason, least(60, greatest(1, floor(coalesce(nullif(rate, 0), 30) + 0.5))) AS f, least(1.0::DOUBLE, CASE mode WHEN 'balanced' THEN 1080::DOUBLE ELSE 720::DOUBLE END / least(w, h)) AS k, CASE mode WHEN 'balanced' THEN 0.06::DOUBLE ELSE 0.035::DOUBLE END AS bpp FROM s),
 u AS (SELECT *, greatest(2, floor(w * k / 2 + 0.5) * 2) AS ew, greatest(2, floor(h * k / 2 + 0.5) * 2) AS eh FROM t)
-SELECT p_partkey, reason, CASE WHEN reason IS NULL THEN CAST(ew AS BIGINT) END AS width, CASE WHEN reason IS NULL THEN CAST(eh AS BIGINT) END AS height, CASE WHEN reason IS NULL THEN CAST(f AS BIGINT) END AS fps, CASE WHEN reason IS NULL THEN CAST(greatest(250000, least(floor(ew * eh * f * bpp + 0.5), floor(bits * 0.85::DOUBLE + 0.5))) AS BIGINT) END AS bitrate, p_partkey % 2 = 0 AND p_partkey % 200 * 1000 <= CASE mode WHEN 'balanced' THEN 160000 ELSE 120000 END AS keeps_audio FROM u""")
+SELECT p_partkey, reason, CASE WHEN reason IS NULL THEN CAST(ew AS BIGINT) ELSE 0 END AS width, CASE WHEN reason IS NULL THEN CAST(eh AS BIGINT) ELSE 0 END AS height, CASE WHEN reason IS NULL THEN CAST(f AS BIGINT) ELSE 0 END AS fps, CASE WHEN reason IS NULL THEN CAST(greatest(250000, least(floor(ew * eh * f * bpp + 0.5), floor(bits * 0.85::DOUBLE + 0.5))) AS BIGINT) ELSE 0 END AS bitrate, p_partkey % 2 = 0 AND p_partkey % 200 * 1000 <= CASE mode WHEN 'balanced' THEN 160000 ELSE 120000 END AS keeps_audio FROM u""")
 def video_plan(spark, d):
     k = F.col("p_partkey")
     mode = F.when(k % 3 == 0, "balanced").when(k % 3 == 1, "compact").otherwise("lossless")
     rows = table(spark, d, "part").select(k, mode.alias("mode"), (F.col("p_size") * 170).alias("w"), (k % 4300 + 50).cast("int").alias("h"), F.when(k % 5 > 0, k % 90 / 1.5).alias("rate"), (F.col("p_retailprice") * 10000).alias("bits"))
     audio = P.keeps_audio(F.col("mode"), F.when(k % 2 == 0, "aac").otherwise("mp3"), k % 200 * 1000)
-    return rows.select("p_partkey", *P.video_plan(*map(F.col, ("mode", "w", "h", "rate", "bits"))), audio.alias("keeps_audio"))
+    return rows.select("p_partkey", *P.video_plan(*map(F.col, ("mode", "w", "h", "rate", "bits"))), audio.alias("keeps_audio")).fillna(0)
 
 
 @query("""WITH s AS (SELECT p_partkey, p_size * 30.0::DOUBLE AS w, p_retailprice AS h, CAST(p_partkey % 40 AS DOUBLE) / 2 AS u FROM part),
@@ -319,14 +319,14 @@ def upsample(spark, d):
     return found.withColumn("v", F.round("v", 5) + 0.0)
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 THEN p_size END AS width, CASE WHEN p_partkey % 4 < 2 THEN CAST(p_partkey % 60000 + 1 AS INT) END AS height, CASE WHEN p_partkey % 4 < 2 THEN 3 END AS components, CASE WHEN p_partkey % 4 < 2 THEN p_partkey % 4 = 1 END AS progressive, CASE WHEN p_partkey % 4 = 3 THEN 1 ELSE CAST(p_partkey % 8 + 1 AS INT) END AS orientation, CASE p_partkey % 4 WHEN 2 THEN 'unsupported' WHEN 3 THEN 'unreadable' END AS reason FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 THEN p_size ELSE 0 END AS width, CASE WHEN p_partkey % 4 < 2 THEN CAST(p_partkey % 60000 + 1 AS INT) ELSE 0 END AS height, CASE WHEN p_partkey % 4 < 2 THEN 3 ELSE 0 END AS components, p_partkey % 4 = 1 AS progressive, CASE WHEN p_partkey % 4 = 3 THEN 1 ELSE CAST(p_partkey % 8 + 1 AS INT) END AS orientation, CASE p_partkey % 4 WHEN 2 THEN 'unsupported' WHEN 3 THEN 'unreadable' END AS reason FROM part")
 def jpeg_info(spark, d):
     k, short = F.col("p_partkey"), lambda n: F.unhex(F.lpad(F.hex(n.cast("long")), 4, "0"))
     raw = lambda x: F.unhex(F.lit(x))
     exif = F.concat(raw("FFE10022"), raw("457869660000" + "4D4D002A00000008" + "0001" + "0112000300000001"), short(k % 8 + 1), raw("0000" + "00000000"))
     frame = F.concat(F.element_at(F.array(raw("FFC0"), raw("FFC2"), raw("FFC9")), F.least(k % 4 + 1, F.lit(3)).cast("int")), raw("000B08"), short(k % 60000 + 1), short(F.col("p_size")), raw("03010000"))
     content = F.concat(F.when(k % 4 == 3, raw("8950")).otherwise(raw("FFD8")), exif, frame, raw("FFD9"))
-    return Pic.jpeg_info(table(spark, d, "part").select("p_partkey", content.alias("content")), "p_partkey", "content").drop("segments")
+    return Pic.jpeg_info(table(spark, d, "part").select("p_partkey", content.alias("content")), "p_partkey", "content").drop("segments").fillna(0).fillna(False)
 
 
 @query()
