@@ -33,6 +33,8 @@ K = 3
 #: Share of a template's 3-grams that must vote, and how far apart merged diagonals may lie.
 COVER, GAP = 0.6, 2
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words in a text that is not lower-cased yet.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -65,14 +67,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     key = ["id", "of", "template"]
     # votes by diagonal; a repeated row's votes are the same positions again and count once
     votes = hits.groupBy(*key, "label", "exact", "grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.countDistinct("at").alias("votes"))
-    places = votes.where("exact and votes = grams").groupBy("id", "of").agg(F.count("*").alias("n_base"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("base_labels"))
     by_diagonal = Window.partitionBy(*key).orderBy("diagonal")
     bands = votes.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > GAP).cast("int")).withColumn("band", F.sum(F.coalesce("new", F.lit(0))).over(by_diagonal))
-    spans = bands.groupBy(*key, "label", "exact", "grams", "band").agg(F.least(F.sum("votes"), F.col("grams")).alias("votes"), F.max("votes").alias("best"))
+    place = F.when(F.col("exact") & (F.col("votes") == F.col("grams")), F.col("diagonal"))  # a base phrase stands there word for word
+    spans = bands.groupBy(*key, "label", "exact", "grams", "band").agg(F.least(F.sum("votes"), F.col("grams")).alias("votes"), F.max("votes").alias("best"), F.count(place).alias("places"), F.min(place).alias("first"), F.max(place).alias("last"))
     share = F.when(F.col("exact"), F.col("best")).otherwise(F.col("votes")) / F.col("grams")
-    found = spans.withColumn("share", share).groupBy("id", "of").agg(F.max("share").alias("score"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("share") >= F.when(F.col("exact"), 1.0).otherwise(COVER), F.col("label")))), ",").alias("labels"))
-    summary = found.join(places, (found["id"].eqNullSafe(places["id"])) & found["of"].eqNullSafe(places["of"]), "left").select(found["id"], found["of"], "score", "labels", "n_base", "first_word", "last_word", "base_labels")
-    every = rows.select(F.col("id").alias(id_col), F.col("of").alias("_of"), F.size("words").cast("long").alias("n_words"))
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    labels = F.when(F.col("share") >= F.when(F.col("exact"), 1.0).otherwise(COVER), F.col("label"))
+    summary = spans.withColumn("share", share).groupBy("id", "of").agg(F.max("share").alias("score"), joined(labels).alias("labels"), F.sum("places").alias("n_base"), F.min("first").alias("first_word"), F.max("last").alias("last_word"), joined(F.when(F.col("places") > 0, F.col("label"))).alias("base_labels"))
+    every = docs.select(F.col(id_col).cast("long").alias(id_col), F.xxhash64(text_col).alias("_of"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(ANY_CASE)).cast("long").alias("n_words"))
     return every.join(summary, every[id_col].eqNullSafe(summary["id"]) & every["_of"].eqNullSafe(summary["of"]), "left").select(
         id_col, "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"), F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score")
     )
