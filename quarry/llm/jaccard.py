@@ -154,8 +154,8 @@ def close_to(a: str, b: str, shared: str, threshold: tuple[int, int]):
     return F.col(shared) * (NEAR[1] * (p + q)) >= ((F.col(a) + F.col(b)) * p - most * (p + q)) * NEAR[0]
 
 
-def possible(a: str, b: str, threshold: tuple[int, int]):
-    """Whether two sets can link by their sizes and the shingles, u of each, that no other set has."""
+def likely(a: str, b: str, threshold: tuple[int, int]):
+    """Whether two sets may well link by their sizes and the prefix shingles, u of each, that stand in no other prefix. A guess for groups only, which decides where a pair is compared: shingles of u may stand in the other set beyond its prefix."""
     p, q = threshold
     n_a, n_b, u_a, u_b = (F.col(f"{k}{x}") for k in "nu" for x in (a, b))
     return F.least(n_a - u_a, n_b - u_b) * (p + q) >= (n_a + n_b) * p
@@ -254,8 +254,8 @@ def enumerate_pairs(lists: DataFrame, threshold: tuple[int, int]) -> DataFrame:
                 for m, other, comp2, hub2, pos2, u2 in held[start:] if start else held:
                     if comp2 == comp or hub2 == hub:
                         continue
-                    # they share at most what precedes both positions, what follows both, this shingle, and nothing that only one set has
-                    if min(min(pos, pos2) + min(n - pos, m - pos2), n - u, m - u2) * (p + q) >= (n + m) * p:
+                    # they share at most what precedes both positions, what follows both, and this shingle; the set whose prefix ends first in the global order shares none of its u (the other would have them in its own prefix), and as either may end first, the larger of n - u and m - u2 holds
+                    if min(min(pos, pos2) + min(n - pos, m - pos2), max(n - u, m - u2)) * (p + q) >= (n + m) * p:
                         key = (sid, other, n, m) if sid < other else (other, sid, m, n)
                         found[key] = found.get(key, 0) + 1
                 held.append((n, sid, comp, hub, pos, u))
@@ -286,7 +286,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     lists = cut(shared.join(in_lists, shared["sid"] == F.col("_sid")).where((F.col("n") - F.col("u")) * q >= F.col("n") * p).drop("_sid"))
     # the hub of a list is its set with the fewest shingles of its own, so the one most like the others
     hub = F.first(F.struct("sid", "n", "u")).over(by_token.orderBy("u", "n", "sid"))
-    pairs = lists.withColumn("h", hub).where("h.sid <> sid").select(F.col("h.sid").alias("hub"), F.col("h.n").alias("na"), F.col("h.u").alias("ua"), "sid", F.col("n").alias("nb"), F.col("u").alias("ub")).where(possible("a", "b", threshold))
+    pairs = lists.withColumn("h", hub).where("h.sid <> sid").select(F.col("h.sid").alias("hub"), F.col("h.n").alias("na"), F.col("h.u").alias("ua"), "sid", F.col("n").alias("nb"), F.col("u").alias("ub")).where(likely("a", "b", threshold))
     counted = pairs.groupBy("sid", "hub", "na", "nb").agg(F.count("*").alias("c")).where(close_to("na", "nb", "c", threshold))
     near = counted.groupBy("sid").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
     # a hub may have a hub itself; sets that hang together so are one group

@@ -117,6 +117,19 @@ def test_jaccard(docs, empty, n, p, q):
     assert jaccard.join(empty).count() == 0
 
 
+@pytest.mark.parametrize(("n", "p", "q"), [(4, 85, 100), (5, 80, 100)])
+def test_jaccard_of_truncated_and_extended_copies(spark, n, p, q):
+    rng = random.Random(21)
+    rows = []
+    for size in [20] * 60 + [40] * 20 + [100] * 15 + [300] * 8 + [1000] * 4:  # shingles of the longest copy that may still link, by the threshold
+        words = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(size * q // p + n - 1)]
+        rows += [(len(rows) + k, " ".join(words[: m + n - 1])) for k, m in enumerate((size, (size + size * q // p) // 2, size * q // p))]
+    rng.shuffle(rows)
+    got = {r[0]: tuple(r[1:]) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=n, threshold=(p, q)).collect()}
+    assert got == brute_jaccard(rows, n, p, q)
+    assert len({v[1] for v in got.values()}) == len(rows) // 3
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
