@@ -1,6 +1,6 @@
 """Operator 10: line dedup by distinct-site spread. HyperLogLog sketches of the sites of each line hash are merged by aggregation; lines whose estimate is near the threshold get an exact distinct count; lines that stand on enough sites are boilerplate and are removed.
 
-A line that mostly stands in copies of one document is content, not boilerplate, however many sites hold the copies: it is left to the operators that remove duplicate documents. Documents are told apart by the smallest hash of their words, which near copies nearly always share.
+A line that mostly stands in copies of one document is content, not boilerplate, however many sites hold the copies: it is left to the operators that remove duplicate documents. Documents are told apart by a sketch of what stands beside the line: for each of several orders, the smallest shingle hash of the document's other lines. How many of a line's rows agree, on average over the orders, estimates how much of the rest its documents share; unrelated texts agree in common lines only, near copies nearly always.
 """
 
 from __future__ import annotations
@@ -13,19 +13,46 @@ from quarry.llm.common import cut
 SITES, SHORTEST = 6, 10
 #: log2 of a sketch's registers, and how far an estimate may lie from the threshold before it is trusted without an exact count: several standard errors of the sketch.
 LG_K, NEAR = 11, 0.25
-#: Largest share of a line's rows that may stand in documents of the same smallest word hash.
+#: Largest part of the rest of its documents, by the sketches, that the rows of a boilerplate line may share.
 ALIKE = 0.5
+#: Words of a shingle, and what sets the orders of a sketch apart: the smallest hash is taken after an exclusive or with each.
+WORDS = 3
+ORDERS = tuple((0x9E3779B97F4A7C15 * k + 0x3C6EF372FE94F82A) % (1 << 64) - (1 << 63) for k in range(1, 9))
+
+
+def sketch_of_lines(parts):
+    """For each of a text's lines that has words, its hash and the smallest hash of its shingles in each order. Each transform binds its argument, so that nothing is hashed twice; a line of fewer words than a shingle has its whole sequence as one."""
+    words = F.transform(F.filter(F.transform(parts, trimmed), lambda line: line != ""), lambda line: F.struct(F.xxhash64(line).alias("h"), F.split(line, " ").alias("w")))
+    shingled = lambda w: F.when(F.size(w) < WORDS, F.array(F.xxhash64(w))).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - WORDS), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WORDS)))))
+    hashed = F.transform(words, lambda x: F.struct(x["h"].alias("h"), shingled(x["w"]).alias("s")))
+    smallest = lambda s, c: F.array_min(F.transform(s, lambda v: v.bitwiseXOR(F.lit(c).cast("long"))))
+    return F.transform(hashed, lambda x: F.struct(x["h"].alias("h"), F.array(*(smallest(x["s"], c) for c in ORDERS)).alias("m")))
+
+
+def trimmed(line):
+    return F.trim(F.translate(line, "\t\r", "  "))
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, shortest: int, alike: bool) -> DataFrame:
-    """One row per line that is long enough: id, of (the text's hash), site, like (the text's smallest word hash, if asked for), at, h1, h2. A line is trimmed of spaces and tabs for its hash; a null site is a site of its own."""
+    """One row per line that is long enough: id, of (the text's hash), site, like (the sketch of the text's lines other than this one, if asked for; 0 where there is none), at, h1, h2. A line is trimmed of spaces and tabs for its hash; a null site is a site of its own."""
     text = F.col(text_col)
-    like = F.array_min(F.transform(F.split(F.translate(text, "\n\t", "  "), " "), lambda w: F.xxhash64(w))) if alike else F.lit(0).cast("long")
-    # once a document, in a projection of its own: beside the generator it would run once a line
-    whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("of"), F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit("")).alias("site"), like.alias("like"), F.split(text, "\n", -1).alias("parts"))
-    rows = whole.select("id", "of", "site", "like", F.posexplode("parts").alias("at", "line"))
-    trimmed = F.trim(F.translate("line", "\t\r", "  "))
-    return rows.where(F.char_length(trimmed) >= shortest).select("id", "of", "site", "like", "at", F.xxhash64(trimmed).alias("h1"), F.xxhash64(F.lit(1), trimmed).alias("h2"))
+    # once a document, in projections of their own: beside the generator they would run once a line
+    whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("of"), F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit("")).alias("site"), F.split(text, "\n", -1).alias("parts"))
+    like = F.lit(None)
+    if alike:
+        # for each order the smallest hash, its line, and the smallest of the other lines
+        orders = range(len(ORDERS))
+        whole = whole.withColumn("sketch", sketch_of_lines(F.col("parts")))
+        first = lambda k: F.array_min(F.transform("sketch", lambda x: F.struct(x["m"][k].alias("m"), x["h"].alias("h"))))
+        second = lambda k: F.array_min(F.transform(F.filter("sketch", lambda x: x["h"] != F.col("least")[k]["h"]), lambda x: x["m"][k]))
+        whole = whole.withColumn("least", F.array(*(first(k) for k in orders)))
+        whole = whole.withColumn("next", F.array(*(second(k) for k in orders))).drop("sketch")
+        short = lambda v: F.coalesce(v.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"), F.lit(0))
+        like = F.array(*(short(F.when(F.col("least")[k]["h"] == F.col("h1"), F.col("next")[k]).otherwise(F.col("least")[k]["m"])) for k in orders))
+    rows = whole.select("*", F.posexplode("parts").alias("at", "line")).drop("parts")
+    line = trimmed("line")
+    found = rows.where(F.char_length(line) >= shortest).withColumn("h1", F.xxhash64(line)).withColumn("h2", F.xxhash64(F.lit(1), line))
+    return found.select("id", "of", "site", like.alias("like"), "at", "h1", "h2")
 
 
 def boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES, shortest: int = SHORTEST, alike: float = ALIKE) -> DataFrame:
@@ -37,7 +64,8 @@ def boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sketched = lines(docs, id_col, text_col, site_col, shortest, False).groupBy(*hashes).agg(F.count("*").alias("rows"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch")).where(F.col("rows") >= sites).select(*hashes, F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= sites * (1 - NEAR))
     rows = cut(lines(docs, id_col, text_col, site_col, shortest, True).join(sketched, hashes))
     exact = rows.where(F.col("estimate") <= sites * (1 + NEAR)).select(*hashes, "site").distinct().groupBy(*hashes).agg(F.count("*").alias("sites")).where(F.col("sites") < sites).select(*hashes)
-    alone = rows.groupBy(*hashes, "like").agg(F.count("*").alias("n")).groupBy(*hashes).agg(F.sum("n").alias("all"), F.max("n").alias("most")).where(F.col("most") <= alike * F.col("all")).select(*hashes)
+    agreeing = rows.select(*hashes, F.posexplode("like").alias("order", "like")).groupBy(*hashes, "order", "like").agg(F.count("*").alias("n")).groupBy(*hashes, "order").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
+    alone = agreeing.groupBy(*hashes).agg(F.sum("most").alias("most"), F.sum("all").alias("all")).where(F.col("most") <= alike * F.col("all")).select(*hashes)
     found = alone.join(exact, hashes, "left_anti")
     return rows.select("id", "of", "at", *hashes).join(found, hashes, "left_semi").select("id", "of", "at")
 

@@ -290,6 +290,33 @@ def test_lines(spark, empty):
     assert lines.strip_lines(empty).count() == 0
 
 
+def unrelated_and_copied(spark):
+    """Unrelated texts that share the word of the smallest hash, a line with that word and a footer; near copies of one page; and the shared lines."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    fill = lambda n: [" ".join(word() for _ in range(30)) for _ in range(n)]
+    low = spark.range(100000).select(F.concat(F.lit("w"), "id").alias("w")).orderBy(F.xxhash64("w")).first()[0]
+    common, spread, footer, copied = low, f"Read {low} news of many sites here", "All rights are with their owners", "A line of one page that has many near copies"
+    page = fill(5)
+    rows = [(i, "\n".join([*fill(4), common, spread, footer]), f"s{i % 12}") for i in range(48)]
+    for i in range(100, 124):
+        edited = [line.split(" ") for line in page]
+        edited[i % 5][i % 30] = word()
+        rows.append((i, "\n".join([*(" ".join(line) for line in edited), copied]), f"s{i % 12}"))
+    return rows, {spread, footer}, copied
+
+
+def test_lines_of_unrelated_texts(spark):
+    rows, shared, copied = unrelated_and_copied(spark)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    least = F.array_min(F.transform(F.split(F.translate("text", "\n\t", "  "), " "), lambda w: F.xxhash64(w)))
+    assert frame.where("doc_id < 100").groupBy(least).count().agg(F.max("count")).first()[0] > 24  # one word is the minimum of most
+    got = {r["doc_id"]: r for r in lines.strip_lines(frame).collect()}
+    for key, text, _ in rows:
+        assert got[key]["text"] == "\n".join(line for line in text.split("\n") if line not in shared), key
+    assert all(copied in got[key]["text"] for key in range(100, 124))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
