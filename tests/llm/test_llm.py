@@ -331,3 +331,19 @@ def test_pipeline(spark):
             assert sorted(r[0] for r in after.select("doc_id").collect()) == sorted({v[1] for v in want.values()})
         docs = after
     assert P.run(spark, SF).count() == docs.count()
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(31)
+    rows, shared, _ = unrelated_and_copied(spark)
+    for size in [20] * 40 + [60] * 10 + [300] * 3:  # a text, and a longer copy at the threshold of 80/100 five-word shingles
+        words = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(size * 5 // 4 + 4)]
+        rows += [(1000 + len(rows) + k, " ".join(words[: m + 4]), "s1") for k, m in enumerate((size, size * 5 // 4))]
+    docs = spark.createDataFrame([(key, text, "en", site, 0) for key, text, site in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stripped = P.boilerplate(spark, docs, SF).cache()
+    want = {key: "\n".join(line for line in text.split("\n") if line not in shared) for key, text, _ in rows}
+    assert {r["doc_id"]: r["text"] for r in stripped.collect()} == want
+    kept = {v[1] for v in brute_jaccard(list(want.items()), 5, 80, 100).values()}
+    assert sorted(r["doc_id"] for r in P.near_duplicates(spark, stripped, SF).collect()) == sorted(kept)
