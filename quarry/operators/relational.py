@@ -90,13 +90,15 @@ def normalise(image: DataFrame, key: str) -> DataFrame:
 
 
 def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFrame:
-    """Nodes reachable from roots (node) along edges (src, dst), roots included. Cycles are fine: each round keeps only new nodes; visited rows are checkpointed, nothing is collected."""
+    """Nodes reachable from roots (node) along edges (src, dst), roots included. Cycles are fine: each round keeps only new nodes; visited rows are checkpointed, nothing is collected. Raises if the last of so many rounds still found new nodes."""
     visited = frontier = checkpointed(roots.select("node").distinct())
     for _ in range(rounds):
         frontier = checkpointed(edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct().join(visited, "node", "left_anti"))
         if frontier.isEmpty():
             break
         visited = checkpointed(visited.union(frontier))
+    else:
+        raise RuntimeError("reachable did not settle")
     return visited
 
 

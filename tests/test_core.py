@@ -100,6 +100,13 @@ def test_box_mean_and_reachability(spark):
     assert sorted(r[0] for r in R.reachable(edges, spark.createDataFrame([(1,)], "node int")).collect()) == [1, 2, 3]
 
 
+def test_reachable_never_stops_short(spark):
+    edges, roots = spark.createDataFrame([(k, k + 1) for k in range(4)], "src int, dst int"), spark.createDataFrame([(0,)], "node int")
+    assert R.reachable(edges, roots, 5).count() == 5
+    with pytest.raises(RuntimeError):
+        R.reachable(edges, roots, 2)
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
