@@ -331,5 +331,7 @@ def jpeg_info(spark, d):
 
 @query()
 def prefix_codes(spark, d):
-    bytes_ = table(spark, d, "documents").select("lang", F.explode(F.split("text", "")).alias("c")).select("lang", F.ascii("c").alias("symbol"))
-    return Pic.prefix_codes(bytes_.where("symbol is not null and lang is not null"), "lang", "symbol")
+    # bytes of single characters: a row's whole text would be copied once a byte
+    chars = table(spark, d, "documents").select("lang", F.explode(F.split("text", "")).alias("c")).where("lang is not null and c <> ''").select("lang", F.col("c").cast("binary").alias("c"))
+    bytes_ = chars.select("lang", "c", F.explode(F.sequence(F.lit(1), F.octet_length("c"))).alias("i")).select("lang", F.conv(F.hex(F.col("c").substr(F.col("i"), F.lit(1))), 16, 10).cast("int").alias("symbol"))
+    return Pic.prefix_codes(bytes_, "lang", "symbol")

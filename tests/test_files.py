@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import planning as P
 from quarry.operators import packages, pictures
+from quarry.plans import registry
 
 
 def column(spark, expression, rows, schema):
@@ -93,3 +94,13 @@ def test_prefix_codes(counts):
         heapq.heappush(heap, two)
     if len(counts) < 20 or counts[0] == 1 and len(counts) == 256:  # nothing had to be shortened: optimal with the reserved symbol
         assert sum(counts[s] * n for s, n in lengths.items()) <= cost
+
+
+def test_prefix_codes_count_every_byte(spark, tmp_path):
+    rows = [("en", "plain text"), ("en", ""), ("fr", "é€ 😀 漢"), (None, "x"), ("fr", None)]
+    spark.createDataFrame(rows, "lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for lang, text in rows:
+        for b in (text or "").encode() if lang else b"":
+            want[lang, b] = want.get((lang, b), 0) + 1
+    assert {(r["lang"], r["symbol"]): r["count"] for r in registry.QUERIES["prefix_codes"](spark, str(tmp_path)).collect()} == want
