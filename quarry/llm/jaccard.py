@@ -1,6 +1,6 @@
 """Operator 2: exact n-gram Jaccard join with set-relation skipping.
 
-Documents become sets of word shingles; equal sets are one class. Shingles are ordered by document frequency (frequent ones last, the rest by hash), and only a set's prefix is indexed, so that sets that link share an indexed shingle. Index lists are ordered by set size and position: blocks whose sizes or positions can't reach the threshold are skipped. Answers are derived from similar sets' answers: sets that share enough of a list's hub, the set with the fewest shingles of its own, are compared as a group by their differences; sets that are known to be connected, or were compared as a group, are not visited again. What is left, pairs across groups and components, is counted over the whole prefix, bounded, and verified exactly.
+Documents become sets of word shingles; equal sets are one class. Shingles are ordered by document frequency (frequent ones last, the rest by hash), and only a set's prefix is indexed, so that sets that link share an indexed shingle. Index lists are ordered by set size: earlier sets that are too small are skipped as a block, positions are tested entry by entry. Sets that share enough of a list's hub, the set with the fewest shingles of its own, are compared as a group, all against all, as matrices without the shingles that all of them share; no answers are derived from a similar set's. Sets that are known to be connected, or were compared as a group, are not visited again. What is left, pairs across groups and components, is counted over the whole prefix, bounded, and verified exactly.
 """
 
 from __future__ import annotations
