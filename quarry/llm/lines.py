@@ -1,11 +1,8 @@
-"""Operator 10: line dedup by distinct-site spread. HyperLogLog sketches of the sites of each line hash are merged by aggregation; lines whose estimate is near the threshold get an exact distinct count; lines that stand on enough sites are boilerplate and are removed.
-
-A line that mostly stands in copies of one document is content, not boilerplate, however many sites hold the copies: it is left to the operators that remove duplicate documents. Documents are told apart by a sketch of what stands beside the line: for each of several orders, the smallest shingle hash of the document's other lines. How many of a line's rows agree, on average over the orders, estimates how much of the rest its documents share; unrelated texts agree in common lines only, near copies nearly always.
-"""
+"""Operator 10: line dedup by distinct-site spread. HyperLogLog sketches of the sites of each line hash are merged by aggregation; lines whose estimate is near the threshold get an exact distinct count; lines that stand on enough sites are boilerplate and are removed."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.llm.common import cut
 
@@ -13,76 +10,60 @@ from quarry.llm.common import cut
 SITES, SHORTEST = 6, 10
 #: log2 of a sketch's registers, and how far an estimate may lie from the threshold before it is trusted without an exact count: several standard errors of the sketch.
 LG_K, NEAR = 11, 0.25
-#: Largest part of the rest of its documents, by the sketches, that the rows of a boilerplate line may share.
-ALIKE = 0.5
-#: Words of a shingle, and what sets the orders of a sketch apart: the smallest hash is taken after an exclusive or with each.
-WORDS = 3
-ORDERS = tuple((0x9E3779B97F4A7C15 * k + 0x3C6EF372FE94F82A) % (1 << 64) - (1 << 63) for k in range(1, 9))
+HASHES = ["h1", "h2"]
 
 
-def sketch_of_lines(parts):
-    """For each of a text's lines that has words, its hash and the smallest hash of its shingles in each order. Each transform binds its argument, so that nothing is hashed twice; a line of fewer words than a shingle has its whole sequence as one."""
-    words = F.transform(F.filter(F.transform(parts, trimmed), lambda line: line != ""), lambda line: F.struct(F.xxhash64(line).alias("h"), F.split(line, " ").alias("w")))
-    shingled = lambda w: F.when(F.size(w) < WORDS, F.array(F.xxhash64(w))).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - WORDS), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WORDS)))))
-    hashed = F.transform(words, lambda x: F.struct(x["h"].alias("h"), shingled(x["w"]).alias("s")))
-    smallest = lambda s, c: F.array_min(F.transform(s, lambda v: v.bitwiseXOR(F.lit(c).cast("long"))))
-    return F.transform(hashed, lambda x: F.struct(x["h"].alias("h"), F.array(*(smallest(x["s"], c) for c in ORDERS)).alias("m")))
+def trimmed(line: Column) -> Column:
+    return F.trim(F.translate(line, "\t\r", "  "))
 
 
-def trimmed(line):
-    return F.trim(F.translate(line, "\t\r", "  "))
+def lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, shortest: int) -> DataFrame:
+    """One row per line that is long enough: id, of (the text's hash), site, at, h1, h2. A line is trimmed of spaces and tabs for its hash; a null site is a site of its own."""
+    text = F.col(f"`{text_col}`")
+    site = F.coalesce(F.concat(F.lit("="), F.col(f"`{site_col}`").cast("string")), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("of"), site.alias("site"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
+    long = rows.withColumn("line", trimmed(F.col("line"))).where(F.char_length("line") >= shortest)
+    return long.select("id", "of", "site", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, shortest: int, alike: bool) -> DataFrame:
-    """One row per line that is long enough: id, of (the text's hash), site, like (the sketch of the text's lines other than this one, if asked for; 0 where there is none), at, h1, h2. A line is trimmed of spaces and tabs for its hash; a null site is a site of its own."""
-    text = F.col(text_col)
-    # once a document, in projections of their own: beside the generator they would run once a line
-    whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("of"), F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit("")).alias("site"), F.split(text, "\n", -1).alias("parts"))
-    like = F.lit(None)
-    if alike:
-        # for each order the smallest hash, its line, and the smallest of the other lines
-        orders = range(len(ORDERS))
-        whole = whole.withColumn("sketch", sketch_of_lines(F.col("parts")))
-        first = lambda k: F.array_min(F.transform("sketch", lambda x: F.struct(x["m"][k].alias("m"), x["h"].alias("h"))))
-        second = lambda k: F.array_min(F.transform(F.filter("sketch", lambda x: x["h"] != F.col("least")[k]["h"]), lambda x: x["m"][k]))
-        whole = whole.withColumn("least", F.array(*(first(k) for k in orders)))
-        whole = whole.withColumn("next", F.array(*(second(k) for k in orders))).drop("sketch")
-        short = lambda v: F.coalesce(v.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"), F.lit(0))
-        like = F.array(*(short(F.when(F.col("least")[k]["h"] == F.col("h1"), F.col("next")[k]).otherwise(F.col("least")[k]["m"])) for k in orders))
-    rows = whole.select("*", F.posexplode("parts").alias("at", "line")).drop("parts")
-    line = trimmed("line")
-    found = rows.where(F.char_length(line) >= shortest).withColumn("h1", F.xxhash64(line)).withColumn("h2", F.xxhash64(F.lit(1), line))
-    return found.select("id", "of", "site", like.alias("like"), "at", "h1", "h2")
-
-
-def boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES, shortest: int = SHORTEST, alike: float = ALIKE) -> DataFrame:
-    """id, of, at of every boilerplate line.
+def boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES, shortest: int = SHORTEST) -> DataFrame:
+    """id, of, at of every boilerplate line: a line, trimmed, of `shortest` characters or more on `sites` distinct sites or more.
 
     Null sites are one site; null texts have no lines; lines shorter than `shortest` are never boilerplate. The first aggregation keeps a small sketch for each line hash and task, so a line that a third of all rows hold costs one row a task. Only rows of lines whose estimate may reach the threshold go on; they are found by a join that adaptive execution can split, and written once to the checkpoint folder. The exact count deduplicates (line, site) before it counts.
     """
-    hashes = ["h1", "h2"]
-    sketched = lines(docs, id_col, text_col, site_col, shortest, False).groupBy(*hashes).agg(F.count("*").alias("rows"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch")).where(F.col("rows") >= sites).select(*hashes, F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= sites * (1 - NEAR))
-    rows = cut(lines(docs, id_col, text_col, site_col, shortest, True).join(sketched, hashes))
-    exact = rows.where(F.col("estimate") <= sites * (1 + NEAR)).select(*hashes, "site").distinct().groupBy(*hashes).agg(F.count("*").alias("sites")).where(F.col("sites") < sites).select(*hashes)
-    agreeing = rows.select(*hashes, F.posexplode("like").alias("order", "like")).groupBy(*hashes, "order", "like").agg(F.count("*").alias("n")).groupBy(*hashes, "order").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
-    alone = agreeing.groupBy(*hashes).agg(F.sum("most").alias("most"), F.sum("all").alias("all")).where(F.col("most") <= alike * F.col("all")).select(*hashes)
-    found = alone.join(exact, hashes, "left_anti")
-    return rows.select("id", "of", "at", *hashes).join(found, hashes, "left_semi").select("id", "of", "at")
+    every = lines(docs, id_col, text_col, site_col, shortest)
+    sketched = every.groupBy(*HASHES).agg(F.count("*").alias("rows"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch")).where(F.col("rows") >= sites).select(*HASHES, F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= sites * (1 - NEAR))
+    rows = cut(every.join(sketched, HASHES))
+    few = rows.where(F.col("estimate") <= sites * (1 + NEAR)).select(*HASHES, "site").distinct().groupBy(*HASHES).agg(F.count("*").alias("sites")).where(F.col("sites") < sites).select(*HASHES)
+    return rows.select("id", "of", "at", *HASHES).join(few, HASHES, "left_anti").select("id", "of", "at")
 
 
-def strip_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES, shortest: int = SHORTEST, alike: float = ALIKE) -> DataFrame:
+def strip_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES, shortest: int = SHORTEST, spare: float = 0.0) -> DataFrame:
     """docs with the boilerplate lines taken out of their texts, and n_lines and n_removed (0 for null texts, which stay null). A text whose every line goes becomes empty; its row stays.
 
-    All columns of docs are kept, but columns named n_lines or n_removed are replaced. Rows are told apart by id and text: repeated rows are stripped alike, and rows with a null id too. The hits are grouped by document and joined back on the id; a document's hits are as many as its lines at most.
+    spare: a text of which less than this share of its characters would be left stays whole. By default none does; a pipeline that removes near copies afterwards may ask for it, as the lines of a text with copies on many sites all stand on many sites.
+
+    All columns of docs are kept, but columns named n_lines or n_removed are replaced; other names may be anything. Rows are told apart by id and text: repeated rows are stripped alike, and rows with a null id too. The hits are grouped by document and joined back on the id; a document's hits are as many as its lines at most. An empty table gives none.
     """
-    hits = boilerplate_lines(docs, id_col, text_col, site_col, sites, shortest, alike).groupBy(F.col("id").alias("_id"), F.col("of").alias("_of")).agg(F.collect_set("at").alias("_hits"))
-    rows = docs.drop("n_lines", "n_removed")
+    hits = boilerplate_lines(docs, id_col, text_col, site_col, sites, shortest).groupBy("id", "of").agg(F.collect_set("at").alias("hits"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))  # in a struct, no name can clash
+    text = F.col("row").getField(text_col)
     # hashing the hits, small beside the texts, saves sorting whole texts
-    joined = rows.join(hits.hint("shuffle_hash"), rows[id_col].eqNullSafe(hits["_id"]) & (F.xxhash64(rows[text_col]) == hits["_of"]), "left")
-    parts = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_hits", i)), "\n")
-    return joined.select(
-        *(F.when(F.col("_hits").isNull(), F.col(text_col)).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in rows.columns),
-        F.coalesce(F.array_size(parts), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("_hits").isNull(), 0).otherwise(F.array_size("_hits")).cast("long").alias("n_removed"),
-    )
+    joined = rows.join(hits.hint("shuffle_hash"), F.col("row").getField(id_col).eqNullSafe(hits["id"]) & (F.xxhash64(text) == hits["of"]), "left")
+    parts = F.split(text, "\n", -1)
+    kept = F.when(F.col("hits").isNotNull(), F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("hits", i)), "\n"))
+    made = joined.select("row", F.coalesce(F.array_size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.array_size("hits"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"))
+    if spare:
+        whole = F.col("kept").isNull() | (F.char_length("kept") < spare * F.char_length(text))
+        made = made.select("row", "n_lines", F.when(whole, 0).otherwise(F.col("n_removed")).cast("long").alias("n_removed"), F.when(~whole, F.col("kept")).alias("kept"))
+    return made.select(*(F.coalesce("kept", text).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names), "n_lines", "n_removed")
+
+
+SQL = f"""
+WITH l AS (SELECT doc_id, text, '=' || source AS site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+t AS (SELECT *, trim(translate(line, chr(9) || chr(13), '  ')) AS k FROM l),
+b AS (SELECT k FROM t WHERE length(k) >= {SHORTEST} GROUP BY k HAVING count(DISTINCT coalesce(site, '')) >= {SITES}),
+m AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE k IN (SELECT k FROM b)) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE k NOT IN (SELECT k FROM b)), '') AS kept FROM t GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN sha256(kept) END AS kept_sha256 FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id
+"""

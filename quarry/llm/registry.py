@@ -57,4 +57,4 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_repeats, op2_jaccard, op3_tiff, op4_toxicity, op5_language, op6_mixing, op7_license, op8_embeddings, op9_bpe, op10_lines)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_lines": lines.SQL}
