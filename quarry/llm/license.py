@@ -1,13 +1,13 @@
 """Operator 7: license scans by diagonal voting, with DataFrame functions alone.
 
-All rolling word 3-gram hashes of the documents are joined to the positions that they have in the templates, a small fixed table. A hit votes for its diagonal, document position less template position; votes are summed by diagonal, neighbouring diagonals of a template are merged, and the spans that result are verified: each vote is for equal words, and a template counts when enough of its own 3-grams have voted.
+All rolling word 3-gram hashes of the documents are joined to the positions that they have in the templates, a small fixed table; hashes that no template has are left out before rows are made of them. A hit votes for its diagonal, document position less template position; votes are summed by diagonal, neighbouring diagonals of a template are merged, and the spans that result are verified: each vote is for equal words, a template position counts once a span and only where it stands behind those before it, and a template counts when enough of its own 3-grams are found so.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quarry.llm.common import ascii_lower
+from quarry.llm.common import UPPER, shuffle_partitions
 
 # The phrases of the contract, and short notices in their usual public wording. Words are lower case, without punctuation.
 BASE = {
@@ -32,50 +32,60 @@ NOTICES = {
 K = 3
 #: Share of a template's 3-grams that must vote, and how far apart merged diagonals may lie.
 COVER, GAP = 0.6, 2
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words in a text that is not lower-cased yet.
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts words: everything in ASCII but letters and digits.
+PARTING = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """The words of a text, A-Z lower-cased: one pass makes spaces of all that parts words, another cuts at single spaces; patterns would take several times longer."""
+    spaced = F.translate(F.coalesce(text, F.lit("")), PARTING + UPPER, " " * len(PARTING) + UPPER.lower())
+    return F.array_remove(F.split(spaced, " ", -1), "")
 
 
-def grams(array: Column) -> Column:
-    """The K-grams of an array of words, as text."""
-    return F.transform(F.slice(array, 1, F.greatest(F.size(array) - (K - 1), F.lit(0))), lambda w, i: F.concat_ws(" ", w, *(F.get(array, i + k) for k in range(1, K))))
+def gram(array: Column, word: Column, at: Column) -> Column:
+    """The hash of the K-gram that begins with the word at this place."""
+    return F.xxhash64(word, *(F.get(array, at + k) for k in range(1, K)))
 
 
 def templates(spark, base: dict[str, str], notices: dict[str, str]) -> DataFrame:
-    """One row per template position: template, label, exact, grams, gram, at. Its size is the code's, never the data's."""
+    """One row per template position: template, label, exact, grams, parts (the K-gram's words), at, hash. Its size is the code's, never the data's."""
     rows = []
     for n, (exact, phrase, label) in enumerate([(True, *x) for x in base.items()] + [(False, *x) for x in notices.items()]):
         parts = phrase.split()
-        rows += [(n, label, exact, len(parts) - K + 1, " ".join(parts[i : i + K]), i) for i in range(len(parts) - K + 1)]
-    return spark.createDataFrame(rows, "template int, label string, exact boolean, grams int, gram string, at int")
+        rows += [(n, label, exact, len(parts) - K + 1, parts[i : i + K], i) for i in range(len(parts) - K + 1)]
+    made = spark.createDataFrame(rows, "template int, label string, exact boolean, grams int, parts array<string>, at int")
+    return made.withColumn("hash", F.xxhash64(*(F.get("parts", F.lit(k)) for k in range(K))))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES) -> DataFrame:
     """Per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score, over the whole text.
 
-    base: phrases of at least three words that must stand word for word; every place counts. notices: templates of which COVER of the 3-grams must be found along neighbouring diagonals. score is the largest share of a template's 3-grams that is found. Null and empty texts have no words, no labels and score 0. Rows with an equal id and text give equal rows; a null id stays. Other columns are not read. Only hits are shuffled, with their ids, and the ids and word counts for the final join.
+    base: phrases of at least three words that must stand word for word; every place counts. notices: templates of which COVER of the 3-grams must be found along neighbouring diagonals, in the template's order: of a span's positions the first place of each counts if it stands behind the first places of all positions before it. score is the largest share of a template's 3-grams that is found. Null and empty texts have no words, no labels and score 0. Repeated rows stay and give equal rows; a null id stays; an empty table gives none. Other columns are not read. Texts are scanned once; what is shuffled is each row's id and word count, and its hits.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).select("id", F.xxhash64("text").alias("of"), words(F.col("text")).alias("words"))
-    known = templates(docs.sparkSession, base, notices).withColumn("hash", F.xxhash64("gram"))
-    rolled = rows.select("id", "of", F.posexplode(grams(F.col("words"))).alias("pos", "found")).withColumn("hash", F.xxhash64("found"))
-    hits = rolled.join(F.broadcast(known), (rolled["hash"] == known["hash"]) & (F.col("found") == F.col("gram")))  # equal words, not hashes alone
-    key = ["id", "of", "template"]
-    # votes by diagonal; a repeated row's votes are the same positions again and count once
-    votes = hits.groupBy(*key, "label", "exact", "grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.countDistinct("at").alias("votes"))
-    by_diagonal = Window.partitionBy(*key).orderBy("diagonal")
+    known = templates(docs.sparkSession, base, notices)
+    hashes = [r["hash"] for r in known.select("hash").distinct().collect()]  # the code's templates, some hundred
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), words(F.col(f"`{text_col}`")).alias("words"))
+    starts = F.slice("words", 1, F.greatest(F.size("words") - (K - 1), F.lit(0)))
+    found = F.array_compact(F.transform(starts, lambda w, i: F.when(gram(F.col("words"), w, i).isin(hashes), i)))
+    kept = rows.select("row", "id", F.size("words").cast("long").alias("n_words"), F.transform(found, lambda i: F.struct(i.alias("pos"), F.slice("words", i + 1, K).alias("found"))).alias("hits"))
+    each = kept.select("row", "id", "n_words", F.explode_outer("hits").alias("hit")).select("row", "id", "n_words", "hit.pos", "hit.found")
+    rolled = each.withColumn("hash", F.xxhash64(*(F.get("found", F.lit(k)) for k in range(K))))
+    # equal words, not hashes alone; a document's rows meet once, all that follows stays there
+    voted = rolled.join(F.broadcast(known), (rolled["hash"] == known["hash"]) & (F.col("found") == F.col("parts")), "left").select("row", "id", "n_words", "template", "label", "exact", "grams", "pos", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
+    hits = voted.repartition(shuffle_partitions(docs), "row")
+    of, of_template = ["row", "id", "n_words"], ["template", "label", "exact", "grams"]
+    votes = hits.groupBy(*of, *of_template, "diagonal").agg(F.count("at").alias("votes"), F.collect_list(F.struct("at", "pos")).alias("places"))
+    by_diagonal = Window.partitionBy("row", "template").orderBy("diagonal")
     bands = votes.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > GAP).cast("int")).withColumn("band", F.sum(F.coalesce("new", F.lit(0))).over(by_diagonal))
+    # verified spans: the first place of each template position, counted where it stands behind those of all positions before it
+    firsts = bands.select("row", "template", "band", F.explode("places").alias("x")).where("template is not null").groupBy("row", "template", "band", F.col("x.at").alias("at")).agg(F.min("x.pos").alias("pos"))
+    ahead = F.max("pos").over(Window.partitionBy("row", "template", "band").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    chained = firsts.withColumn("ahead", ahead).groupBy("row", "template", "band").agg(F.count(F.when(F.col("ahead").isNull() | (F.col("pos") > F.col("ahead")), 1)).alias("chain"))
     place = F.when(F.col("exact") & (F.col("votes") == F.col("grams")), F.col("diagonal"))  # a base phrase stands there word for word
-    spans = bands.groupBy(*key, "label", "exact", "grams", "band").agg(F.least(F.sum("votes"), F.col("grams")).alias("votes"), F.max("votes").alias("best"), F.count(place).alias("places"), F.min(place).alias("first"), F.max(place).alias("last"))
-    share = F.when(F.col("exact"), F.col("best")).otherwise(F.col("votes")) / F.col("grams")
+    spans = bands.groupBy(*of, *of_template, "band").agg(F.max("votes").alias("best"), F.count(place).alias("places"), F.min(place).alias("first"), F.max(place).alias("last"))
+    spans = spans.join(chained.hint("shuffle_hash"), ["row", "template", "band"], "left")
+    share = F.when(F.col("exact"), F.col("best")).otherwise(F.col("chain")) / F.col("grams")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     labels = F.when(F.col("share") >= F.when(F.col("exact"), 1.0).otherwise(COVER), F.col("label"))
-    summary = spans.withColumn("share", share).groupBy("id", "of").agg(F.max("share").alias("score"), joined(labels).alias("labels"), F.sum("places").alias("n_base"), F.min("first").alias("first_word"), F.max("last").alias("last_word"), joined(F.when(F.col("places") > 0, F.col("label"))).alias("base_labels"))
-    every = docs.select(F.col(id_col).cast("long").alias(id_col), F.xxhash64(text_col).alias("_of"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(ANY_CASE)).cast("long").alias("n_words"))
-    return every.join(summary, every[id_col].eqNullSafe(summary["id"]) & every["_of"].eqNullSafe(summary["of"]), "left").select(
-        id_col, "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"), F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score")
-    )
+    summary = spans.withColumn("share", share).groupBy(*of).agg(F.sum("places").alias("n_base"), F.min("first").alias("first_word"), F.max("last").alias("last_word"), joined(F.when(F.col("places") > 0, F.col("label"))).alias("base_labels"), joined(labels).alias("labels"), F.max("share").alias("score"))
+    return summary.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"), "base_labels", "labels", F.coalesce("score", F.lit(0.0)).alias("score"))

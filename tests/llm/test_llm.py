@@ -234,6 +234,63 @@ def test_license(docs, empty):
     assert license.scan(empty).count() == 0
 
 
+def brute_notices(w, k=license.K):
+    """The labels and the score of a text's words, template by template."""
+    labels, best = set(), 0.0
+    for exact, phrase, label in [(True, *x) for x in license.BASE.items()] + [(False, *x) for x in license.NOTICES.items()]:
+        parts = phrase.split()
+        n = len(parts) - k + 1
+        hits = [(p - a, a, p) for p in range(len(w) - k + 1) for a in range(n) if w[p : p + k] == parts[a : a + k]]
+        bands = []
+        for d in sorted({h[0] for h in hits}):
+            if bands and d - bands[-1][-1] <= license.GAP:
+                bands[-1].append(d)
+            else:
+                bands.append([d])
+        for band in bands:
+            share = max(sum(h[0] == d for h in hits) for d in band) / n
+            if not exact:
+                first, chain = {}, 0
+                for d, a, p in hits:
+                    if d in band:
+                        first[a] = min(p, first.get(a, p))
+                for a, p in sorted(first.items()):
+                    chain += all(p > q for b, q in first.items() if b < a)
+                share = chain / n
+            best = max(best, share)
+            if share >= (1 if exact else license.COVER):
+                labels.add(label)
+    return ",".join(sorted(labels)), best
+
+
+def license_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def test_license_notices_against_brute_force(spark, empty):
+    rng = random.Random(17)
+    phrases = [*license.BASE, *license.NOTICES]
+    texts = []
+    for i in range(300):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            w = rng.choice(phrases).split()
+            for _ in range(rng.randint(0, 3)):  # drop, double, swap or put in words
+                k = rng.randrange(len(w))
+                w[k : k + 1] = rng.choice([[], [w[k], w[k]], [w[k], "x"], [rng.choice(w)]])
+            parts += w + ["filler"] * rng.randint(0, 3)
+        texts.append(rng.choice([" ", "-", "  /", "\n"]).join(w.upper() if rng.random() < 0.2 else w for w in parts))
+    texts += ["permission is hereby permission is hereby x x to any person", "", None, "é \0 ²", "word " * 200_000 + "under the MIT license", "\u212acc by nc"]
+    rows = [(k, t, 1, 2) for k, t in enumerate(texts)] + [(None, texts[0], 1, 2)] * 2
+    got = license.scan(spark.createDataFrame(rows, "doc_id long, text string, hash int, label int").repartition(3)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        w = license_words(texts[r["doc_id"] or 0])
+        labels, score = brute_notices(w)
+        assert (r["n_words"], r["labels"]) == (len(w), labels) and abs(r["score"] - score) < 1e-12, texts[r["doc_id"] or 0]
+    assert license.scan(empty).count() == 0
+
+
 def test_license_overlaps_and_notices(spark):
     rows = [(1, "CC BY-NC cc-by-nc BY NC"), (2, "This work is licensed under the GNU General Public License, version 3."), (2, "This work is licensed under the GNU General Public License, version 3."), (None, None)]
     got = sorted((tuple(r[c] for c in ("doc_id", "n_base", "base_labels", "labels")) for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
@@ -276,45 +333,49 @@ def test_bpe(docs, empty):
     assert bpe.encode_documents(empty, tokenizer()).count() == 0
 
 
-def test_lines(spark, empty):
+def brute_lines(rows, sites=6, shortest=10, spare=0.0):
+    trim = lambda line: line.replace("\t", " ").replace("\r", " ").strip(" ")
+    found = collections.defaultdict(set)
+    for _, text, site in rows:
+        for line in (text or "").split("\n"):
+            found[trim(line)].add(site)
+    gone = {line for line, on in found.items() if len(on) >= sites and len(line) >= shortest}
+    out = []
+    for key, text, _ in rows:
+        kept = None if text is None else "\n".join(line for line in text.split("\n") if trim(line) not in gone)
+        out.append((key, text if text is None or len(kept) < spare * len(text) else kept))
+    return out
+
+
+@pytest.mark.parametrize("spare", [0.0, 0.5])
+def test_lines(spark, empty, spare):
     rng = random.Random(9)
     fill = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30))
-    spread, copied = "Boilerplate of many sites", "A line of one document that has many copies"
-    page = fill() + "\n" + copied
-    rows = [(i, fill() + "\n" + spread + ("\n" + "On few sites only, this one" if i < 5 else ""), f"s{i}") for i in range(12)] + [(100 + i, page, f"s{i}") for i in range(12)] + [(300, None, "s1"), (301, "", None), (301, "", None)]
-    got = lines.strip_lines(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_lines", F.lit("clash"))).collect()
-    by = {r["doc_id"]: r for r in got}
-    assert len(got) == len(rows)
-    assert all(by[i]["n_removed"] == 1 and spread not in by[i]["text"] for i in range(12))
-    assert all(by[100 + i]["text"] == page for i in range(12)) and by[300]["text"] is None and by[300]["n_lines"] == 0 and by[0]["n_lines"] == 3
+    page = "\n".join(fill() for _ in range(4))
+    rows = [(i, "\n".join([fill(), "Boilerplate of many sites", *(f"On {n} sites only, this one" for n in range(3, 12) if i < n), "\t Boilerplate of many sites \r", "short"]), f"s{i}") for i in range(12)]
+    rows += [(100 + i, page + ("\n" + fill()) * (i % 2), f"s{i}") for i in range(12)] + [(300, None, "s1"), (301, "", None), (301, "", None), (None, page, None), (302, "Twice on a site\n" * 9, "s1")]
+    rows += [(400 + i, "With the null site of five others\nx", f"s{i}" if i else None) for i in range(6)]
+    frame = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, source string, n_lines int, hits int, row int").repartition(3)
+    got = lines.strip_lines(frame, spare=spare).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(brute_lines(rows, spare=spare), key=str)
+    assert all(r["n_lines"] == (0 if t is None else len(t.split("\n"))) for r in got for k, t, _ in rows if r["doc_id"] is not None and k == r["doc_id"])
+    assert got[0]["hits"] == 2 and got[0]["row"] == 3
     assert lines.strip_lines(empty).count() == 0
 
 
-def unrelated_and_copied(spark):
-    """Unrelated texts that share the word of the smallest hash, a line with that word and a footer; near copies of one page; and the shared lines."""
+def unrelated_and_copied():
+    """Unrelated texts with a line and a footer of many sites; near copies of one page on many sites, which share a line; and the lines of many sites of unrelated texts."""
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     fill = lambda n: [" ".join(word() for _ in range(30)) for _ in range(n)]
-    low = spark.range(100000).select(F.concat(F.lit("w"), "id").alias("w")).orderBy(F.xxhash64("w")).first()[0]
-    common, spread, footer, copied = low, f"Read {low} news of many sites here", "All rights are with their owners", "A line of one page that has many near copies"
+    spread, footer, copied = "Read the news of many sites here", "All rights are with their owners", "A line of one page that has many near copies"
     page = fill(5)
-    rows = [(i, "\n".join([*fill(4), common, spread, footer]), f"s{i % 12}") for i in range(48)]
+    rows = [(i, "\n".join([*fill(4), spread, footer]), f"s{i % 12}") for i in range(48)]
     for i in range(100, 124):
         edited = [line.split(" ") for line in page]
         edited[i % 5][i % 30] = word()
         rows.append((i, "\n".join([*(" ".join(line) for line in edited), copied]), f"s{i % 12}"))
-    return rows, {spread, footer}, copied
-
-
-def test_lines_of_unrelated_texts(spark):
-    rows, shared, copied = unrelated_and_copied(spark)
-    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    least = F.array_min(F.transform(F.split(F.translate("text", "\n\t", "  "), " "), lambda w: F.xxhash64(w)))
-    assert frame.where("doc_id < 100").groupBy(least).count().agg(F.max("count")).first()[0] > 24  # one word is the minimum of most
-    got = {r["doc_id"]: r for r in lines.strip_lines(frame).collect()}
-    for key, text, _ in rows:
-        assert got[key]["text"] == "\n".join(line for line in text.split("\n") if line not in shared), key
-    assert all(copied in got[key]["text"] for key in range(100, 124))
+    return rows
 
 
 def test_pipeline(spark):
@@ -337,13 +398,13 @@ def test_pipeline_stages_against_brute_force(spark):
     import corpus_pipeline as P
 
     rng = random.Random(31)
-    rows, shared, _ = unrelated_and_copied(spark)
+    rows = unrelated_and_copied()
     for size in [20] * 40 + [60] * 10 + [300] * 3:  # a text, and a longer copy at the threshold of 80/100 five-word shingles
         words = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(size * 5 // 4 + 4)]
         rows += [(1000 + len(rows) + k, " ".join(words[: m + 4]), "s1") for k, m in enumerate((size, size * 5 // 4))]
     docs = spark.createDataFrame([(key, text, "en", site, 0) for key, text, site in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     stripped = P.boilerplate(spark, docs, SF).cache()
-    want = {key: "\n".join(line for line in text.split("\n") if line not in shared) for key, text, _ in rows}
+    want = dict(brute_lines(rows, spare=P.SPARE))
     assert {r["doc_id"]: r["text"] for r in stripped.collect()} == want
     kept = {v[1] for v in brute_jaccard(list(want.items()), 5, 80, 100).values()}
     assert sorted(r["doc_id"] for r in P.near_duplicates(spark, stripped, SF).collect()) == sorted(kept)
