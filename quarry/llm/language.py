@@ -1,9 +1,9 @@
-"""Operator 5: language identification by hierarchical discrimination: first the language family, then linear support vector machines, one against the rest, inside it."""
+"""Operator 5: language identification by hierarchical discrimination: first the language family, then one-versus-one linear support vector machines, one for each pair of the family's languages, which vote."""
 
 from __future__ import annotations
 
-import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,6 @@ FAMILIES = {
 SIZE = 4096
 #: Labelled rows per language that the classifier is fitted on, about: rows are picked by a hash of their id.
 TRAIN_ROWS = 800
-LETTER = re.compile(r"[^\W\d_]")
 SPACES = np.full(256, 32, np.uint8)
 SPACES[65:91], SPACES[97:123] = np.arange(97, 123), np.arange(97, 123)
 SPACES[128:] = np.arange(128, 256)
@@ -59,56 +58,66 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 15) -> np
 
 
 class Model:
-    """families: (names, weights); languages: by family, (names, weights). Each weight row separates its class from the others of its level."""
+    """families: names, and a weight row for each that separates it from the others; languages: by family, names and a weight row for each pair of names, positive for the first of the pair."""
 
     def __init__(self, x: np.ndarray, langs: list[str]):
         family = {lang: name for name, all_ in FAMILIES.items() for lang in all_}
         of = np.array([family.get(lang, lang) for lang in langs])
         langs = np.array(langs)
-        self.families = self.level(x, of)
-        self.languages = {name: self.level(x[of == name], langs[of == name]) for name in self.families[0]}
+        self.families = sorted(set(of.tolist()))
+        self.family_weights = np.array([svm(x, np.where(of == name, 1.0, -1.0)) for name in self.families]) if len(self.families) > 1 else np.zeros((1, x.shape[1] + 1))
+        self.languages = {name: self.pairs(x[of == name], langs[of == name]) for name in self.families}
 
     @staticmethod
-    def level(x: np.ndarray, y: np.ndarray) -> tuple[list[str], np.ndarray]:
+    def pairs(x: np.ndarray, y: np.ndarray) -> tuple[list[str], list[tuple[int, int]], np.ndarray]:
         names = sorted(set(y.tolist()))
-        if len(names) == 1:
-            return names, np.zeros((1, x.shape[1] + 1))
-        return names, np.array([svm(x, np.where(y == name, 1.0, -1.0)) for name in names])
+        both = list(combinations(range(len(names)), 2))
+        weights = [svm(x[of], np.where(y[of] == names[i], 1.0, -1.0)) for i, j in both for of in [(y == names[i]) | (y == names[j])]]
+        return names, both, np.array(weights).reshape(len(both), x.shape[1] + 1)
+
+    def family(self, x: np.ndarray) -> tuple[str, float]:
+        if len(self.families) == 1:
+            return self.families[0], 1.0
+        margin = self.family_weights[:, :-1] @ x + self.family_weights[:, -1]
+        chance = np.exp(3 * (margin - margin.max()))
+        best = int(margin.argmax())
+        return self.families[best], float(chance[best] / chance.sum())
 
-    @staticmethod
-    def pick(x: np.ndarray, level: tuple[list[str], np.ndarray]) -> tuple[str, float]:
-        names, weights = level
+    def language(self, x: np.ndarray, family: str) -> tuple[str, float]:
+        """The language with most votes of its family's pairs, of equals the one with the larger sum of margins, then the first by name; and the mean chance that its own pairs give it."""
+        names, both, weights = self.languages[family]
         if len(names) == 1:
             return names[0], 1.0
         margin = weights[:, :-1] @ x + weights[:, -1]
-        chance = np.exp(3 * (margin - margin.max()))
-        best = int(margin.argmax())
-        return names[best], float(chance[best] / chance.sum())
+        votes, sums, chance = np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names))
+        for (i, j), m in zip(both, margin.tolist(), strict=True):
+            votes[i if m >= 0 else j] += 1
+            sums[i], sums[j] = sums[i] + m, sums[j] - m
+            p = 1 / (1 + float(np.exp(-np.clip(3 * m, -50, 50))))
+            chance[i], chance[j] = chance[i] + p, chance[j] + 1 - p
+        best = max(range(len(names)), key=lambda k: (votes[k], sums[k], -k))
+        return names[best], float(chance[best] / (len(names) - 1))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and a score from 0 to 1; `und` and 0 without a letter."""
-        if text is None or not LETTER.search(text) or not self.languages:
+        if text is None or not self.languages or not any(map(str.isalpha, text)):
             return "und", 0.0
         x = features(text)
-        family, a = self.pick(x, self.families)
-        lang, b = self.pick(x, self.languages[family])
+        family, a = self.family(x)
+        lang, b = self.language(x, family)
         return lang, a * b
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model:
-    """Fits on a bounded sample: of each language about train_rows rows, those with the smallest hash of their id. The sample's size does not grow with the input; languages are counted over all rows given."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return Model(np.zeros((0, SIZE), np.float32), [])
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, train_rows / n)).otherwise(share)
-    picked = rows.where((F.xxhash64("id") / F.lit(2.0**64) + 0.5) < share)
+    """Fits on a bounded sample: of each language about train_rows rows, those with the smallest hash of id and text. The sample's size does not grow with the input; languages are counted over all rows given, and the counts are joined."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("lang is not null and text is not null")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    picked = rows.join(counts, "lang").where((F.xxhash64("id", "text") / F.lit(2.0**64) + 0.5) * F.col("n") < train_rows)
 
     def sample(key, text, lang):
         return key, lang, features(text).astype(np.float16).tobytes()
 
+    # a text's rows of one id are one in the order, so that reruns agree
     found = sorted(map(tuple, picked.select("id", "text", "lang").mapInArrow(by_row({"id": pa.int64(), "lang": pa.string(), "x": pa.binary()}, sample), "id long, lang string, x binary").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1], bytes(r[2])))
     return Model(np.array([np.frombuffer(r[2], np.float16) for r in found]).astype(np.float32).reshape(-1, SIZE), [r[1] for r in found])
 
@@ -116,9 +125,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """Predicts the language of every row's whole text: id, held_out, lang_pred, score.
 
-    The rows whose crc32 of the id (as text) leaves 2 modulo 4 are held out; the others with a non-null language are what is learned from. Predictions use the text alone. Null texts and texts without a letter give `und` with score 0, as does every row if nothing can be learned. A null id is not held out. Repeated rows stay, other columns are not read. One pass counts languages, one takes the sample, one predicts; nothing is shuffled but the counts.
+    The rows whose crc32 of the id (as text) leaves 2 modulo 4 are held out; the others with a non-null language are what is learned from. Predictions use the text alone. Null texts and texts without a letter give `und` with score 0, as does every row if nothing can be learned. A null id is not held out. Repeated rows stay, other columns are not read. One pass counts languages, one takes the sample, one predicts; nothing is shuffled but the counts, unless there are too many languages to send their counts to all tasks. A letter is what Unicode calls one (category L). An empty table gives none.
     """
-    out = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
+    out = F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % 4 == 2, F.lit(False))
     learned = fit(docs.where(~out), id_col, text_col, lang_col, train_rows)
     model = docs.sparkSession.sparkContext.broadcast(learned)  # some dozen weight vectors, whatever the input's size
 
@@ -126,7 +135,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         return (key, held_out, *model.value.predict(text))
 
     columns = {id_col: pa.int64(), "held_out": pa.bool_(), "lang_pred": pa.string(), "score": pa.float64()}
-    return docs.select(F.col(id_col).cast("long").alias(id_col), out.alias("held_out"), F.col(text_col).alias("text")).mapInArrow(by_row(columns, row), f"{id_col} long, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias(id_col), out.alias("held_out"), F.col(f"`{text_col}`").alias("text")).mapInArrow(by_row(columns, row), f"{id_col} long, held_out boolean, lang_pred string, score double")
 
 
 def crc_mod(key: int) -> int:

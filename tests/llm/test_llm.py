@@ -190,6 +190,21 @@ def test_language(spark, docs, empty):
     assert all(found[k]["lang_pred"] == "und" for k in (200, 201, 202, 205)) and found[204]["lang_pred"] != "und"
     assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 4 == 2) for k, r in found.items())
     assert language.identify(empty).count() == 0
+    odd = [(1, "\u00bd \u00b2 \u2167 \u2460 7_"), (2, "\u00aa"), (None, "Der Hund"), (None, "Der Hund"), (5, "\u4e2d")]
+    found = language.identify(spark.createDataFrame([(*r, "de", 1) for r in odd], "doc_id long, text string, lang string, held_out int")).collect()
+    assert sorted((r["doc_id"] or 0, r["lang_pred"]) for r in found) == [(0, "de"), (0, "de"), (1, "und"), (2, "de"), (5, "de")]
+
+
+def test_language_pairs_vote():
+    rng = np.random.default_rng(8)
+    langs = np.array(["es", "fr", "it", "pt", "ru", "uk"])
+    centers = rng.standard_normal((6, 12)) + 3 * (np.arange(6) >= 4)[:, None]
+    y = rng.integers(0, 6, 600)
+    x = (centers[y] + 0.3 * rng.standard_normal((600, 12))).astype(np.float32)
+    model = language.Model(x, langs[y].tolist())
+    assert len(model.languages["romance"][1]) == 6 and len(model.languages["slavic"][1]) == 1
+    picked = [model.language(v, model.family(v)[0])[0] for v in x]
+    assert np.mean(np.array(picked) == langs[y]) > 0.97
 
 
 def test_mixing(docs, empty):
@@ -207,10 +222,11 @@ def test_mixing(docs, empty):
             break
         full |= over
     target = {s: 3 * sizes[s] if s in full else weight[s] * level for s in order}
-    got = {r["doc_id"]: r for r in mixing.plan(docs).collect()}
+    planned = mixing.plan(docs).collect()
+    got = {r["doc_id"]: r for r in planned}
     for key, n, s in rows:
         r = got[key]
-        assert (r["size"], r["source_size"]) == (n, sizes[s]) and abs(r["target"] - target[s]) < 1e-6 and r["taken"] <= 3 * n and 0 <= r["position"] <= 1
+        assert (r["size"], r["source_size"]) == (n, sizes[s]) and abs(r["target"] - target[s]) < 1e-6 and r["taken"] <= 3 * n and (r["position"] is None) == (r["copies"] == 0)
     largest = collections.defaultdict(int)
     taken = collections.Counter()
     for key, n, s in rows:
@@ -218,20 +234,31 @@ def test_mixing(docs, empty):
     assert all(abs(taken[s] - target[s]) <= largest[s] + 1 for s in order)
     assert {r["doc_id"]: r for r in mixing.plan(docs).collect()} == got
     assert mixing.plan(empty).count() == 0
-    places = [r["position"] for r in mixing.schedule(mixing.plan(docs)).collect()]
-    assert places == sorted(places) and len(places) == sum(r["copies"] for r in got.values())
-
-
-def test_license(docs, empty):
-    phrases = license.BASE
-    for r in license.scan(docs).collect():
-        text = next(x[1] for x in sample() if x[0] == r["doc_id"]) or ""
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
-        places = sorted((i, label) for p, label in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
-        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(places), places[0][0] if places else None, places[-1][0] if places else None)
-        assert r["base_labels"] == ",".join(sorted({p[1] for p in places})) and set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
-        assert 0 <= r["score"] <= 1
-    assert license.scan(empty).count() == 0
+    copies = mixing.schedule(mixing.plan(docs)).collect()
+    places = [r["position"] for r in copies]
+    assert places == sorted(places) and len(places) == sum(r["copies"] for r in planned) and 0 <= places[0] and places[-1] <= 1
+    # by any time, each source has been taken to the integral of its weight, within one document
+    rate = {s: mixing.DRIFT[k % 3] for k, s in enumerate(order)}
+    for time in np.linspace(0, 1, 21):
+        demand = {s: target[s] * time * (rate[s][0] + (rate[s][1] - rate[s][0]) * time / 2) for s in order}
+        drawn = collections.Counter()
+        for r in copies:
+            drawn[r["source"]] += r["size"] * (r["time"] < time)
+        assert all(abs(drawn[s] - demand[s]) <= largest[s] + 1 for s in order), time
+        # and the positions up to then are the words of all sources
+        upto = max((r["position"] for r in copies if r["time"] < time), default=0.0)
+        assert upto <= sum(demand.values()) / total + 1e-9
+    assert all(max(r["position"] for r in copies if r["source"] == s) > 1 - 2 * largest[s] / target[s] - 1e-9 for s in order if target[s] > 5 * largest[s])
+    firsts = [r["position"] for r in mixing.ordered(mixing.plan(docs)).collect()]
+    assert firsts == sorted(firsts, key=lambda p: (p is None, p or 0.0))
+
+
+def test_mixing_of_null_and_repeated_rows(spark):
+    rows = [(None, "a b c", "x"), (None, "a b c", "x"), (1, "d e", None), (1, "d e", None), (2, None, "x"), (3, "", None), (4, "f \x0b g\x85h", "y")]
+    got = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows) and sorted(r["size"] for r in got) == [0, 0, 2, 2, 2, 3, 3]
+    assert sum(r["taken"] for r in got) >= 10 and all(r["taken"] <= 3 * r["size"] for r in got)
+    assert mixing.plan(spark.createDataFrame([(1, None, None), (2, " ", "a")], "doc_id long, text string, source string")).agg(F.sum("taken")).first()[0] == 0
 
 
 def brute_notices(w, k=license.K):
