@@ -5,6 +5,8 @@ Which suffixes take part. Every window of SPAN bytes belongs to the suffix at it
 The sort. Tasks sort the suffixes of their documents (from the anchor on, then what lies before it, as far as windows reach) into runs, keep the first of equal ones, and exchange runs front-coded: each suffix as the length of the prefix it shares with the one before it, and the rest. Buckets merge their runs with a loser tree that holds each run's known common prefix with the last winner; two suffixes are compared only beyond it. In the merged order suffixes of one gram are neighbours; windows of suffixes that are not equal as a whole are told apart there, byte for byte.
 
 A gram with very many places, such as a common line's, would put them all into one bucket. Its windows are sorted as suffixes of their own instead, from their first byte on: equal ones collapse in every task, the others spread over all buckets.
+
+Tasks take documents in order, so whatever they have met before is the earlier place, and a text that they have met as a whole is a repeat as a whole. What is found leaves tasks as merged ranges, one row for each document.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ SPAN, GRAM = 100, 32
 #: Places of a gram from which its windows are sorted one by one.
 FREQUENT = 2000
 #: Bytes of text hashed at a time, and of suffixes in a run.
-PIECE, RUN = 1 << 19, 16 << 20
+PIECE, RUN = 1 << 19, 12 << 20
+#: Whole texts that a task remembers, by digest; what it doesn't remember is found by its windows.
+WHOLE = 1 << 20
 LOW = -(1 << 63)
 
 
@@ -83,9 +87,56 @@ def pack(first, mark, more, anchor):
 
 
 def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc (a null id counts as the smallest number), mark (16 bits of the text's hash, to tell apart rows of one id) and text, a null as empty."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOW)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(65536)).cast("int").alias("mark"), text.alias("text"))
+    """doc, mark (16 bits of the text's hash, to tell apart rows of one id) and text, a null as empty. A row with a null id gets a number below all ids, made of 62 bits of its text's hash, so that such rows are spread and are documents of their own."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    key = F.col(f"`{id_col}`").cast("long")
+    key = F.when(key < LOW // 2, F.raise_error(F.lit("ids below -2^62 are taken by rows without an id")).cast("long")).otherwise(key)
+    return docs.select(F.coalesce(key, F.lit(LOW) + F.shiftrightunsigned(F.xxhash64(F.lit(1), text), 2)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(65536)).cast("int").alias("mark"), text.alias("text"))
+
+
+def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[tuple[bytes, int]], pa.Scalar]]:
+    """doc, mark, the different packed texts of both in order with the number of their rows, and the last column's value, from rows sorted by doc and mark. Texts of one id whose marks are equal are told apart by their order."""
+    key, texts, value = None, {}, None
+    for batch in batches:
+        docs, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for r in range(batch.num_rows):
+            here = int(docs[r]), int(marks[r])
+            if here != key:
+                if texts:
+                    yield *key, sorted(texts.items()), value
+                key, texts, value = here, {}, batch.column(3)[r]
+            packed = batch.column(2)[r].as_py()
+            texts[packed] = texts.get(packed, 0) + 1
+    if texts:
+        yield *key, sorted(texts.items()), value
+
+
+def own_places(raw: bytes, packs: np.ndarray, alone: bool) -> np.ndarray:
+    """The places (sorted) among packs that are the text's; where others have its id and mark, those that its own bytes give."""
+    packs = np.unique(packs)  # repeated rows give each place again
+    if alone:
+        return packs
+    mine = {(int(f), int(m), int(a)) for _, first, more, anchor, _ in ranges([raw]) for f, m, a in zip(first, more, anchor, strict=True)}
+    return np.array([x for x in packs.tolist() if (x >> 31, x >> 8 & 127, x >> 1 & 127) in mine], np.int64)
+
+
+def ranged(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    """doc, mark and merged ranges (pairs of first window and windows less one) from places of repeats (doc, mark, first, more)."""
+    x = np.array(found, np.int64).reshape(-1, 4)
+    x = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))]
+    head = np.ones(len(x), bool)
+    head[1:] = (x[1:, 0] != x[:-1, 0]) | (x[1:, 1] != x[:-1, 1])
+    of = np.cumsum(head) - 1
+    # the farthest window so far in each document: offsets by document keep running maxima apart
+    far = np.maximum.accumulate(x[:, 2] + x[:, 3] + (of << 32)) - (of << 32)
+    new = head.copy()
+    new[1:] |= x[1:, 2] > far[:-1] + 1
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(x)) - 1 if len(at) else at
+    pairs = np.column_stack([x[at, 2], far[last] - x[at, 2]]).astype("<u4")
+    docs = np.flatnonzero(head[at])
+    ends = np.append(docs[1:], len(at))
+    return pa.RecordBatch.from_arrays([pa.array(x[at[docs], 0]), pa.array(x[at[docs], 1].astype(np.int32)), pa.array([pairs[a:b].tobytes() for a, b in zip(docs, ends, strict=True)], pa.binary())], ["doc", "mark", "ranges"])
 
 
 def deflated(batches):
@@ -126,14 +177,14 @@ class Run:
             rest.append(text[k:])
             last = text
         n = len(entries)
-        parts = [np.array(shared, "<u2"), np.array([len(r) for r in rest], "<u2"), np.array([o for _, o, _ in entries], np.uint8), np.array([p[0] for _, _, p in entries], "<i8"), np.array([p[1] for _, _, p in entries], "<u2"), np.array([p[2] for _, _, p in entries], "<u4")]
+        parts = [np.array(shared, "<u2"), np.array([len(r) for r in rest], "<u2"), np.array([o for _, o, _ in entries], np.uint8), np.array([p[0] for _, _, p in entries], "<i8"), np.array([p[1] for _, _, p in entries], "<u4"), np.array([p[2] for _, _, p in entries], "<u4")]
         return zlib.compress(n.to_bytes(4, "little") + b"".join(p.tobytes() for p in parts) + b"".join(rest), 4)
 
     @staticmethod
     def decoded(block: bytes) -> Iterator[tuple[int, bytes, int, tuple[int, int, int]]]:
         block = zlib.decompress(block)
         n, at, columns = int.from_bytes(block[:4], "little"), 4, []
-        for kind in ("<u2", "<u2", np.uint8, "<i8", "<u2", "<u4"):
+        for kind in ("<u2", "<u2", np.uint8, "<i8", "<u4", "<u4"):
             column = np.frombuffer(block, kind, n, at)
             at += column.nbytes
             columns.append(column.tolist())
@@ -195,59 +246,66 @@ def merge(blocks: list[bytes]) -> Iterator[tuple[int, bytes, int, tuple[int, int
 
 
 def sorted_runs(buckets: int):
-    """The map side: (doc, mark, text, places) to blocks by bucket; a suffix that the task has met already is a repeat at once."""
+    """The map side: (doc, mark, text, places), sorted by doc and mark, to blocks by bucket; a suffix that the task has met already is a repeat at once."""
 
     def run(batches):
         runs: dict[tuple[bytes, int], tuple[int, int, int]] = {}
         homes: dict[tuple[bytes, int], int] = {}
-        again: list[tuple[int, int, int]] = []
+        whole: set[bytes] = set()
+        again: list[pa.RecordBatch] = []
         held = 0
 
         def flush():
             dealt: dict[int, list] = {}
             for key, place in runs.items():
                 dealt.setdefault(homes[key], []).append((*key, place))
-            out: list[tuple] = []
             for bucket, entries in dealt.items():
                 entries.sort()
-                out.append((bucket, Run.coded(entries), None))
-            by_home: dict[int, list] = {}
-            for doc, packed, more in again:
-                by_home.setdefault(hash(doc) % buckets, []).append((doc, packed, more))
-            for bucket, found in by_home.items():
-                out.append((bucket, None, np.array(found, "<i8").tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())], ["bucket", "block", "found"])
-
-        for batch in batches:
-            for r in range(batch.num_rows):
-                doc, mark, raw = batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), zlib.decompress(batch.column(2)[r].as_py())
-                own = batch.column(3)[r].values
-                for packed, gram in zip(own.field(0).to_numpy().tolist(), own.field(1).to_numpy().tolist(), strict=True):
-                    first, of, more, anchor = packed >> 31, packed >> 15 & 65535, packed >> 8 & 127, packed >> 1 & 127
-                    if of != mark:  # of another row with this id
-                        continue
-                    if packed & 1:
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([Run.coded(entries)], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())], names)
+            if again:
+                made = pa.Table.from_batches(again).combine_chunks()
+                home = pa.array((made["doc"].to_numpy() % buckets).astype(np.int32))
+                yield from pa.table({"bucket": home, "block": pa.nulls(len(home), pa.binary()), "doc": made["doc"], "mark": made["mark"], "ranges": made["ranges"]}).to_batches()
+
+        names = ["bucket", "block", "doc", "mark", "ranges"]
+        for doc, mark, texts, value in by_document(batches):
+            packs = value.values.field(0).to_numpy()
+            grams = dict(zip(packs.tolist(), value.values.field(1).to_numpy().tolist(), strict=True))
+            packs = packs[(packs >> 15 & 65535) == mark]  # without those of other rows with this id
+            for k, (packed, _) in enumerate(texts):
+                raw, name, found = zlib.decompress(packed), mark | k << 16, []
+                digest = hashlib.blake2b(packed, digest_size=16).digest()
+                if digest in whole:
+                    if len(raw) >= SPAN:
+                        again.append(ranged([(doc, name, 0, len(raw) - SPAN)]))
+                    continue
+                if len(whole) < WHOLE:
+                    whole.add(digest)
+                for packed_place in own_places(raw, packs, len(texts) == 1).tolist():
+                    first, more, anchor = packed_place >> 31, packed_place >> 8 & 127, packed_place >> 1 & 127
+                    if packed_place & 1:
                         entries = [(b"\1" + raw[s : s + SPAN], 0, s, None) for s in range(first, first + more + 1)]
                     else:
                         at = first + anchor
-                        entries = [(b"\0" + raw[at : first + more + SPAN] + raw[first:at], anchor, first, gram % buckets)]
+                        entries = [(b"\0" + raw[at : first + more + SPAN] + raw[first:at], anchor, first, grams[packed_place] % buckets)]
                     for text, offset, start, home in entries:
-                        key, place = (text, offset), (doc, mark, start)
-                        known = runs.get(key)
-                        if known is None:
-                            runs[key] = place
+                        key = (text, offset)
+                        if key in runs:
+                            found.append((doc, name, start, 0 if packed_place & 1 else more))
+                        else:
+                            runs[key] = doc, name, start
                             homes[key] = zlib.crc32(text) % buckets if home is None else home
                             held += len(text) + 200
-                        elif known != place:
-                            later = max(known, place)
-                            runs[key] = min(known, place)
-                            again.append((later[0], later[1] << 32 | later[2], 0 if packed & 1 else more))
-                            held += 100
+                if found:
+                    again.append(ranged(found))
+                    held += 100 + again[-1].nbytes
                 if held >= RUN * 4:
-                    yield flush()
-                    runs, homes, again, held = {}, {}, [], 0
-        if held:
-            yield flush()
+                    yield from flush()
+                    runs.clear()
+                    homes.clear()
+                    again.clear()
+                    held = 0
+        yield from flush()
 
     return run
 
@@ -285,20 +343,14 @@ def repeated(members: list[tuple[bytes, int, tuple[int, int, int]]]) -> Iterator
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The reduce side of one bucket: doc, mark, first, more of the repeats."""
-    blocks, passed = [], []
+    """The reduce side of one bucket: doc, mark and merged ranges of the repeats; one row for each document and batch of what is found."""
+    blocks = []
     for batch in batches:
         blocks += [b for b in batch.column("block").to_pylist() if b is not None]
-        passed += [f for f in batch.column("found").to_pylist() if f is not None]
-    names = ["doc", "mark", "first", "more"]
-    for part in passed:
-        x = np.frombuffer(part, "<i8").reshape(-1, 3)
-        yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array((x[:, 1] >> 32).astype(np.int32)), pa.array(x[:, 1] & 0xFFFFFFFF), pa.array(x[:, 2])], names)
-    out: list[tuple] = []
-
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names)
-
+        passed = batch.select(["doc", "mark", "ranges"]).filter(batch.column("ranges").is_valid())
+        if passed.num_rows:
+            yield passed
+    out: list[tuple[int, int, int, int]] = []
     members: list[tuple] = []
     least = None  # of equal frequent windows: the first place
     for shared, text, offset, place in merge(blocks):
@@ -317,12 +369,12 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out += repeated(members)
                 members = []
             members.append((text, offset, place))
-        if len(out) >= 100_000:
-            yield batch_of(out)
+        if len(out) >= 500_000:
+            yield ranged(out)
             out = []
     out += repeated(members)
     if out:
-        yield batch_of(out)
+        yield ranged(out)
 
 
 def strip(raw: bytes, firsts: np.ndarray, lasts: np.ndarray) -> tuple[int, int, bytes]:
@@ -337,9 +389,9 @@ def strip(raw: bytes, firsts: np.ndarray, lasts: np.ndarray) -> tuple[int, int,
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining bytes).
 
-    Each byte goes that a SPAN-byte string covers which also starts earlier: in a document with a smaller id, or in the same document further ahead. Strings are judged on the input. Null and empty texts, and texts shorter than SPAN, lose nothing. A null id counts as the smallest. Rows with an equal id and text are one document and give equal rows; of rows with an equal id and other texts one, by a hash, counts as the earlier document. Other columns are not read.
+    Each byte goes that a SPAN-byte string covers which also starts earlier: in a document with a smaller id, or in the same document further ahead. Strings are judged on the input. Null and empty texts, and texts shorter than SPAN, lose nothing. Rows with a null id come before all others; those with different texts are documents of their own, in the order of a hash. Rows with an equal id and text are one document and give equal rows; of rows with an equal id and other texts one, by a hash, counts as the earlier document. Ids below -2^62 are refused. An empty table gives none. Other columns are not read.
 
-    Exchanges: the grams' hashes, once for their counts and once with places; places of repeated grams by document; the texts, by document, once (both joins share that exchange); front-coded runs; repeats. The join of grams may have a gram with a third of all rows; adaptive execution splits it.
+    Exchanges: the grams' hashes, once for their counts and once with places; places of repeated grams by document; the texts, by document, once (both joins share that exchange); front-coded runs; merged ranges. The join of grams may have a gram with a third of all rows; adaptive execution splits it.
     """
     rows = rows_of(docs, id_col, text_col)
     every = places(rows)
@@ -347,30 +399,39 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     often = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     shared = every.join(often, "gram").select("doc", "gram", (F.col("place") + (F.col("n") > FREQUENT).cast("long")).alias("place")).repartition(shuffle_partitions(docs), "doc")
     by_doc = shared.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("place", "gram")).alias("places"))
-    with_text = sent.join(by_doc.hint("shuffle_hash"), sent["doc"] == by_doc["_doc"]).select("doc", "mark", "packed", "places")
+    with_text = sent.join(by_doc.hint("shuffle_hash"), sent["doc"] == by_doc["_doc"]).select("doc", "mark", "packed", "places").sortWithinPartitions("doc", "mark")
     buckets = 2 * shuffle_partitions(docs)
-    runs = with_text.mapInArrow(sorted_runs(buckets), "bucket int, block binary, found binary")
-    repeats = runs.groupBy("bucket").applyInArrow(merged_group, "doc long, mark int, first long, more long")
-    found = repeats.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("mark", "first", "more")).alias("found"))
-    joined = sent.join(found.hint("shuffle_hash"), sent["doc"] == found["_doc"], "left").select("doc", "mark", "packed", "found")
+    runs = with_text.mapInArrow(sorted_runs(buckets), "bucket int, block binary, doc long, mark int, ranges binary")
+    repeats = runs.groupBy("bucket").applyInArrow(merged_group, "doc long, mark int, ranges binary")
+    found = repeats.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("mark", "ranges")).alias("found"))
+    joined = sent.join(found.hint("shuffle_hash"), sent["doc"] == found["_doc"], "left").select("doc", "mark", "packed", "found").sortWithinPartitions("doc", "mark")
     columns = {id_col: pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept": pa.binary()} if keep_text else {})
 
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), columns.values(), strict=True)], list(columns))
+
     def run(batches):
-        for batch in batches:
-            out = []
-            for r in range(batch.num_rows):
-                doc, raw = batch.column(0)[r].as_py(), zlib.decompress(batch.column(2)[r].as_py())
+        out, held = [], 0
+        for doc, mark, texts, value in by_document(batches):
+            of = {}
+            if value.is_valid:
+                for name, part in zip(value.values.field(0).to_pylist(), value.values.field(1).to_pylist(), strict=True):
+                    of.setdefault(name, []).append(np.frombuffer(part, "<u4").reshape(-1, 2).astype(np.int64))
+            for k, (packed, times) in enumerate(texts):
+                raw = zlib.decompress(packed)
                 removed, spans, kept = 0, 0, raw
-                if batch.column(3)[r].is_valid:
-                    own = batch.column(3)[r].values
-                    mine = own.field(0).to_numpy() == batch.column(1)[r].as_py()
-                    if mine.any():
-                        first = own.field(1).to_numpy()[mine]
-                        removed, spans, kept = strip(raw, first, first + own.field(2).to_numpy()[mine])
-                out.append((None if doc == LOW else doc, len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), *([kept] * keep_text)))
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), columns.values(), strict=True)] if out else [pa.array([], t) for t in columns.values()], list(columns))
-
-    return joined.mapInArrow(run, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+                if mine := of.get(mark | k << 16):
+                    both = np.concatenate(mine)
+                    removed, spans, kept = strip(raw, both[:, 0], both[:, 0] + both[:, 1])
+                out += [(None if doc < LOW // 2 else doc, len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), *([kept] * keep_text))] * times
+                held += len(kept) * keep_text
+                if len(out) >= 10_000 or held >= RUN:
+                    yield batch_of(out)
+                    out, held = [], 0
+        if out:
+            yield batch_of(out)
+
+    return joined.mapInArrow(run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
 
 
 def merged_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

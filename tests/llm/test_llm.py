@@ -80,6 +80,28 @@ def test_repeats_of_equal_and_null_ids(spark):
     assert got == sorted([(1, 150, 149), (1, 150, 149), (None, 198, 0), (5, 198, 198)], key=str)
 
 
+def test_repeats_of_many_null_ids_equal_marks_and_long_texts(spark, monkeypatch):
+    rng = random.Random(2)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    text = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(50, 300)))
+    rows = [(None, text() + passage[k % 300 : k % 300 + 150]) for k in range(2500)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 2500 and all(r["doc_id"] is None for r in got)
+    # the first place of each byte string stays, whichever row counts as the first
+    order = {r["n"]: r["doc"] for r in repeats.rows_of(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").select("doc", F.sha2("text", 256).alias("n")).collect()}
+    want = brute_repeats([(order[hashlib.sha256(t.encode()).hexdigest()], t) for _, t in rows])
+    assert sorted(tuple(r[1:]) for r in got) == sorted(want.values())
+    # rows of one id whose texts have one mark, and a text beyond a piece
+    monkeypatch.setattr(repeats, "PIECE", 2000)
+    rows = [(1, text() + passage[:400]) for _ in range(4)] + [(2, passage * 20 + text()), (3, text() + passage)]
+    marked = repeats.rows_of(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").withColumn("mark", F.lit(7))
+    monkeypatch.setattr(repeats, "rows_of", lambda *_: marked)
+    got = sorted(tuple(r) for r in repeats.remove_repeats(marked, keep_text=True).drop("kept").collect())
+    first = sorted(rows[:4], key=lambda r: zlib.compress(r[1].encode(), 4))
+    want = brute_repeats([(k - 10, t) for k, (_, t) in enumerate(first)] + rows[4:])
+    assert got == sorted((1 if k < 0 else k, *v) for k, v in want.items())
+
+
 def test_merge_is_a_sort():
     rng = random.Random(1)
     entries = [(bytes(rng.choice(b"ab") for _ in range(rng.randint(33, 60))), rng.randrange(3), (i, 0, i)) for i in range(500)]
