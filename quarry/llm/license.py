@@ -74,16 +74,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     voted = rolled.join(F.broadcast(known), (rolled["hash"] == known["hash"]) & (F.col("found") == F.col("parts")), "left").select("row", "id", "n_words", "template", "label", "exact", "grams", "pos", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
     hits = voted.repartition(shuffle_partitions(docs), "row")
     of, of_template = ["row", "id", "n_words"], ["template", "label", "exact", "grams"]
-    votes = hits.groupBy(*of, *of_template, "diagonal").agg(F.count("at").alias("votes"), F.collect_list(F.struct("at", "pos")).alias("places"))
-    by_diagonal = Window.partitionBy("row", "template").orderBy("diagonal")
+    votes = hits.withColumn("votes", F.count("at").over(Window.partitionBy("row", "template", "diagonal")))
+    by_diagonal = Window.partitionBy("row", "template").orderBy("diagonal", "at")
     bands = votes.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > GAP).cast("int")).withColumn("band", F.sum(F.coalesce("new", F.lit(0))).over(by_diagonal))
-    # verified spans: the first place of each template position, counted where it stands behind those of all positions before it
-    firsts = bands.select("row", "template", "band", F.explode("places").alias("x")).where("template is not null").groupBy("row", "template", "band", F.col("x.at").alias("at")).agg(F.min("x.pos").alias("pos"))
-    ahead = F.max("pos").over(Window.partitionBy("row", "template", "band").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
-    chained = firsts.withColumn("ahead", ahead).groupBy("row", "template", "band").agg(F.count(F.when(F.col("ahead").isNull() | (F.col("pos") > F.col("ahead")), 1)).alias("chain"))
-    place = F.when(F.col("exact") & (F.col("votes") == F.col("grams")), F.col("diagonal"))  # a base phrase stands there word for word
-    spans = bands.groupBy(*of, *of_template, "band").agg(F.max("votes").alias("best"), F.count(place).alias("places"), F.min(place).alias("first"), F.max(place).alias("last"))
-    spans = spans.join(chained.hint("shuffle_hash"), ["row", "template", "band"], "left")
+    # verified spans: the first place of each template position counts where it stands behind those of all positions before it
+    span = Window.partitionBy("row", "template", "band")
+    firsts = bands.withColumn("first", F.when(F.col("pos") == F.min("pos").over(Window.partitionBy("row", "template", "band", "at")), F.col("pos")))
+    chained = firsts.withColumn("ahead", F.max("first").over(span.orderBy("at").rangeBetween(Window.unboundedPreceding, -1)))
+    place = F.when(F.col("exact") & (F.col("at") == 0) & (F.col("votes") == F.col("grams")), F.col("pos"))  # a base phrase stands there word for word
+    counts = F.col("first").isNotNull() & (F.col("ahead").isNull() | (F.col("first") > F.col("ahead")))
+    spans = chained.groupBy(*of, *of_template, "band").agg(F.max("votes").alias("best"), F.count(F.when(counts, 1)).alias("chain"), F.count(place).alias("places"), F.min(place).alias("first"), F.max(place).alias("last"))
     share = F.when(F.col("exact"), F.col("best")).otherwise(F.col("chain")) / F.col("grams")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     labels = F.when(F.col("share") >= F.when(F.col("exact"), 1.0).otherwise(COVER), F.col("label"))
