@@ -17,13 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir, shared by driver and executors; only where none is named (tests) a temporary one is set."""
+    """The folder that the session names in spark.checkpoint.dir, shared by driver and executors. Where none is named, a local session, as in tests, gets a temporary one; on a cluster that is an error."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a written table in the shared folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint."""
     checkpoint_dir(df.sparkSession)
@@ -52,11 +61,6 @@ def by_row(columns: dict[str, pa.DataType], row: Callable[..., tuple]) -> Callab
     return run
 
 
-def packed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and the whole text, deflated, so that an exchange of texts takes about what the input takes; null texts count as empty."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(by_row({"id": pa.int64(), "packed": pa.binary()}, lambda key, text: (key, zlib.compress((text or "").encode("utf-8", "surrogatepass"), 4))), "id long, packed binary")
-
-
 def unpacked(packed: bytes) -> str:
     return zlib.decompress(packed).decode("utf-8", "surrogatepass")
 

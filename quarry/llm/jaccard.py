@@ -1,27 +1,34 @@
 """Operator 2: exact n-gram Jaccard join with set-relation skipping.
 
-Documents become sets of word shingles; equal sets are one class. Shingles are ordered by document frequency (frequent ones last, the rest by hash), and only a set's prefix is indexed, so that sets that link share an indexed shingle. Index lists are ordered by set size: earlier sets that are too small are skipped as a block, positions are tested entry by entry. Sets that share enough of a list's hub, the set with the fewest shingles of its own, are compared as a group, all against all, as matrices without the shingles that all of them share; no answers are derived from a similar set's. Sets that are known to be connected, or were compared as a group, are not visited again. What is left, pairs across groups and components, is counted over the whole prefix, bounded, and verified exactly.
+Documents become sets of word shingles; equal sets are one class. Shingles are ordered by document frequency (frequent ones last, the rest by hash), and only a set's prefix is indexed, so that sets that link share an indexed shingle.
+
+Index lists are sorted by set size and cut into blocks that know how far their entries reach: an entry at a position of a set leaves so many shingles, itself included, that its partner's size can't be above its reach if this is the first shingle that both share. A set visits only the run of its size range, and in it only blocks that reach its own size. A pair that links passes at the first shingle that it shares.
+
+Answers are derived from those of a similar set: each set is compared with one hub, the set of its lists that shares most with it; what it lacks of the hub and what it has beyond are kept as its answer. Sets that link with their hub are connected without any comparison among each other. For two sets of one hub both answers bound their overlap: they link for certain, can't link, or (only then) are compared. Lists whose sets are all connected by then are dropped as a whole.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quarry.llm.common import by_row, components, cut, packed_texts, shuffle_partitions, unpacked
+from quarry.llm.common import by_row, components, cut, shuffle_partitions, unpacked
 from quarry.llm.words import shingles, word_hashes
 
 #: Distinct frequent shingles are at most so many: a shingle is frequent if its count is above the count of all shingles divided by this.
 FREQUENT = 1 << 20
 #: Shingles counted in a task's memory before they are sent on.
 HELD = 1_000_000
-#: Sets of one side of a block comparison.
-BLOCK = 1024
-#: A set joins a hub's group if it shares at least this part of the prefix shingles that a link with the hub takes. Groups are compared exactly, so this decides where a pair is compared, not whether.
-NEAR = (1, 2)
+#: Entries of one side of a pair of list parts that a task holds; longer lists are dealt to parts by hash.
+PART = 4096
+#: Entries of a list's block, which is skipped as one.
+BLOCK = 64
+#: Up to so many classes are told to all tasks when their sets are made again; for more, texts are exchanged.
+TOLD = 200_000
 
 
 def prefix_size(n: int, threshold: tuple[int, int]) -> int:
@@ -108,7 +115,7 @@ def identity(found: np.ndarray) -> int:
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: tuple[int, int], frequent) -> DataFrame:
-    """id, n, sid and prefix (in the global order) of every row. A task sends a set's prefix once."""
+    """id, hash (the text's), n, sid and prefix (in the global order) of every row. A task sends a set's prefix once."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT entries
 
     def run(batches):
@@ -116,14 +123,14 @@ def sets(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: tup
         seen: set[int] = set()
         for batch in batches:
             out = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for key, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 found = set_of(text.as_py(), words)
                 if not len(found):
-                    out.append((key, 0, None, None))
+                    out.append((key, mark, 0, None, None))
                     continue
                 sid = identity(found)
                 if sid in seen:
-                    out.append((key, len(found), sid, None))
+                    out.append((key, mark, len(found), sid, None))
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(sid)
@@ -134,185 +141,189 @@ def sets(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: tup
                     rank = np.where(values[at] == prints, counts[at], 0)
                 size = prefix_size(len(found), threshold)
                 first = np.lexsort((found, rank))[:size] if rank.any() else np.arange(size)
-                out.append((key, len(found), sid, found[first].astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))], ["id", "n", "sid", "prefix"])
+                out.append((key, mark, len(found), sid, found[first].astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True) if out else [[]] * len(columns), columns.values(), strict=True)], list(columns))
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, sid long, prefix array<long>")
+    columns = {"id": pa.int64(), "hash": pa.int64(), "n": pa.int64(), "sid": pa.int64(), "prefix": pa.list_(pa.int64())}
+    return marked(docs, id_col, text_col).mapInArrow(run, "id long, hash long, n long, sid long, prefix array<long>")
 
 
-def bound(a: str, b: str, shared: str, threshold: tuple[int, int]):
-    """Whether sets of sizes a and b that share so many shingles of their whole prefixes can link: beyond its prefix a set has only ceil(t n) - 1 more."""
-    p, q = threshold
-    most = F.greatest(F.ceil(F.col(a) * p / q), F.ceil(F.col(b) * p / q)) - 1
-    return (F.col(shared) + most) * (p + q) >= (F.col(a) + F.col(b)) * p
+def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, hash (the text's) and text of every row: what tells rows apart, with or without an id."""
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"), text.alias("text"))
 
 
-def close_to(a: str, b: str, shared: str, threshold: tuple[int, int]):
-    """Whether a set shares so many prefix shingles with a hub that sets like it may link with each other, though perhaps not with the hub."""
+def reach(n: str, pos: str, threshold: tuple[int, int]):
+    """The size of the largest set that can link with a set of n shingles if the first shingle that both share stands at this position of it."""
     p, q = threshold
-    most = F.greatest(F.ceil(F.col(a) * p / q), F.ceil(F.col(b) * p / q)) - 1
-    return F.col(shared) * (NEAR[1] * (p + q)) >= ((F.col(a) + F.col(b)) * p - most * (p + q)) * NEAR[0]
+    return F.floor((F.col(n) * q - F.col(pos) * (p + q)) / p)
 
 
-def likely(a: str, b: str, threshold: tuple[int, int]):
-    """Whether two sets may well link by their sizes and the prefix shingles, u of each, that stand in no other prefix. A guess for groups only, which decides where a pair is compared: shingles of u may stand in the other set beyond its prefix."""
+def promising(pairs: DataFrame, shared: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) that can link by what their prefixes share: beyond the prefix that ends first, that set has only ceil(t n) - 1 shingles more."""
     p, q = threshold
-    n_a, n_b, u_a, u_b = (F.col(f"{k}{x}") for k in "nu" for x in (a, b))
-    return F.least(n_a - u_a, n_b - u_b) * (p + q) >= (n_a + n_b) * p
-
+    prefixes = shared.groupBy("sid").agg(F.first("n").alias("n"), F.collect_list("tok").alias("toks"))
+    left = prefixes.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("toks").alias("x"))
+    right = prefixes.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("c", F.size(F.array_intersect("x", "y")))
+    most = F.greatest(F.ceil(F.col("na") * p / q), F.ceil(F.col("nb") * p / q)) - 1
+    return both.where((F.col("c") + most) * (p + q) >= (F.col("na") + F.col("nb")) * p).select("a", "b")
 
-def linked(x: np.ndarray, y: np.ndarray, threshold: tuple[int, int]) -> bool:
-    common = len(np.intersect1d(x, y, assume_unique=True))
-    return common * threshold[1] >= threshold[0] * (len(x) + len(y) - common)
 
+def answers(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """na, nb and shared, the size of the exact intersection, of each pair (a, b) of classes. Rows of one pair hold two sets at most; nothing is grouped."""
 
-def verified(pairs: DataFrame, members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of classes whose sets link, by exact intersection. Rows of one pair hold two sets at most; nothing is grouped."""
-
-    def check(a, b, x, y):
-        return a, b, linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold)
+    def count(a, b, x, y):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        return a, b, len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))
 
     left = members.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))
     right = members.select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(by_row({"a": pa.int64(), "b": pa.int64(), "ok": pa.bool_()}, check), "a long, b long, ok boolean").where("ok").select("a", "b")
-
+    return both.mapInArrow(by_row(dict.fromkeys(("a", "b", "na", "nb", "shared"), pa.int64()), count), "a long, b long, na long, nb long, shared long")
 
-def compare(pdf, threshold: tuple[int, int]):
-    """Edges that span the linked sets of two blocks of one hub's group. Sets are differences from the first: shared shingles of all cost nothing, overlaps follow from the rest as matrix products."""
-    import pandas as pd
 
+def linked(threshold: tuple[int, int]):
     p, q = threshold
-    pdf = pdf.sort_values(["block", "sid"], ignore_index=True)
-    sids, blocks = pdf["sid"].to_numpy(), pdf["block"].to_numpy()
-    tokens = [np.frombuffer(t, np.uint64) for t in pdf["tokens"]]
-    sizes = np.array([len(t) for t in tokens], np.int64)
-    ids, column, counts = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
-    of = np.repeat(np.arange(len(tokens)), sizes)
-    everywhere = counts == len(tokens)
-    useful = (counts > 1) & ~everywhere
-    place = np.cumsum(useful) - 1
-    keep = useful[column]
-    of, column = of[keep], place[column[keep]]
-    width, base = int(useful.sum()), int(everywhere.sum())
-    first, last = int(pdf["first"][0]), int(pdf["last"][0])
-    left = np.flatnonzero(blocks == first)
-    right = left if first == last else np.flatnonzero(blocks == last)
-    root = list(range(len(tokens)))
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    edges = []
-    overlap = np.full((len(left), len(right)), base, np.int32)
-    step = max(1, (1 << 22) // max(len(tokens), 1))
-    for k in range(0, width, step):  # so many shingles at a time
-        some = (column >= k) & (column < k + step)
-        x = np.zeros((len(tokens), min(step, width - k)), np.float32)
-        x[of[some], column[some] - k] = 1
-        overlap += (x[left] @ x[right].T).astype(np.int32)
-    close = overlap.astype(np.int64) * (p + q) >= (sizes[left][:, None] + sizes[right][None, :]) * p
-    for k in range(len(left)):
-        for j in right[np.flatnonzero(close[k])]:
-            a, b = find(int(left[k])), find(int(j))
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                edges.append((sids[left[k]], sids[j]))
-    return pd.DataFrame({"a": np.array([e[0] for e in edges], np.int64), "b": np.array([e[1] for e in edges], np.int64)})
-
-
-def in_groups(groups: DataFrame, members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Edges that span the links inside each hub's group (hub, sid); a group of more than BLOCK sets is compared exactly, block against block."""
-    sizes = groups.groupBy("hub").agg(F.count("*").alias("rows")).where("rows > 1")
-    rows = groups.join(sizes, "hub").join(members, "sid").select("hub", "sid", "tokens", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    own = rows.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    paired = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("hub", "sid", "tokens", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("last"))
-    return paired.groupBy("hub", "first", "last").applyInPandas(lambda pdf: compare(pdf, threshold), "a long, b long")
+    return F.col("shared") * (p + q) >= (F.col("na") + F.col("nb")) * p
+
+
+class Entries:
+    """A list, or two parts of one, sorted by size: columns n, reach, sid, component, hub, size of the hub, lack, more, part."""
+
+    def __init__(self, columns: np.ndarray, threshold: tuple[int, int]):
+        self.n, self.reach, self.sid, self.component, self.hub, self.hub_n, self.lack, self.more, self.part = columns
+        self.p, self.q = threshold
+
+    def pairs(self, first: int, last: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """a, b and whether they link for certain, of pairs of unconnected sets that may link."""
+        size, ends = len(self.n), (np.arange(0, len(self.n), BLOCK))
+        tops = np.maximum.reduceat(self.reach, ends)
+        starts = np.searchsorted(self.n, -(-self.n * self.p // self.q))  # earlier entries below are too small
+        least = self.n[starts.clip(max=size - 1)]
+        for j in np.flatnonzero((np.arange(size) > starts) & (self.reach >= least)):
+            blocks = np.arange(starts[j] // BLOCK, j // BLOCK + 1)
+            blocks = blocks[tops[blocks] >= self.n[j]]  # others don't reach this size from their positions
+            if not len(blocks):
+                continue
+            i = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            i = i[(i >= starts[j]) & (i < j)]
+            fits = (self.reach[i] >= self.n[j]) & (self.n[i] <= self.reach[j]) & (self.component[i] != self.component[j])
+            if first != last:
+                fits &= self.part[i] != self.part[j]
+            i = i[fits & (self.hub[i] != self.sid[j]) & (self.sid[i] != self.hub[j])]  # pairs with a hub are answered
+            if not len(i):
+                continue
+            need = -(-(self.n[i] + self.n[j]) * self.p // (self.p + self.q))
+            same = self.hub[i] == self.hub[j]
+            most = self.hub_n[j] - np.maximum(self.lack[i], self.lack[j]) + np.minimum(self.more[i], self.more[j])
+            least_ = self.hub_n[j] - self.lack[i] - self.lack[j]
+            may = ~same | (most >= need)
+            yield self.sid[i][may], np.full(int(may.sum()), self.sid[j]), (same & (least_ >= need))[may]
 
 
 def enumerate_pairs(lists: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """a, b, na, nb and the shared prefix shingles of all pairs across components and groups whose sizes and positions fit. Lists (tok, n, sid, component, hub, pos, u) stream by in the order of size: for a set, only the block of earlier sets of its size range is visited."""
-    p, q = threshold
+    """a, b and sure of the pairs of unconnected sets that may link. A list is dealt to parts of at most about PART entries; a task takes two parts at a time, however long the list is."""
+    names = ["n", "reach", "sid", "component", "hub", "hub_n", "lack", "more", "part"]
 
     def run(batches):
-        token, held, found = None, [], {}
+        key, held, found = None, [], {}
+
+        def pairs():
+            columns = np.concatenate(held, axis=1)
+            for a, b, sure in Entries(columns, threshold).pairs(key[1], key[2]):
+                for x, y, z in zip(a.tolist(), b.tolist(), sure.tolist(), strict=True):
+                    found[(x, y) if x < y else (y, x)] = z
 
         def flush():
-            rows = [(*key, c) for key, c in found.items()]
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()), pa.array(list(found.values()), pa.bool_())], ["a", "b", "sure"])
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*rows, strict=True)], ["a", "b", "na", "nb", "c"])
+            return out
 
         for batch in batches:
-            for tok, n, sid, comp, hub, pos, u in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                if tok != token:
-                    token, held, start = tok, [], 0
-                while start < len(held) and held[start][0] * q < n * p:
-                    start += 1
-                for m, other, comp2, hub2, pos2, u2 in held[start:] if start else held:
-                    if comp2 == comp or hub2 == hub:
-                        continue
-                    # they share at most what precedes both positions, what follows both, and this shingle; the set whose prefix ends first in the global order shares none of its u (the other would have them in its own prefix), and as either may end first, the larger of n - u and m - u2 holds
-                    if min(min(pos, pos2) + min(n - pos, m - pos2), max(n - u, m - u2)) * (p + q) >= (n + m) * p:
-                        key = (sid, other, n, m) if sid < other else (other, sid, m, n)
-                        found[key] = found.get(key, 0) + 1
-                held.append((n, sid, comp, hub, pos, u))
-                if len(found) >= 200_000:
+            keys = np.column_stack([batch.column(c).to_numpy() for c in ("tok", "first", "last")])
+            columns = np.stack([batch.column(c).to_numpy() for c in names])
+            cuts = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
+            for x, y in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if x == y:
+                    continue
+                if (here := tuple(keys[x])) != key:
+                    if held:
+                        pairs()
+                    key, held = here, []
+                held.append(columns[:, x:y])
+                if len(found) >= 100_000:
                     yield flush()
+        if held:
+            pairs()
         if found:
             yield flush()
 
-    dealt = lists.select("tok", "n", "sid", "component", "hub", "pos", "u").repartition(shuffle_partitions(lists), "tok").sortWithinPartitions("tok", "n", "sid")
-    return dealt.mapInArrow(run, "a long, b long, na long, nb long, c long").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+    by_list = Window.partitionBy("tok")
+    # lists of connected sets go as a whole
+    open_ = lists.withColumn("low", F.min("component").over(by_list)).withColumn("high", F.max("component").over(by_list)).withColumn("parts", F.ceil(F.count("*").over(by_list) / PART).cast("long")).where("low <> high")
+    own = open_.withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")))
+    paired = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("first", F.least("part", "other")).withColumn("last", F.greatest("part", "other"))
+    dealt = paired.select("tok", "first", "last", *names).repartition(shuffle_partitions(lists), "tok", "first", "last").sortWithinPartitions("tok", "first", "last", "n", "sid")
+    made = dealt.mapInArrow(run, "a long, b long, sure boolean")
+    return made.groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, threshold: tuple[int, int] = (85, 100)) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the smallest id reachable by links, itself included).
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, threshold: tuple[int, int] = (85, 100), detail: bool = False) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (the smallest id reachable by links, itself included); with detail also text_hash and class_id, one number for all rows that are connected (null for empty sets).
 
-    Words are runs of bytes other than the space and the controls from tab to carriage return, A-Z lower-cased. A text with fewer words than a shingle has its whole sequence as one; null and empty texts, and texts without words, have an empty set, link with nothing and are their own component. Two sets link when intersection * threshold[1] >= threshold[0] * union. Links and components are exact (up to collisions of 64-bit hashes). Repeated rows are rows of one class; a null id stays null and takes part under its class. Other columns are not read.
+    Words are runs of bytes other than the space and the controls from tab to carriage return, A-Z lower-cased. A text with fewer words than a shingle has its whole sequence as one; null and empty texts, and texts without words, have an empty set, link with nothing and are their own component. Two sets link when intersection * threshold[1] >= threshold[0] * union. Links and components are exact (up to collisions of 64-bit hashes). Repeated rows are rows of one class; a row with a null id takes part under its class and connects others, and gets the smallest id that it reaches, or null. An empty table gives none. Other columns are not read.
     """
+    p, q = threshold
     frequent = frequencies(docs, text_col, words)
     rows = cut(sets(docs, id_col, text_col, words, threshold, frequent))
     base = rows.where("sid is not null")
-    reps = base.groupBy("sid", "n").agg(F.min("id").alias("rep"))
+    # of each class one row whose text its set is made from again: that of the smallest id, if it has any
+    reps = base.groupBy("sid", "n").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("rep")).select("sid", "n", F.col("rep.id").alias("rep"), F.col("rep.hash").alias("hash"))
     classes = base.where("prefix is not null").select("sid", "n", F.posexplode("prefix").alias("pos", "tok")).distinct()
     # only lists with two sets matter; a frequent shingle stands in a prefix only where hardly anything else does
     by_token = Window.partitionBy("tok")
-    shared = cut(classes.withColumn("low", F.min("sid").over(by_token)).withColumn("high", F.max("sid").over(by_token)).where("low <> high").drop("low", "high"))
-    p, q = threshold
-    in_lists = shared.groupBy("sid", "n").agg(F.count("*").alias("k")).select(F.col("sid").alias("_sid"), (F.col("n") - F.ceil(F.col("n") * p / q) + 1 - F.col("k")).alias("u"))
-    lists = cut(shared.join(in_lists, shared["sid"] == F.col("_sid")).where((F.col("n") - F.col("u")) * q >= F.col("n") * p).drop("_sid"))
+    shared = cut(classes.withColumn("low", F.min("sid").over(by_token)).withColumn("high", F.max("sid").over(by_token)).where("low <> high").select("tok", "sid", "n", reach("n", "pos", threshold).alias("reach")))
     # the hub of a list is its set with the fewest shingles of its own, so the one most like the others
-    hub = F.first(F.struct("sid", "n", "u")).over(by_token.orderBy("u", "n", "sid"))
-    pairs = lists.withColumn("h", hub).where("h.sid <> sid").select(F.col("h.sid").alias("hub"), F.col("h.n").alias("na"), F.col("h.u").alias("ua"), "sid", F.col("n").alias("nb"), F.col("u").alias("ub")).where(likely("a", "b", threshold))
-    counted = pairs.groupBy("sid", "hub", "na", "nb").agg(F.count("*").alias("c")).where(close_to("na", "nb", "c", threshold))
-    near = counted.groupBy("sid").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
-    # a hub may have a hub itself; sets that hang together so are one group
-    groups = cut(components(near.select(F.col("sid").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("sid"), F.col("component").alias("hub")).distinct())
+    own = shared.groupBy(F.col("sid").alias("_sid")).agg((F.first("n") - F.ceil(F.first("n") * p / q) + 1 - F.count("*")).alias("u"))
+    hub = F.min(F.struct("u", "n", "sid", "reach")).over(by_token)
+    near = shared.join(own, shared["sid"] == own["_sid"]).withColumn("h", hub).where("h.sid <> sid and h.n <= reach and n <= h.reach").where((F.least("n", "h.n") * q >= F.greatest("n", "h.n") * p)).select("sid", F.col("h.sid").alias("hub"))
+    chosen = near.groupBy("sid", "hub").agg(F.count("*").alias("c")).groupBy("sid").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        """sid and tokens of the wanted classes, made again from their first document's text."""
-        texts = wanted.distinct().join(reps, "sid").select("sid", F.col("rep").alias("_rep"))
-        both = packed_texts(docs, id_col, text_col).join(texts.hint("shuffle_hash"), F.col("id") == F.col("_rep")).select("sid", "packed")
-
-        def tokens(sid, packed):
-            found = set_of(unpacked(packed), words)
-            return sid, found.tobytes() if len(found) and identity(found) == sid else None
-
-        made = both.mapInArrow(by_row({"sid": pa.int64(), "tokens": pa.binary()}, tokens), "sid long, tokens binary").where("tokens is not null")
-        return made.groupBy("sid").agg(F.first("tokens").alias("tokens"))
-
-    edges = cut(in_groups(groups, fetch(groups.select("sid")), threshold))
+        """sid and tokens of the wanted classes, made again from their rows' texts."""
+        texts = cut(wanted.distinct().join(reps, "sid").select("sid", F.col("rep").alias("_id"), F.col("hash").alias("_hash")))
+        same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+        if texts.count() <= TOLD:
+            both = marked(docs, id_col, text_col).join(F.broadcast(texts), same).select("sid", "text").mapInArrow(by_row({"sid": pa.int64(), "tokens": pa.binary()}, lambda sid, text: tokens(sid, text)), "sid long, tokens binary")
+        else:
+            packed = marked(docs, id_col, text_col).mapInArrow(by_row({"id": pa.int64(), "hash": pa.int64(), "packed": pa.binary()}, lambda key, mark, text: (key, mark, zlib.compress((text or "").encode("utf-8", "surrogatepass"), 4))), "id long, hash long, packed binary")
+            both = packed.join(texts.hint("shuffle_hash"), same).select("sid", "packed").mapInArrow(by_row({"sid": pa.int64(), "tokens": pa.binary()}, lambda sid, packed: tokens(sid, unpacked(packed))), "sid long, tokens binary")
+        return both.where("tokens is not null").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+
+    def tokens(sid, text):
+        found = set_of(text, words)
+        return sid, found.tobytes() if len(found) and identity(found) == sid else None
+
+    starred = cut(promising(chosen.select(F.col("sid").alias("a"), F.col("hub").alias("b")), shared, threshold))
+    told = cut(answers(starred, fetch(starred.select(F.col("a").alias("sid")).union(starred.select("b")))))
+    edges = told.where(linked(threshold)).select("a", "b")
     joined = components(edges)
-    known = lists.join(joined.withColumnRenamed("node", "sid"), "sid", "left").join(groups, "sid", "left").select("tok", "n", "sid", "pos", "u", F.coalesce("component", "sid").alias("component"), F.coalesce("hub", "sid").alias("hub"))
-    rest = cut(enumerate_pairs(known, threshold).where(bound("na", "nb", "c", threshold)).select("a", "b"))
+    told = told.select(F.col("a").alias("sid"), F.col("b").alias("hub"), F.col("nb").alias("hub_n"), (F.col("nb") - F.col("shared")).alias("lack"), (F.col("na") - F.col("shared")).alias("more"))
+    known = shared.join(joined.withColumnRenamed("node", "sid"), "sid", "left").join(told, "sid", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    known = known.select("tok", "n", "reach", "sid", F.coalesce("component", "sid").alias("component"), F.coalesce("hub", "sid").alias("hub"), F.coalesce("hub_n", "n").alias("hub_n"), zero("lack"), zero("more"))
+    rest = cut(enumerate_pairs(known, threshold))
     if not rest.isEmpty():
-        more = cut(verified(rest, fetch(rest.select(F.col("a").alias("sid")).union(rest.select("b"))), threshold))
+        open_ = cut(promising(rest.where("not sure").select("a", "b"), shared, threshold))
+        sure = rest.where("sure").select("a", "b")
+        more = cut(answers(open_, fetch(open_.select(F.col("a").alias("sid")).union(open_.select("b")))).where(linked(threshold)).select("a", "b").union(sure))
         if not more.isEmpty():
-            joined = components(edges.union(more))
+            # the components so far are one edge a set, so they are extended, not made again
+            joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     of_class = reps.join(joined.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "n", "rep", F.coalesce("component", "sid").alias("component"))
     smallest = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
-    answer = of_class.join(smallest, "component").select("sid", "n", "component_id")
-    return rows.select("id", "n", "sid").join(answer, ["sid", "n"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    answer = of_class.join(smallest, "component").select("sid", "n", "component", "component_id")
+    found = rows.select("id", "hash", "n", "sid").join(answer, ["sid", "n"], "left")
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *([F.col("hash").alias("text_hash"), F.col("component").alias("class_id")] if detail else []))
