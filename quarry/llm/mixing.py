@@ -9,8 +9,8 @@ from quarry.llm.common import cut
 # Fixed values of the contract: weights by rank of source, repeating, and the largest repetition.
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
 WORD = r"[^\x20\x09-\x0D]+"
-#: Of the slices that a source's rows are dealt to by hash, so that running sums need no task with a whole source.
-SLICES = 4096
+#: First digits of a row's hash that name its slice, so that running sums need no task with a whole source: 16 to this power slices a source.
+SLICE = 3
 #: How the weights move over the run: by rank, the factor on a source's mean rate at the start and at the end; factors are linear in schedule time between.
 DRIFT = ((1.5, 0.5), (0.75, 1.25), (0.5, 1.5))
 
@@ -21,16 +21,16 @@ def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(spaced, " ", -1), "")).cast("long")
 
 
-def row_hash(docs_id: Column, text: Column, source: Column) -> Column:
-    """The hash of a row's id, text and source, which sets the order inside a source."""
-    return F.xxhash64(F.lit(6), F.coalesce(text, F.lit("")), docs_id.cast("long"), source.cast("string"))
+def row_hash(key: Column, text: Column) -> Column:
+    """The hash of a row's id and text, which sets the order inside a source."""
+    return F.md5(F.concat(F.coalesce(key.cast("long").cast("string"), F.lit("")), F.lit("\x1f"), F.coalesce(text, F.lit(""))).cast("binary"))
 
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """doc_id, source, size, order and slice of every row, without texts, written once: all that follows reads this table."""
     key, text, source = (F.col(f"`{c}`") for c in (id_col, text_col, source_col))
-    rows = docs.select(key.cast("long").alias("doc_id"), source.cast("string").alias("source"), word_count(text).alias("size"), row_hash(key, text, source).alias("order"))
-    return cut(rows.withColumn("slice", F.pmod("order", F.lit(SLICES))))
+    rows = docs.select(key.cast("long").alias("doc_id"), source.cast("string").alias("source"), word_count(text).alias("size"), row_hash(key, text).alias("order"))
+    return cut(rows.withColumn("slice", F.substring("order", 1, SLICE)))
 
 
 def targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -76,9 +76,9 @@ def place(copy: Column) -> tuple[Column, Column]:
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, ends: tuple[tuple[float, float], ...] = DRIFT) -> DataFrame:
     """One row per document: doc_id, source, order, size, source_size, target, taken, copies, start, time, position, and the rates of its source and of all.
 
-    Of a source with target t and size s every document is taken floor(t / s) times; the rest of the target goes to the documents in the order of a hash of id, text and source, each taken once more whose running size starts below the rest, so that the words taken differ from the target by less than one document. No document is taken more than `most` times, since t <= most * s; where t / s is whole nothing is left over. start is the document's running size in its source. A source's demand by schedule time T is its target times the integral of its rate to T; time and position are those of the first copy, see place(); the others come from schedule(). A document that isn't taken has no time and position. Documents without words, and null texts, have size 0 and take 0; null sources are one source; a null id stays; repeated rows are dealt with one by one, in any order among equals, as their sizes are equal; an empty table gives none. Other columns are not read.
+    Of a source with target t and size s every document is taken floor(t / s) times; the rest of the target goes to the documents in the order of a hash of id and text, each taken once more whose running size starts below the rest, so that the words taken differ from the target by less than one document. No document is taken more than `most` times, since t <= most * s; where t / s is whole nothing is left over. start is the document's running size in its source. A source's demand by schedule time T is its target times the integral of its rate to T; time and position are those of the first copy, see place(); the others come from schedule(). A document that isn't taken has no time and position. Documents without words, and null texts, have size 0 and take 0; null sources are one source; a null id stays; repeated rows are dealt with one by one, in any order among equals, as their sizes are equal; an empty table gives none. Other columns are not read.
 
-    Texts are read once. Running sums come from hash slices of each source: a sum by slice, a window over a source's slices (SLICES rows at most) and a window inside a slice. No task holds a source.
+    Texts are read once. Running sums come from hash slices of each source: a sum by slice, a window over a source's slices (a few thousand rows at most) and a window inside a slice. No task holds a source.
     """
     rows = sizes(docs, id_col, text_col, source_col)
     by_slice = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))

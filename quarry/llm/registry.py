@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import bpe, embeddings, jaccard, language, license, lines, mixing, repeats, tiff, toxicity
+from quarry.llm import bpe, embeddings, jaccard, language, license, lines, mixing, oracles, repeats, tiff, toxicity
 from quarry.llm.common import table
 
 
@@ -36,7 +36,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.ordered(mixing.plan(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
+    return mixing.ordered(mixing.plan(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("position", 9).alias("position"))
 
 
 def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,4 +57,4 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_repeats, op2_jaccard, op3_tiff, op4_toxicity, op5_language, op6_mixing, op7_license, op8_embeddings, op9_bpe, op10_lines)}
-ORACLE_SQL: dict[str, str] = {"op10_lines": lines.SQL}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
