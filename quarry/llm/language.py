@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import by_row
+from quarry.llm.common import by_row, cut
 
 # Language codes by family, as ISO 639 names them. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -21,6 +21,8 @@ FAMILIES = {
 SIZE = 4096
 #: Labelled rows per language that the classifier is fitted on, about: rows are picked by a hash of their id.
 TRAIN_ROWS = 800
+#: Up to so many languages are told to all tasks; with more, which only a dirty column has, counts are joined by an exchange.
+LANGS = 10_000
 SPACES = np.full(256, 32, np.uint8)
 SPACES[65:91], SPACES[97:123] = np.arange(97, 123), np.arange(97, 123)
 SPACES[128:] = np.arange(128, 256)
@@ -111,8 +113,8 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model:
     """Fits on a bounded sample: of each language about train_rows rows, those with the smallest hash of id and text. The sample's size does not grow with the input; languages are counted over all rows given, and the counts are joined."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    picked = rows.join(counts, "lang").where((F.xxhash64("id", "text") / F.lit(2.0**64) + 0.5) * F.col("n") < train_rows)
+    counts = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    picked = rows.join(F.broadcast(counts) if counts.count() <= LANGS else counts, "lang").where((F.xxhash64("id", "text") / F.lit(2.0**64) + 0.5) * F.col("n") < train_rows)
 
     def sample(key, text, lang):
         return key, lang, features(text).astype(np.float16).tobytes()

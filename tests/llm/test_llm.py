@@ -92,8 +92,7 @@ def test_repeats_of_many_null_ids_equal_marks_and_long_texts(spark, monkeypatch)
     want = brute_repeats([(order[hashlib.sha256(t.encode()).hexdigest()], t) for _, t in rows])
     assert sorted(tuple(r[1:]) for r in got) == sorted(want.values())
     # rows of one id whose texts have one mark, and a text beyond a piece
-    monkeypatch.setattr(repeats, "PIECE", 2000)
-    rows = [(1, text() + passage[:400]) for _ in range(4)] + [(2, passage * 20 + text()), (3, text() + passage)]
+    rows = [(1, text() + passage[:400]) for _ in range(4)] + [(2, text() + passage * (repeats.PIECE // len(passage) + 5) + text()), (3, text() + passage)]
     marked = repeats.rows_of(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").withColumn("mark", F.lit(7))
     monkeypatch.setattr(repeats, "rows_of", lambda *_: marked)
     got = sorted(tuple(r) for r in repeats.remove_repeats(marked, keep_text=True).drop("kept").collect())
@@ -152,6 +151,67 @@ def test_jaccard_of_truncated_and_extended_copies(spark, n, p, q):
     assert len({v[1] for v in got.values()}) == len(rows) // 3
 
 
+def brute_rows(rows, n, p, q):
+    """Component by row where ids may be null or repeated: the smallest id among the rows that are connected."""
+    found = brute_jaccard([(k, t) for k, (_, t) in enumerate(rows)], n, p, q)
+    least = {}
+    for k, (size, c) in found.items():
+        if rows[k][0] is not None:
+            least[c] = min(rows[k][0], least.get(c, rows[k][0]))
+    return sorted(((rows[k][0], size, least.get(c)) for k, (size, c) in found.items()), key=str)
+
+
+def test_jaccard_of_null_and_repeated_ids(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    chain = [" ".join(words[k : k + 44]) for k in (0, 2, 4)]  # the outer two link through the middle one only
+    rows = [(7, chain[0]), (None, chain[1]), (3, chain[2]), (None, chain[1]), (9, "x y"), (9, "x y"), (9, chain[0]), (None, "alone in the world it is"), (None, "alone in the world it is"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in jaccard.join(docs).collect()), key=str)
+    assert got == brute_rows(rows, 4, 85, 100)
+    monkeypatch.setattr(jaccard, "TOLD", 1)
+    assert sorted((tuple(r) for r in jaccard.join(docs).collect()), key=str) == got
+    assert (3, 41, 3) in got and (7, 41, 3) in got
+
+
+@pytest.mark.parametrize(("part", "edits"), [(4096, 0.02), (7, 0.02), (7, 0.06)])
+def test_jaccard_of_large_groups_and_frequent_shingles(spark, monkeypatch, part, edits):
+    """Groups of near copies of one page whose shingles pass the frequency bar, a long line that unrelated texts share, and lists beyond a part."""
+    monkeypatch.setattr(jaccard, "PART", part)
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    pages = [[word() for _ in range(size)] for size in (40, 90)]
+    rows = []
+    for k in range(170):
+        page = list(pages[k % 2])
+        for _ in range(1 + int(len(page) * edits * rng.random() * 2)):
+            page[rng.randrange(len(page))] = word()
+        rows.append((k, " ".join(page[: len(page) - rng.randint(0, 3)])))
+    line = [word() for _ in range(25)]
+    rows += [(1000 + k, " ".join([*line, *(word() for _ in range(rng.randint(0, 12)))])) for k in range(120)]
+    rng.shuffle(rows)
+    got = {r[0]: tuple(r[1:]) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_jaccard(rows, 4, 85, 100)
+
+
+def test_blocks_and_derived_answers(monkeypatch):
+    """Pairs of a list: none that links is lost by skipped blocks or bounds, and what counts as certain links."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        hub = set(range(60))
+        sets = [{x for x in hub if rng.random() > 0.04 * rng.integers(0, 5)} | {int(x) for x in rng.integers(60, 80, rng.integers(0, 8))} for _ in range(40)]
+        sets.sort(key=len)
+        p, q, threshold = 85, 100, (85, 100)
+        ordered_ = [sorted(s, reverse=True) for s in sets]
+        shared = [(k, o.index(50)) for k, o in enumerate(ordered_) if 50 in o]
+        columns = np.array([[len(sets[k]), (len(sets[k]) * q - pos * (p + q)) // p, k, k, 99, 60, len(hub - sets[k]), len(sets[k] - hub), 0] for k, pos in shared], np.int64).T
+        found = {(int(a), int(b)): bool(z) for x, y, w in jaccard.Entries(columns, threshold).pairs(0, 0) for a, b, z in zip(x, y, w)}
+        links = {(a, b) for a, b in ((a, b) for i, (a, _) in enumerate(shared) for b, _ in shared[i + 1 :]) if q * len(sets[a] & sets[b]) >= p * len(sets[a] | sets[b])}
+        assert all(key in links for key, sure in found.items() if sure)
+        first = {(a, b) for a, b in links if max(sets[a] & sets[b]) == 50}
+        assert first <= set(found)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
@@ -457,3 +517,35 @@ def test_pipeline_stages_against_brute_force(spark):
     assert {r["doc_id"]: r["text"] for r in stripped.collect()} == want
     kept = {v[1] for v in brute_jaccard(list(want.items()), 5, 80, 100).values()}
     assert sorted(r["doc_id"] for r in P.near_duplicates(spark, stripped, SF).collect()) == sorted(kept)
+
+
+def test_pipeline_stages_on_nulls_and_repeats(spark):
+    import corpus_pipeline as P
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    page, other = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    rows = [(1, page, "en", "a", 0), (1, page, "en", "a", 0), (None, page, "en", "b", 0), (None, other, "en", "b", 0), (None, other, "en", "b", 0), (1, other + " more", None, None, 0), (4, None, None, None, None), (4, None, None, None, None), (5, "", "en", "a", 0), (None, None, "de", "a", 0), (None, " ", "de", "a", 0)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    kept = sorted(((r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs, SF).collect()), key=str)
+    assert kept == sorted([(1, page), (1, other + " more"), (4, None), (4, None), (5, ""), (None, None), (None, " ")], key=str)
+    plan = mixing.plan(docs).collect()
+    made = collections.Counter((r["doc_id"], r["text"]) for r in P.mixed(spark, docs, SF).collect())
+    assert sum(made.values()) == sum(r["copies"] for r in plan)
+    want = collections.Counter()
+    for r in plan:
+        want[r["doc_id"], r["size"]] += r["copies"]
+    got = collections.Counter()
+    for (key, text), n in made.items():
+        got[key, len(words_of(text))] += n
+    assert got == +want
+    none = spark.createDataFrame([], schema)
+    for name, stage in P.STAGES:
+        assert stage(spark, none, SF).count() == 0, name
+
+
+def test_pipeline_mix_order(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = [r["doc_id"] for r in mixing.schedule(mixing.plan(docs)).collect()]
+    assert [r["doc_id"] for r in P.mixed(spark, docs, SF).collect()] == want
