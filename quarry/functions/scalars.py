@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 # File name extensions by family, in the order in which families are listed.
 FAMILIES = {
@@ -34,7 +38,8 @@ SIGNATURES = (
     ("pdf", "pdf", "instr(decode(substring(content, 1, 1024), 'ISO-8859-1'), '%PDF-') > 0"),
     ("zip", "zip", "substring(content, 1, 4) IN (X'504B0304', X'504B0506')"),
 )
-DEVICES = "con|prn|aux|nul|com[0-9]|lpt[0-9]"
+# Names that stand for devices.
+DEVICES = r"con|prn|aux|nul|conin\$|conout\$|com[0-9¹²³]|lpt[0-9¹²³]"
 BIDI = "\\x{200E}\\x{200F}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}"
 MIB, GIB = 1 << 20, 1 << 30
 
@@ -58,12 +63,26 @@ def category(name: Column) -> Column:
     return F.coalesce(F.try_element_at(table, extension(name)), F.lit("other"))
 
 
+@F.pandas_udf(StringType())
+def nfc(names: pd.Series) -> pd.Series:
+    """Names in composed form (NFC), which no expression of Spark's makes; names in ASCII pass as they are."""
+    return names.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+
+
+def utf16_head(text: Column, units: int) -> Column:
+    """The first so many UTF-16 units; a pair that would be parted goes."""
+    wide = F.encode(text, "UTF-16BE")
+    last = F.conv(F.hex(F.substring(wide, 2 * units - 1, 1)), 16, 10).cast("int")
+    head = lambda n: F.decode(F.substring(wide, 1, 2 * n), "UTF-16BE")
+    return F.when(F.octet_length(wide) <= 2 * units, text).when(last.between(0xD8, 0xDB), head(units - 1)).otherwise(head(units))
+
+
 def safe_name(name: Column) -> Column:
-    """A name that any file system takes: controls and direction marks go, separators become underscores, leading dots and outer white space go, 200 characters at most, never empty. Input is taken as normalised (NFC)."""
-    x = F.regexp_replace(name, f"[\\x00-\\x1F\\x7F{BIDI}]", "")
+    """A name that any file system takes: composed (NFC); controls and direction marks go, separators become underscores, leading dots and outer white space go, 200 UTF-16 units at most, never empty."""
+    x = F.regexp_replace(nfc(name), f"[\\x00-\\x1F\\x7F{BIDI}]", "")
     x = F.regexp_replace(x, r'[\\/:*?"<>|]', "_")
     x = F.regexp_replace(x, "(?U)^[.\\s\\x{FEFF}]+", "")
-    x = F.substring(F.regexp_replace(x, "(?U)[\\s\\x{FEFF}]+$", ""), 1, 200)
+    x = utf16_head(F.regexp_replace(x, "(?U)[\\s\\x{FEFF}]+$", ""), 200)
     return F.when(F.coalesce(x, F.lit("")) == "", "file").otherwise(x)
 
 
@@ -71,13 +90,13 @@ def unsafe_name(name: Column) -> Column:
     """Whether an archive entry's name could leave its folder or clash with a device or a trimmed name."""
     parts = F.split(F.regexp_replace(name, r"[\\/]$", ""), r"[\\/]")
     bad = F.exists(parts, lambda p: (p == "..") | p.rlike(f"(?i)^({DEVICES})(\\..*)?$") | ((p != ".") & p.rlike(r"[. ]$")))
-    return name.rlike(r"^[\\/]") | name.rlike(r"[\x00-\x1F\x7F:]") | bad
+    return name.rlike(r"^[\\/]") | name.rlike(r"[\x00-\x1F:]") | bad
 
 
 def version(text: Column) -> Column:
-    """The first three numeric parts as an array that compares; others count as 0."""
+    """The first three parts as an array that compares: each the number that it begins with, else 0."""
     parts = F.split(text, r"\.")
-    return F.array(*(F.coalesce(F.get(parts, k).try_cast("int"), F.lit(0)) for k in range(3)))
+    return F.array(*(F.coalesce(F.regexp_extract(F.get(parts, k), r"^\s*([+-]?[0-9]+)", 1).try_cast("double"), F.lit(0.0)) for k in range(3)))
 
 
 def newer(a: Column, b: Column) -> Column:
@@ -89,25 +108,26 @@ def half_up(x: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """Decimal units; no digit for plain bytes and from 100 on, else one."""
-    units = ("B", "kB", "MB", "GB", "TB")
+    """Decimal units to terabytes; no digit for plain bytes and from 100 on, else one; thousands are grouped."""
     cases = F.lit(None).cast("string")
-    for k in range(len(units)):
-        value = n / F.lit(1000.0**k)
-        shown = F.concat(F.when((F.lit(k) == 0) | (value >= 100), half_up(value).cast("long").cast("string")).otherwise((half_up(value * 10) / 10).cast("decimal(10,1)").cast("string")), F.lit(" " + units[k]))
+    for k, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
+        value = (n / F.lit(1000.0**k)).cast("double")
+        shown = F.when((F.lit(k) == 0) | (value >= 100), F.format_number(half_up(value).cast("double"), 0)).otherwise(F.format_number(half_up(value * 10) / 10, 1))
+        shown = F.concat(shown, F.lit(" " + unit))
         cases = F.when(n >= F.lit(1000.0**k), shown).otherwise(cases) if k else shown
     return cases
 
 
-def memory_cost(task: Column, kind: Column, size: Column, width: Column, height: Column) -> Column:
-    """Bytes of memory that a task on a file is expected to take; infinity if unknown. width and height are null where not known."""
-    area = width.cast("double") * height
+def memory_cost(task: Column, kind: Column, format_: Column, size: Column, width: Column, height: Column) -> Column:
+    """Bytes of memory that a task on a file is expected to take; infinity for a JPEG or PNG whose dimensions can't be read. Dimensions of other formats are not looked at."""
+    measured = format_.isin("jpeg", "png")
+    area = F.when(measured, width.cast("double") * height)
     return (
         F.when(task == "removebg", GIB + F.coalesce(area * 12, size * 8.0))
         .when((task == "convert") & kind.isin("video", "audio"), 512.0 * MIB)
         .when((task == "convert") & (kind == "pdf"), size * 3.0 + 256 * MIB)
         .when(task == "convert", F.coalesce(area * 12 + size * 2, F.greatest(F.lit(256.0 * MIB), size * 20.0)))
-        .when(kind == "image", F.coalesce(area * 16 + size * 2, F.lit(float("inf"))))
+        .when(measured, F.coalesce(area * 16 + size * 2, F.lit(float("inf"))))
         .when(kind == "pdf", size * 4.0)
         .when(kind == "zip", F.least(size.cast("double"), F.lit(128.0 * MIB)) * 3)
         .when(kind == "video", F.lit(512.0 * MIB))
@@ -135,16 +155,20 @@ SETTINGS = {
     "imageTarget": ("jpg", "png", "webp", "pdf"),
     "mediaTarget": ("mp4", "webm", "m4a", "wav"),
 }
+# What an application's own files end in.
 ASSET = r"(?i)\.(m?js|wasm|onnx|bcmap|pfb|ttf|css|woff2?|svg|png|ico|webmanifest|json|html)$"
 
 
 def sanitise(text: Column) -> list[Column]:
-    """Settings from JSON text: a field that is not one of its values takes its default; allowMacros holds only for JSON true."""
-    field = lambda name: F.get_json_object(text, f"$.{name}")
-    out = [F.when(field(name).isin(*values), field(name)).otherwise(values[0]).alias(name) for name, values in SETTINGS.items()]
-    flag = F.lower(F.get_json_object(text, "$.stripMetadata"))
-    out.append(F.coalesce((flag == "true") & text.rlike(r'"stripMetadata"\s*:\s*true'), F.lit(False)).alias("stripMetadata"))
-    return [*out, F.coalesce(text.rlike(r'"allowMacros"\s*:\s*true'), F.lit(False)).alias("allowMacros")]
+    """Settings from JSON text: a field of the outermost object that is not one of its values takes its default, a flag that is not true or false is false. Text that is no JSON object gives defaults alone. Values are compared with their types: the text "true" is not true."""
+    parsed = F.try_parse_json(text)
+
+    def field(name, kind):
+        typed = F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant")) == kind
+        return F.when(typed, F.try_variant_get(parsed, f"$.{name}", kind.lower()))
+
+    out = [F.when(field(name, "STRING").isin(*values), field(name, "STRING")).otherwise(values[0]).alias(name) for name, values in SETTINGS.items()]
+    return out + [F.coalesce(field(name, "BOOLEAN"), F.lit(False)).alias(name) for name in ("stripMetadata", "allowMacros")]
 
 
 def page_ranges(text: Column, pages: Column) -> Column:

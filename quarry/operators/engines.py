@@ -2,22 +2,100 @@
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.functions import scalars as S
+from quarry.functions import rules, scalars as S
+from quarry.operators import packages
 from quarry.sources import archives
 
-#: Chunks that a picture can lose without changing how it looks.
+# Chunks that a picture can lose without changing how it looks; elements of an office package's metadata parts that are emptied.
 PNG_METADATA = ("tEXt", "zTXt", "iTXt", "eXIf", "tIME")
 
 
+CLEARED = {"docProps/core.xml": ("dc:creator", "cp:lastModifiedBy", "cp:keywords", "dc:description", "cp:category"), "docProps/app.xml": ("Company", "Manager", "HyperlinkBase")}
+
+
+def office_name(names: list[str]) -> tuple[str, bool] | None:
+    """The short name of an office package's kind and whether it holds macros; None for other archives."""
+    kind = next((short for folder, short in packages.FOLDERS if any(n.startswith(folder) for n in names)), None)
+    return (kind, any(re.search(r"(?i)(^|/)vbaProject\.bin$", n) for n in names)) if kind and packages.TYPES_PART in names else None
+
+
+def emptied(raw: bytes, tags: tuple[str, ...]) -> bytes | None:
+    """An XML part with these elements' text taken out; None if it is large, not UTF-8 or has none of them."""
+    if len(raw) > packages.MOST_METADATA:
+        return None
+    try:
+        text = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    out = text
+    for tag in tags:
+        head, close, at, made = f"<{tag}>", f"</{tag}>", 0, []
+        while (start := out.find(head, at)) >= 0 and (end := out.find(close, start)) >= 0:
+            made.append(out[at : start + len(head)])
+            at = end
+        out = "".join(made) + out[at:]
+    return out.encode() if out != text else None
+
+
+def office_engine(data: bytes, found: list[dict], macro: bool, allow_macros: bool = False, strip: bool = False) -> tuple[bytes | None, list[tuple[str, bool]]]:
+    """A package with its parts packed anew, its pictures optimised without loss and, if asked for, its metadata emptied. Macros and what belongs to signatures stay byte for byte; a signed package is only packed."""
+    if macro and not allow_macros:
+        raise archives.Corrupt("macro")
+    signed = any(e["name"].startswith("_xmlsignatures/") for e in found)
+
+    def policy(e):
+        name = e["name"]
+        if re.search(rules.VERBATIM, name):
+            return "copy"
+        return "transform" if not signed and (re.search(rules.MEDIA, name) or strip and name in CLEARED) else "pack"
+
+    def transform(name, raw):
+        if name in CLEARED:
+            return emptied(raw, CLEARED[name])
+        if not name.lower().endswith(".png"):
+            return None
+        try:  # any doubt keeps the picture
+            made, checks = png_engine(raw, strip)
+        except (archives.Corrupt, zlib.error, struct.error, IndexError, ValueError):
+            return None
+        return made if made is not None and all(ok for _, ok in checks) else None
+
+    return checked(data, *archives.rewrite(data, transform, policy))
+
+
 def zip_engine(data: bytes) -> tuple[bytes | None, list[tuple[str, bool]]]:
-    made, changed = archives.rewrite(data)
+    found = archives.directory(data)
+    names = [e["name"] for e in found]
+    if unsafe(names):
+        raise archives.Corrupt("unsafe-paths")
+    if office := office_name(names):
+        return office_engine(data, found, office[1])
+    first = lambda e: "copy" if e["index"] == 0 and e["name"] == "mimetype" else "pack"
+    return checked(data, *archives.rewrite(data, policy=first))
+
+
+def unsafe(names: list[str]) -> bool:
+    """Whether any name could leave its folder or clash with a device, a trimmed name or, but for case, slashes and accents, with another."""
+    device = re.compile(rf"(?i)({S.DEVICES})(\..*)?$")
+    for name in names:
+        parts = re.split(r"[\\/]", re.sub(r"[\\/]$", "", name))
+        if re.match(r"[\\/]", name) or re.search(r"[\x00-\x1F:]", name) or any(p == ".." or device.match(p) or (p != "." and re.search(r"[. ]$", p)) for p in parts):
+            return True
+    folded = [unicodedata.normalize("NFC", n).lower().replace("\\", "/") for n in names]
+    return len(set(folded)) < len(folded)
+
+
+def checked(data: bytes, made: bytes, changed: set[int]) -> tuple[bytes, list[tuple[str, bool]]]:
+    """A rewritten archive with its proofs against the one before."""
     before, after = archives.directory(data), archives.directory(made)
     same = len(before) == len(after) and all(a[k] == b[k] for a, b in zip(before, after, strict=True) for k in ("name", "external", "time", "date") + (() if a["index"] in changed else ("crc", "usize")))
     left = archives.budget(len(made))
@@ -25,8 +103,8 @@ def zip_engine(data: bytes) -> tuple[bytes | None, list[tuple[str, bool]]]:
     return made, [("same entries", same), ("every entry opens", opens)]
 
 
-def png_engine(data: bytes) -> tuple[bytes | None, list[tuple[str, bool]]]:
-    made = archives.recompress_png(data)
+def png_engine(data: bytes, strip: bool = False) -> tuple[bytes | None, list[tuple[str, bool]]]:
+    made = archives.recompress_png(data, PNG_METADATA if strip else ())
     if made is None:
         return None, []
     pixels = lambda x: zlib.decompress(b"".join(x[a : a + n] for k, a, n in archives.png_chunks(x) if k == "IDAT"))
@@ -53,7 +131,7 @@ def compress(files: DataFrame, id_col: str = "file_id", content_col: str = "cont
                 try:
                     made, checks = ENGINES[format_](data)
                 except archives.Corrupt as error:
-                    failure = str(error) if str(error) in ("unsafe-paths", "validation", "unreadable") else "corrupt"
+                    failure = str(error) if str(error) in ("unsafe-paths", "validation", "unreadable", "macro") else "corrupt"
                 except (zlib.error, struct.error, IndexError, ValueError):
                     failure = "corrupt"
                 yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([data], pa.binary()), pa.array([made], pa.binary()), pa.array([[{"label": a, "ok": b} for a, b in checks]], pa.list_(pa.struct([("label", pa.string()), ("ok", pa.bool_())]))), pa.array([failure], pa.string())], ["file_id", "content", "candidate", "checks", "failure"])

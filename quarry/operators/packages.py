@@ -16,7 +16,7 @@ MOST_XML, MOST_METADATA = 16 << 20, 1 << 20
 def office_kind(entries: DataFrame, group: str, name: str) -> DataFrame:
     """group, extension and macro of every package: null without the content types part or without a known folder. One aggregation with partial results; null names count as other names."""
     has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    found = entries.groupBy(group).agg(has(F.col(name) == TYPES_PART).alias("typed"), has(F.col(name).endswith("vbaProject.bin")).alias("macro"), *(has(F.col(name).startswith(folder)).alias(short) for folder, short in FOLDERS))
+    found = entries.groupBy(group).agg(has(F.col(name) == TYPES_PART).alias("typed"), has(F.col(name).rlike(r"(?i)(^|/)vbaProject\.bin$")).alias("macro"), *(has(F.col(name).startswith(folder)).alias(short) for folder, short in FOLDERS))
     base = F.coalesce(*(F.when(F.col(short), short) for _, short in FOLDERS))
     return found.select(group, F.when(F.col("typed"), F.concat(base, F.when(F.col("macro"), "m").otherwise("x"))).alias("extension"), (F.col("typed") & base.isNotNull() & F.col("macro")).alias("macro"))
 
@@ -33,13 +33,21 @@ def resolved(rels: Column, target: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, in either kind of quotes, wherever it stands; empty without it."""
+    quoted = F.regexp_extract(tag, rf"""(?:^|\s){name}\s*=\s*("[^"]*"|'[^']*')""", 1)
+    return F.substring(quoted, F.lit(2), F.greatest(F.length(quoted) - 2, F.lit(0)))
+
+
 def relationships(parts: DataFrame, group: str, name: str, xml: str) -> DataFrame:
     """One row per relationship: group, name, target (resolved; null for what points outside), external and hyperlink. Only parts named *.rels of at most MOST_XML bytes are read; null texts have none."""
     fit = parts.where(F.col(name).endswith(".rels") & (F.octet_length(xml) <= MOST_XML))
-    rows = fit.select(group, name, F.explode(F.regexp_extract_all(xml, F.lit(r"<Relationship\b([^>]*)>"), F.lit(1))).alias("a"))
-    external = F.col("a").rlike(r'TargetMode\s*=\s*"External"')
-    raw = F.replace(F.regexp_extract("a", r'Target\s*=\s*"([^"]*)"', 1), F.lit("&amp;"), F.lit("&"))
-    return rows.select(group, name, F.when(~external & (raw != ""), resolved(F.col(name), raw)).alias("target"), external.alias("external"), F.col("a").rlike(r'Type\s*=\s*"[^"]*/hyperlink"').alias("hyperlink"))
+    # after the tag's name: values in quotes, which may hold the closing bracket, and all else up to it
+    rows = fit.select(group, name, F.explode(F.regexp_extract_all(xml, F.lit(r"""<Relationship(?=[\s/>])((?:"[^"]*"|'[^']*'|[^>"'])*)>"""), F.lit(1))).alias("tag"))
+    rows = rows.select(group, name, *(attribute(F.col("tag"), a).alias(a) for a in ("Target", "TargetMode", "Type")))
+    external = F.col("TargetMode") == "External"
+    raw = F.replace("Target", F.lit("&amp;"), F.lit("&"))
+    return rows.select(group, name, F.when(~external & (raw != ""), resolved(F.col(name), raw)).alias("target"), external.alias("external"), F.col("Type").endswith("/hyperlink").alias("hyperlink"))
 
 
 def package_checks(parts: DataFrame, group: str, name: str, xml: str) -> DataFrame:

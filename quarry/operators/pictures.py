@@ -147,9 +147,9 @@ def canonical(lengths: dict[int, int]) -> dict[int, int]:
     return out
 
 
-def prefix_codes(symbols: DataFrame, key: str, symbol: str) -> DataFrame:
-    """key, symbol (0 to 255), count, length and code. Symbols are counted by an aggregation with partial results, so a table's group has 256 rows at most; symbols out of range or null are left out."""
-    counted = symbols.where(F.col(symbol).between(0, 255)).groupBy(F.col(key), F.col(symbol).cast("int").alias("symbol")).agg(F.count("*").alias("count"))
+def prefix_codes(symbols: DataFrame, key: str, symbol: str, weight: str | None = None) -> DataFrame:
+    """key, symbol (0 to 255), count, length and code; weight: how often a row's symbol stands, once without it. Symbols are counted by an aggregation with partial results, so a table's group has 256 rows at most; symbols out of range or null are left out."""
+    counted = symbols.where(F.col(symbol).between(0, 255)).groupBy(F.col(key), F.col(symbol).cast("int").alias("symbol")).agg((F.sum(weight) if weight else F.count("*")).alias("count"))
 
     def build(table: pa.Table) -> pa.Table:
         counts = dict(zip(table["symbol"].to_pylist(), table["count"].to_pylist(), strict=True))
@@ -159,3 +159,43 @@ def prefix_codes(symbols: DataFrame, key: str, symbol: str) -> DataFrame:
 
     kind = counted.schema[key].dataType.simpleString()
     return counted.groupBy(key).applyInArrow(build, f"`{key}` {kind}, symbol int, count long, length int, code int")
+
+
+def network_input(channels: DataFrame, key: str, index: str, value: str) -> DataFrame:
+    """key, place and x of a segmentation network's input, from bytes of pixels with four channels each: planes of red, green and blue, divided by the picture's brightest value (1 at least), centred on 0.5."""
+    colours = channels.where(F.col(index) % 4 < 3)
+    most = colours.groupBy(F.col(key).alias("_k")).agg(F.greatest(F.lit(1), F.max(value)).alias("_most"))
+    counts = channels.groupBy(F.col(key).alias("_c")).agg(F.floor(F.count("*") / 4).alias("_n"))
+    both = colours.join(most, F.col(key) == F.col("_k")).join(counts, F.col(key) == F.col("_c"))
+    return both.select(key, ((F.col(index) % 4) * F.col("_n") + F.floor(F.col(index) / 4)).cast("int").alias("place"), (F.col(value) / F.col("_most") - 0.5).alias("x"))
+
+
+def opacity(channels: DataFrame, key: str, index: str, value: str) -> DataFrame:
+    """key, opaque (every fourth channel is full) and transparent (one is not)."""
+    return channels.where(F.col(index) % 4 == 3).groupBy(key).agg(F.bool_and(F.col(value) == 255).alias("opaque"), F.bool_or(F.col(value) < 255).alias("transparent"))
+
+
+def symbol_counts(texts: DataFrame, group: str, text: str) -> DataFrame:
+    """group, symbol and n: how often each byte of the whole texts stands. A task counts its rows' bytes and sends at most 256 rows a group; null texts have none, a null group is one."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        held = {}
+        for batch in batches:
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if value:
+                    counts = np.bincount(np.frombuffer(value.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
+                    held[key] = held[key] + counts if key in held else counts
+            if len(held) >= 10_000:
+                yield from sent(held)
+                held = {}
+        yield from sent(held)
+
+    def sent(held):
+        for key, counts in held.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], [group, "symbol", "n"])
+
+    partial = texts.select(F.col(group).cast("string").alias(group), F.col(text).cast("string").alias(text)).mapInArrow(run, f"`{group}` string, symbol int, n long")
+    return partial.groupBy(group, "symbol").agg(F.sum("n").alias("n"))

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from quarry.functions.scalars import nfc
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's folder; a temporary one only where none is set."""
+    """A reliable checkpoint in the session's folder; a local session without one gets a temporary folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint"))
     return df.checkpoint(eager=True)
 
 
@@ -23,16 +28,26 @@ def merge_duplicates(payloads: DataFrame, key: str, content: str, least: int = 5
 
 
 def twins(entries: DataFrame, group: str, name: str) -> DataFrame:
-    """entries with `twin`: whether another entry of the group has the same name but for case and the kind of slash."""
-    folded = F.lower(F.regexp_replace(name, r"\\", "/"))
+    """entries with `twin`: whether another entry of the group has the same name but for case, the kind of slash and the way accents are composed."""
+    folded = F.lower(F.regexp_replace(nfc(F.col(name)), r"\\", "/"))
+    entries = entries.withColumn("_folded", folded)
+    folded = F.col("_folded")
     counts = entries.groupBy(F.col(group).alias("_g"), folded.alias("_n")).agg(F.count("*").alias("_c"))
-    return entries.join(counts, entries[group].eqNullSafe(counts["_g"]) & folded.eqNullSafe(counts["_n"])).select(*(entries[c] for c in entries.columns), (F.col("_c") > 1).alias("twin"))
+    return entries.join(counts, entries[group].eqNullSafe(counts["_g"]) & folded.eqNullSafe(counts["_n"])).select(*(entries[c] for c in entries.columns if c != "_folded"), (F.col("_c") > 1).alias("twin"))
+
 
+def running_offset(entries: DataFrame, group: str, order: str, size: str, slice_of: int = 1 << 16) -> DataFrame:
+    """entries with `offset`: the bytes of the group's entries before, in the order of a whole number.
 
-def running_offset(entries: DataFrame, group: str, order: str, size: str) -> DataFrame:
-    """entries with `offset`: the bytes of the group's entries before."""
-    before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return entries.withColumn("offset", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
+    A group may hold a third of all entries, so sums are made at two levels: entries are dealt by group and run of slice_of order numbers; a window over the runs, one row each, says what lies before a run, another inside a run what lies before an entry.
+    """
+    runs = entries.withColumn("_run", F.floor(F.col(order) / slice_of))
+    totals = runs.groupBy(F.col(group).alias("_g"), F.col("_run").alias("_r")).agg(F.sum(size).alias("_s"))
+    ahead = totals.withColumn("_before", F.sum("_s").over(Window.partitionBy("_g").orderBy("_r")) - F.col("_s")).drop("_s")
+    inside = Window.partitionBy(group, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = runs.withColumn("_within", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    joined = rows.join(ahead, F.col(group).eqNullSafe(F.col("_g")) & F.col("_run").eqNullSafe(F.col("_r")))
+    return joined.select(*(entries[c] for c in entries.columns), (F.col("_before") + F.col("_within")).cast("long").alias("offset"))
 
 
 def admission(queue: DataFrame, group: str, order: str, cost: str, slots: int, budget: float) -> DataFrame:
@@ -118,3 +133,82 @@ def verify(before: DataFrame, after: DataFrame, changed: DataFrame) -> DataFrame
 def smallest(candidates: DataFrame, key: str, size: str, rank: str) -> DataFrame:
     """The smallest candidate of each key; of equals the one of lowest rank."""
     return candidates.groupBy(key).agg(F.min(F.struct(F.col(size).alias("size"), F.col(rank).alias("rank"))).alias("best")).select(key, "best.size", "best.rank")
+
+
+def flagged(rows: DataFrame, key: str, marks: DataFrame, mark: str, name: str) -> DataFrame:
+    """rows with a flag: whether the key is among the marks, such as streams that others use as masks. Null keys are not."""
+    known = marks.select(F.col(mark).alias("_mark")).where("_mark is not null").distinct()
+    return rows.join(known, F.col(key) == F.col("_mark"), "left").withColumn(name, F.col("_mark").isNotNull()).drop("_mark")
+
+
+def rewritten(references: DataFrame, column: str, aliases: DataFrame, alias: str, keep: str) -> DataFrame:
+    """references with each alias replaced by what is kept for it; other references stay."""
+    table = aliases.select(F.col(alias).alias("_alias"), F.col(keep).alias("_keep"))
+    return references.join(table, F.col(column) == F.col("_alias"), "left").withColumn(column, F.coalesce("_keep", column)).drop("_alias", "_keep")
+
+
+def same_arrays(a: DataFrame, b: DataFrame, key: str, values: str) -> DataFrame:
+    """key and same: whether both sides hold equal arrays, element by element; a key of one side alone is not the same. Nulls are equal to nulls."""
+    left, right = a.select(key, F.struct(values).alias("_a")), b.select(key, F.struct(values).alias("_b"))
+    return left.join(right, key, "full_outer").select(key, F.coalesce(F.col("_a") == F.col("_b"), F.col("_a").eqNullSafe(F.col("_b"))).alias("same"))
+
+
+def ranked(value: Column, order: tuple[str, ...]) -> Column:
+    """The place of a value in a fixed order, from 1; 0 outside it."""
+    return F.array_position(F.array(*map(F.lit, order)), value)
+
+
+def offered(items: DataFrame, group: str, targets: str, order: tuple[str, ...], least: int = 2) -> DataFrame:
+    """group and the union of its items' targets, each once, in a fixed order; groups of fewer than `least` items have no common choice."""
+    counts = items.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(group)
+    found = items.select(group, F.explode(targets).alias("_t")).distinct().join(counts, group)
+    placed = found.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(ranked(F.col("_t"), order).alias("place"), F.col("_t").alias("target")))).alias("_all"))
+    return placed.select(group, F.col("_all.target").alias("targets"))
+
+
+def moved(rows: DataFrame, group: str, place: str, source: Column, to: Column) -> DataFrame:
+    """rows with places renumbered as if the row at `source` had been taken out and put in at `to` (both from 0); places outside the group, or equal ones, move nothing."""
+    count = F.count("*").over(Window.partitionBy(group))
+    at = F.col(place)
+    valid = (source != to) & (to >= 0) & (to < count) & (source >= 0) & (source < count)
+    shifted = F.when(at == source, to).when((at > source) & (at <= to), at - 1).when((at < source) & (at >= to), at + 1).otherwise(at)
+    return rows.withColumn(place, F.when(valid, shifted).otherwise(at))
+
+
+def swapped(rows: DataFrame, group: str, place: str, at: Column, by: Column) -> DataFrame:
+    """rows with the neighbours at `at` and `at + by` changed over; outside the group nothing moves."""
+    other, count = at + by, F.count("*").over(Window.partitionBy(group))
+    here = F.col(place)
+    valid = (other >= 0) & (other < count) & (at >= 0) & (at < count)
+    return rows.withColumn(place, F.when(valid & (here == at), other).when(valid & (here == other), at).otherwise(here))
+
+
+def first_rows(rows: DataFrame, group: str, order: list, most: int) -> DataFrame:
+    """At most so many rows of each group, the first in the given order. Spark keeps no more than that of a group in a task before it exchanges them."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return rows.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+
+
+def merged(pages: DataFrame, files: DataFrame, doc: str, page: str, place: str) -> DataFrame:
+    """The pages of several files as one: files in the order of their place, pages in theirs; index counts from 0. Lengths of files are summed over the files, so that no task numbers all pages."""
+    counts = pages.groupBy(doc).agg(F.count("*").alias("_n"))
+    starts = files.select(doc, place).join(counts, doc).withColumn("_start", F.sum("_n").over(Window.orderBy(place, doc)) - F.col("_n"))
+    inside = F.row_number().over(Window.partitionBy(doc).orderBy(page)) - 1
+    return pages.withColumn("_inside", inside).join(starts.drop("_n"), doc).withColumn("index", (F.col("_start") + F.col("_inside")).cast("long")).drop("_start", "_inside")
+
+
+def differences(blocks: DataFrame, group: list[str], order: str, value: str) -> DataFrame:
+    """blocks with `difference`: the value less that of the block before in its component; the first is taken from 0."""
+    before = F.lag(value, 1, 0).over(Window.partitionBy(*group).orderBy(order))
+    return blocks.withColumn("difference", F.col(value) - before)
+
+
+def unused(rows: DataFrame, key: str, live: DataFrame) -> DataFrame:
+    """Rows whose key is not among the live nodes (node): what a sweep deletes."""
+    return rows.join(live.select(F.col("node").alias("_node")).distinct(), F.col(key) == F.col("_node"), "left_anti")
+
+
+def imports(chunks: DataFrame, name: str, text: str) -> DataFrame:
+    """src and dst of every static import between text chunks: names in quotes after `from` or `import` that begin with a dot step, without it."""
+    found = F.regexp_extract_all(text, F.lit(r"""(?:\bfrom|\bimport)\s*["']\.?/?([^"']+)["']"""), F.lit(1))
+    return chunks.select(F.col(name).alias("src"), F.explode(F.array_distinct(found)).alias("dst"))

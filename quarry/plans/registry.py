@@ -12,6 +12,17 @@ QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
+def pick(key: str, values: tuple, step: int = 1):
+    """One of the values by a key's digit."""
+    return F.get(F.array(*map(F.lit, values)), (F.floor(F.col(key) / step) % len(values)).cast("int"))
+
+
+def chosen(key: str, values: tuple, step: int = 1) -> str:
+    """The same in SQL."""
+    said = ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in values)
+    return f"([{said}])[({key} // {step}) % {len(values)} + 1]"
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
@@ -62,39 +73,65 @@ def category_of(spark, d):
     return part_names(spark, d).select("p_partkey", S.category(F.col("name")).alias("category"))
 
 
-@query(r"SELECT page_id, left(CASE WHEN s = '' THEN 'file' ELSE s END, 200) AS safe FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace('..' || url || chr(9) || ' ', '[\x00-\x1F\x7F]', '', 'g'), '[\\/:*?\"<>|]', '_', 'g'), '^[.\s]+', ''), '\s+$', '') AS s FROM pages)")
+@query(r"SELECT page_id, left(CASE WHEN s = '' THEN 'file' ELSE s END, 200) AS safe FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(CASE page_id % 4 WHEN 0 THEN repeat(url, 6) WHEN 1 THEN '. . ' WHEN 2 THEN '..e' || chr(769) || url || chr(8238) ELSE chr(160) || url || 'e' || chr(769) END || chr(9) || ' '), '[\x00-\x1F\x7F\x{200E}\x{200F}\x{202A}-\x{202E}]', '', 'g'), '[\\/:*?\"<>|]', '_', 'g'), '^[.\s\x{00A0}]+', ''), '[\s\x{00A0}]+$', '') AS s FROM pages)")
 def safe_name(spark, d):
-    return table(spark, d, "pages").select("page_id", S.safe_name(F.concat(F.lit(".."), F.col("url"), F.lit("\t "))).alias("safe"))
+    k = F.col("page_id") % 4
+    given = F.when(k == 0, F.repeat("url", F.lit(6))).when(k == 1, ". . ").when(k == 2, F.concat(F.lit("..e\u0301"), "url", F.lit("\u202e"))).otherwise(F.concat(F.lit("\u00a0"), "url", F.lit("e\u0301")))
+    return table(spark, d, "pages").select("page_id", S.safe_name(F.concat(given, F.lit("\t "))).alias("safe"))
+
 
+HEADS_OF_NAMES = ("", "/", "a/", "a\\", "../", "x/../", "b:", "\x01")
+BODIES_OF_NAMES = ("con", "NUL", "com1", "com\u00b2", "LPT0", "conin$", "console", "plain", ".", "..", "lpt")
+TAILS_OF_NAMES = ("", ".txt", ".", " ", "/", "\x7f", "\\y")
 
-@query("SELECT p_partkey, p_partkey % 7 < 4 AS unsafe FROM part")
+
+@query(f"""WITH s AS (SELECT p_partkey, {chosen('p_partkey', HEADS_OF_NAMES)} || {chosen('p_partkey', BODIES_OF_NAMES, 8)} || {chosen('p_partkey', TAILS_OF_NAMES, 88)} AS n FROM part)
+SELECT p_partkey, regexp_matches(n, '^[\\\\/]') OR regexp_matches(n, '[\\x00-\\x1F:]') OR len(list_filter(string_split_regex(regexp_replace(n, '[\\\\/]$', ''), '[\\\\/]'), lambda p: p = '..' OR regexp_matches(string_split(lower(p), '.')[1], '^(con|prn|aux|nul|conin\\$|conout\\$|com[0-9\u00b9\u00b2\u00b3]|lpt[0-9\u00b9\u00b2\u00b3])$') OR p <> '.' AND (ends_with(p, '.') OR ends_with(p, ' ')))) > 0 AS unsafe FROM s""")
 def unsafe_name(spark, d):
-    made = F.element_at(F.array(*map(F.lit, ("/abs", "a/../b", "x/NUL.txt", "dir /f", "a/b.txt", "plain", "folder/"))), (F.col("p_partkey") % 7 + 1).cast("int"))
+    made = F.concat(pick("p_partkey", HEADS_OF_NAMES), pick("p_partkey", BODIES_OF_NAMES, 8), pick("p_partkey", TAILS_OF_NAMES, 88))
     return table(spark, d, "part").select("p_partkey", S.unsafe_name(made).alias("unsafe"))
 
 
-@query("SELECT p_partkey, count(*) OVER (PARTITION BY p_size, lower(p_name)) > 1 AS twin FROM part")
+@query("WITH s AS (SELECT p_partkey, p_size, lower(nfc_normalize(replace(CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN 'e' || chr(769) || '/' || p_name ELSE chr(233) || chr(92) || p_name END, chr(92), '/'))) AS k FROM part) SELECT p_partkey, count(*) OVER (PARTITION BY p_size, k) > 1 AS twin FROM s")
 def name_twins(spark, d):
-    odd = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    k = F.col("p_partkey") % 3
+    odd = F.when(k == 0, F.upper("p_name")).when(k == 1, F.concat(F.lit("e\u0301/"), "p_name")).otherwise(F.concat(F.lit("\u00e9\\"), "p_name"))
     return R.twins(table(spark, d, "part").select("p_partkey", "p_size", odd.alias("name")), "p_size", "name").select("p_partkey", "twin")
 
 
-@query("SELECT o_orderkey, (a, b, c) > (b, a, c) AS is_newer FROM (SELECT o_orderkey, CAST(o_orderkey % 5 AS INT) a, CAST(o_orderkey % 13 AS INT) b, CAST(o_orderkey % 3 AS INT) c FROM orders)")
+VERSIONS = ("1", "2-rc1", "x", "10", "", "02", "-3")
+
+
+def numbers_sql(text: str) -> str:
+    return f"list_resize(list_transform(string_split({text}, '.')[1:3], lambda p: coalesce(try_cast(regexp_extract(p, '^\\s*([+-]?[0-9]+)', 1) AS DOUBLE), 0)), 3, 0)"
+
+
+@query(f"""WITH s AS (SELECT o_orderkey, {chosen('o_orderkey', VERSIONS)} || '.' || {chosen('o_orderkey', VERSIONS, 7)} AS a, {chosen('o_orderkey', VERSIONS, 3)} || '.' || {chosen('o_orderkey', VERSIONS, 11)} || '.' || {chosen('o_orderkey', VERSIONS, 2)} || '.9' AS b FROM orders)
+SELECT o_orderkey, {numbers_sql('a')} > {numbers_sql('b')} AS is_newer FROM s""")
 def version_newer(spark, d):
-    k = F.col("o_orderkey")
-    dots = lambda *m: F.concat_ws(".", *((k % x).cast("string") for x in m))
-    return table(spark, d, "orders").select("o_orderkey", S.newer(dots(5, 13, 3), dots(13, 5, 3)).alias("is_newer"))
+    dots = lambda *steps: F.concat_ws(".", *(pick("o_orderkey", VERSIONS, k) for k in steps))
+    return table(spark, d, "orders").select("o_orderkey", S.newer(dots(1, 7), F.concat(dots(3, 11, 2), F.lit(".9"))).alias("is_newer"))
 
 
-@query("SELECT p_partkey, 'compress' AS task, CAST(CASE p_partkey % 4 WHEN 0 THEN p_size * 100.0 * 200 * 16 + 2 * n WHEN 1 THEN n * 4.0 WHEN 2 THEN least(n, 134217728.0) * 3 ELSE n * 2.0 END AS DOUBLE) AS cost FROM (SELECT p_partkey, p_size, CAST(p_partkey AS DOUBLE) * 100000 AS n FROM part)")
+KINDS_OF_FILES = ("image", "image", "image", "pdf", "zip", "video", "audio", "other")
+FORMATS_OF_FILES = ("jpeg", "png", "webp", "pdf", "zip", "mp4", "wav", "")
+
+
+@query(f"""WITH s AS (SELECT p_partkey, {chosen('p_partkey', ('compress', 'convert', 'removebg'), 8)} AS task, {chosen('p_partkey', KINDS_OF_FILES)} AS kind, {chosen('p_partkey', FORMATS_OF_FILES)} AS f, p_partkey * 100000.0::DOUBLE AS n, CASE WHEN p_partkey % 5 > 0 AND p_partkey % 8 < 2 THEN p_size * 100.0 * 200 END AS a FROM part)
+SELECT p_partkey, task, CAST(CASE task WHEN 'removebg' THEN 1073741824 + coalesce(a * 12, n * 8) WHEN 'convert' THEN CASE WHEN kind IN ('video', 'audio') THEN 536870912 WHEN kind = 'pdf' THEN n * 3 + 268435456 ELSE coalesce(a * 12 + n * 2, greatest(268435456, n * 20)) END
+ELSE CASE WHEN f IN ('jpeg', 'png') THEN coalesce(a * 16 + n * 2, 1e300) WHEN kind = 'pdf' THEN n * 4 WHEN kind = 'zip' THEN least(n, 134217728) * 3 WHEN kind = 'video' THEN 536870912 ELSE n * 2 END END AS DOUBLE) AS cost FROM s""")
 def memory_cost(spark, d):
-    kind = F.element_at(F.array(*map(F.lit, ("image", "pdf", "zip", "other"))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", F.lit("compress").alias("task"), S.memory_cost(F.lit("compress"), kind, F.col("p_partkey") * 100000.0, F.col("p_size") * 100, F.lit(200)).alias("cost"))
+    task = pick("p_partkey", ("compress", "convert", "removebg"), 8)
+    width = F.when(F.col("p_partkey") % 5 > 0, F.col("p_size") * 100)
+    cost = S.memory_cost(task, pick("p_partkey", KINDS_OF_FILES), pick("p_partkey", FORMATS_OF_FILES), F.col("p_partkey") * 100000.0, width, F.lit(200))
+    return table(spark, d, "part").select("p_partkey", task.alias("task"), F.least(cost, F.lit(1e300)).alias("cost"))
 
 
-@query("SELECT doc_id, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 100000 THEN CAST(CAST(floor(n / 1000.0 * 10 + 0.5) / 10 AS DECIMAL(10,1)) AS VARCHAR) || ' kB' WHEN n < 1000000 THEN CAST(CAST(floor(n / 1000.0 + 0.5) AS BIGINT) AS VARCHAR) || ' kB' ELSE CAST(CAST(floor(n / 1000000.0 * 10 + 0.5) / 10 AS DECIMAL(10,1)) AS VARCHAR) || ' MB' END AS shown FROM (SELECT doc_id, n_chars AS n FROM documents)")
+@query("""WITH s AS (SELECT o_orderkey, o_orderkey * pow(10, o_orderkey % 14)::BIGINT AS n FROM orders), t AS (SELECT *, CASE WHEN n >= 1e12 THEN 4 WHEN n >= 1e9 THEN 3 WHEN n >= 1e6 THEN 2 WHEN n >= 1000 THEN 1 ELSE 0 END AS i FROM s), u AS (SELECT *, n / pow(1000.0, i) AS v FROM t)
+SELECT o_orderkey, CASE WHEN i = 0 OR v >= 100 THEN format('{:,}', floor(v + 0.5)::BIGINT) ELSE printf('%.1f', floor(v * 10 + 0.5) / 10) END || (['' , 'K', 'M', 'G', 'T'])[i + 1] || 'B' AS shown FROM u""".replace("|| (['' ,", "|| ' ' || (['',"))
 def size_format(spark, d):
-    return table(spark, d, "documents").select("doc_id", S.human_bytes(F.col("n_chars")).alias("shown"))
+    n = F.col("o_orderkey") * F.pow(F.lit(10), F.col("o_orderkey") % 14).cast("long")
+    return table(spark, d, "orders").select("o_orderkey", S.human_bytes(n).alias("shown"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity * 1000 * (1 - l_discount) <= l_quantity * 1000 * 0.99 THEN 'optimized' ELSE 'already-optimal' END AS outcome FROM lineitem")
@@ -149,12 +186,6 @@ def box_mean(spark, d):
     return R.box_mean(R.pixels(table(spark, d, "embeddings"), "vec_id", "embedding", 8), "vec_id", 1).withColumn("v", F.round("v", 5) + 0.0)
 
 
-@query()
-def guided_filter(spark, d):
-    image = R.pixels(table(spark, d, "embeddings"), "vec_id", "embedding", 8).withColumn("guide", F.col("v") / 2 + 0.5)
-    return R.guided_filter(image, "vec_id", 2, 5e-4).withColumn("q", F.round("q", 5))
-
-
 @query("SELECT page_id, CASE WHEN page_id % 5 = 4 THEN 'POST not permitted' WHEN page_id % 5 = 3 THEN 'query strings not permitted' WHEN page_id % 5 = 2 THEN 'not an application file' WHEN page_id % 5 = 1 THEN 'cross-origin' END AS refused FROM pages")
 def egress_policy(spark, d):
     k = F.col("page_id") % 5
@@ -200,10 +231,17 @@ def argmin_candidate(spark, d):
     return R.smallest(table(spark, d, "lineitem").withColumn("q", F.col("l_quantity").cast("long")), "l_orderkey", "q", "l_linenumber")
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'convert' ELSE 'compress' END AS task, CASE event_id % 4 WHEN 1 THEN 'compact' ELSE 'lossless' END AS mode, CASE event_id % 4 WHEN 2 THEN 'webp' ELSE 'jpg' END AS \"imageTarget\", 'mp4' AS \"mediaTarget\", event_id % 4 = 1 AS \"stripMetadata\", event_id % 4 = 0 AS \"allowMacros\" FROM events")
+JSON_TASKS, JSON_FLAGS = ('"convert"', '"upload"', "1", "null", '"pdf"', "[]"), ("true", "false", '"true"', "1", "null")
+JSON_SHELLS = ("{%s}", '{"note":{"allowMacros":true,"stripMetadata":true},%s}', "[%s]", "{%s", '{"mode":"compact","imageTarget":"webp","mediaTarget":"constructor",%s}')
+
+
+@query(f"""WITH s AS (SELECT event_id, replace({chosen('event_id', JSON_SHELLS)}, '%s', '"task":' || {chosen('event_id', JSON_TASKS, 5)} || ',"allowMacros":' || {chosen('event_id', JSON_FLAGS, 30)} || ', "stripMetadata" : ' || {chosen('event_id', JSON_FLAGS, 150)}) AS t FROM events),
+j AS (SELECT event_id, CASE WHEN json_valid(t) AND json_type(t::JSON) = 'OBJECT' THEN t::JSON END AS j FROM s)
+SELECT event_id, CASE WHEN json_type(j, '$.task') = 'VARCHAR' AND json_extract_string(j, '$.task') IN ('compress', 'convert', 'removebg', 'pdf') THEN json_extract_string(j, '$.task') ELSE 'compress' END AS task, CASE WHEN json_extract_string(j, '$.mode') IN ('balanced', 'compact') THEN json_extract_string(j, '$.mode') ELSE 'lossless' END AS mode,
+CASE WHEN json_extract_string(j, '$.imageTarget') IN ('png', 'webp', 'pdf') THEN json_extract_string(j, '$.imageTarget') ELSE 'jpg' END AS "imageTarget", 'mp4' AS "mediaTarget", coalesce(json_type(j, '$.stripMetadata') = 'BOOLEAN' AND json_extract_string(j, '$.stripMetadata') = 'true', false) AS "stripMetadata", coalesce(json_type(j, '$.allowMacros') = 'BOOLEAN' AND json_extract_string(j, '$.allowMacros') = 'true', false) AS "allowMacros" FROM j""")
 def settings_sanitise(spark, d):
-    texts = ('{"task":"convert","allowMacros":true}', '{"mode":"compact","allowMacros":"yes","stripMetadata":true}', '{"task":"upload","imageTarget":"webp","mediaTarget":"constructor"}', "null")
-    made = F.element_at(F.array(*map(F.lit, texts)), (F.col("event_id") % 4 + 1).cast("int"))
+    inner = F.concat(F.lit('"task":'), pick("event_id", JSON_TASKS, 5), F.lit(',"allowMacros":'), pick("event_id", JSON_FLAGS, 30), F.lit(', "stripMetadata" : '), pick("event_id", JSON_FLAGS, 150))
+    made = F.replace(pick("event_id", JSON_SHELLS), F.lit("%s"), inner)
     return table(spark, d, "events").select("event_id", made.alias("t")).select("event_id", *S.sanitise(F.col("t")))
 
 
@@ -275,10 +313,15 @@ def brush_dabs(spark, d):
     return rows.select("p_partkey", (F.col("k") + 1).alias("point"), F.round("p.x", 5).alias("x"), F.round("p.y", 5).alias("y"))
 
 
-@query("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'pptx' WHEN 1 THEN 'xlsm' WHEN 2 THEN 'docx' END AS extension, s_suppkey % 5 = 1 AS macro FROM supplier")
+PARTS = ("[Content_Types].xml", "ppt/presentation.xml", "xl/workbook.xml", "word/document.xml", "xl/vbaProject.bin", "XL/VBAPROJECT.BIN", "xvbaProject.bin", "a.txt")
+
+
+@query(f"""WITH n AS (SELECT unnest([{', '.join(f"'{p}'" for p in PARTS)}]) AS name, unnest(range(8)) AS bit), s AS (SELECT s_suppkey, name FROM supplier, n WHERE bit = 7 OR (s_suppkey * 37 // pow(2, bit)::BIGINT) % 2 = 1),
+g AS (SELECT s_suppkey, bool_or(name = '[Content_Types].xml') AS typed, bool_or(lower(name) IN ('xl/vbaproject.bin')) AS macro, CASE WHEN bool_or(name LIKE 'ppt/%') THEN 'ppt' WHEN bool_or(name LIKE 'xl/%') THEN 'xls' WHEN bool_or(name LIKE 'word/%') THEN 'doc' END AS base FROM s GROUP BY s_suppkey)
+SELECT s_suppkey::BIGINT AS s_suppkey, CASE WHEN typed THEN base || CASE WHEN macro THEN 'm' ELSE 'x' END END AS extension, typed AND base IS NOT NULL AND macro AS macro FROM g""")
 def office_kind(spark, d):
-    names = [("[Content_Types].xml", "ppt/presentation.xml"), ("[Content_Types].xml", "xl/workbook.xml", "xl/vbaProject.bin"), ("[Content_Types].xml", "word/document.xml"), ("word/document.xml", "word/vbaProject.bin"), ("[Content_Types].xml", "a.txt")]
-    listed = F.element_at(F.array(*(F.array(*map(F.lit, n)) for n in names)), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    bit = lambda k: F.floor(F.col("s_suppkey") * 37 / 2**k) % 2 == 1
+    listed = F.array_compact(F.array(*(F.when(F.lit(k == 7) | bit(k), name) for k, name in enumerate(PARTS))))
     return Pack.office_kind(table(spark, d, "supplier").select("s_suppkey", F.explode(listed).alias("name")), "s_suppkey", "name")
 
 
@@ -331,7 +374,5 @@ def jpeg_info(spark, d):
 
 @query()
 def prefix_codes(spark, d):
-    # bytes of single characters: a row's whole text would be copied once a byte
-    chars = table(spark, d, "documents").select("lang", F.explode(F.split("text", "")).alias("c")).where("lang is not null and c <> ''").select("lang", F.col("c").cast("binary").alias("c"))
-    bytes_ = chars.select("lang", "c", F.explode(F.sequence(F.lit(1), F.octet_length("c"))).alias("i")).select("lang", F.conv(F.hex(F.col("c").substr(F.col("i"), F.lit(1))), 16, 10).cast("int").alias("symbol"))
-    return Pic.prefix_codes(bytes_, "lang", "symbol")
+    counts = Pic.symbol_counts(table(spark, d, "documents"), "lang", "text")
+    return Pic.prefix_codes(counts.where("lang is not null"), "lang", "symbol", "n")

@@ -159,17 +159,18 @@ def assemble(parts: list[tuple[dict, bytes]], comment: bytes = b"") -> bytes:
     return bytes(out)
 
 
-def rewrite(data: bytes, transform=None) -> tuple[bytes, set[int]]:
-    """The archive with every entry deflated where that is smaller, and the indices whose content `transform` (name, bytes -> bytes or None) has changed. Unreadable entries, and large ones that are packed already, keep their stored bytes; so does an entry that would not become smaller."""
+def rewrite(data: bytes, transform=None, policy=None) -> tuple[bytes, set[int]]:
+    """The archive with every entry deflated where that is smaller, and the indices whose content `transform` (name, bytes -> bytes or None) has changed. policy (entry -> copy, pack or transform) says what happens to an entry; without one all are packed, and transformed if there is a transform. Unreadable entries, and large ones that are packed already, keep their stored bytes."""
     found, parts, changed, left = directory(data), [], set(), budget(len(data))
     for e in found:
         raw = body(data, e)
-        if not e["readable"] or e["usize"] > LARGE and (e["method"] == 8 or PACKED.search(e["name"])):
+        way = policy(e) if policy else "transform"
+        if not e["readable"] or way == "copy" or e["usize"] > LARGE and (e["method"] == 8 or PACKED.search(e["name"])):
             parts.append((e, raw))
             continue
         before = content(data, e, left)
         left -= len(before)
-        after = transform(e["name"], before) if transform else None
+        after = transform(e["name"], before) if transform and way == "transform" else None
         after = before if after is None else after
         deflate = zlib.compressobj(9, zlib.DEFLATED, -15)
         packed = deflate.compress(after) + deflate.flush()
@@ -216,3 +217,26 @@ def recompress_png(data: bytes, strip: tuple[str, ...] = (), most: int = 256 <<
         out.append(struct.pack(">I", len(body_) - 4) + body_ + struct.pack(">I", zlib.crc32(body_)))
     made = b"".join(out)
     return made if len(made) < len(data) else None
+
+
+def png_info(files: DataFrame, key: str, content: str) -> DataFrame:
+    """key, width, height, animated and the types of the chunks, in order; all null for what is no PNG or breaks off before its size. A chunk beyond the end of the file ends the list."""
+
+    def info(data: bytes | None) -> tuple:
+        if not data or data[:8] != b"\x89PNG\r\n\x1a\n" or len(data) < 24:
+            return None, None, None, None
+        kinds, at = [], 8
+        while at + 12 <= len(data):
+            size, kind = struct.unpack_from(">I4s", data, at)
+            kinds.append(kind.decode("latin-1"))
+            at += 12 + size
+        return (*struct.unpack_from(">2I", data, 16), "acTL" in kinds, kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string()))
+        for batch in batches:
+            found = [info(data) for data in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in found], t) for k, t in enumerate(kinds))], [key, "width", "height", "animated", "chunks"])
+
+    base = files.select(key, F.col(content).cast("binary").alias(content))
+    return base.mapInArrow(run, f"`{key}` {base.schema[key].dataType.simpleString()}, width long, height long, animated boolean, chunks array<string>")

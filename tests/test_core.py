@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
 from quarry.operators import engines, relational as R
-from quarry.plans import registry
+from quarry.plans import files, registry, rules  # noqa: F401
 from quarry.sources import archives
 
 SF = "/root/testdata/sf0.001"
@@ -36,7 +36,7 @@ def test_names(spark):
 def test_versions_and_sizes(spark):
     rows = [("0.3.1", "0.3.0"), ("0.10.0", "0.9.9"), ("1.0.0", "0.99.99"), ("0.3.0", "0.3.0"), ("0", "0.3.0"), ("x.2", "0.1")]
     assert values(spark, S.newer(F.col("a"), F.col("b")), rows, "a string, b string") == [True, True, True, False, False, True]
-    assert values(spark, S.human_bytes(F.col("n")), [(0,), (999,), (1000,), (1049,), (99950,), (123456,), (2_500_000,)], "n long") == ["0 B", "999 B", "1.0 kB", "1.0 kB", "100.0 kB", "123 kB", "2.5 MB"]
+    assert values(spark, S.human_bytes(F.col("n")), [(0,), (999,), (1000,), (1049,), (99950,), (123456,), (2_500_000,)], "n long") == ["0 B", "999 B", "1.0 KB", "1.0 KB", "100.0 KB", "123 KB", "2.5 MB"]
 
 
 def test_sniff(spark):
