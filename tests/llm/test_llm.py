@@ -424,6 +424,71 @@ def test_embeddings(spark):
     assert (links <= close.sum(1)).all() and links.sum() >= 0.98 * close.sum()
 
 
+def brute_embeddings(rows, limit=0.93):
+    """vec_id, links and component by all pairs; rows (id, vector, label) whose vectors are good and whose ids are unique."""
+    x = np.array([r[1] for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([str(r[2]) for r in rows])
+    close = (x @ x.T >= limit) & (label[:, None] == label)
+    np.fill_diagonal(close, False)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in zip(*np.nonzero(np.triu(close)), strict=True):
+        a, b = find(int(i)), find(int(j))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(r[0], least.get(find(i), r[0]))
+    return {r[0]: (int(close[i].sum()), least[find(i)]) for i, r in enumerate(rows)}
+
+
+def clustered(rng, count, dimensions):
+    """Vectors alone, in pairs around the bar, in chains and in dense groups, in shuffled order of ids."""
+    base = rng.standard_normal((count, dimensions))
+    for i in range(0, count // 2, 2):
+        base[i + 1] = base[i] + rng.uniform(0.2, 0.45) * rng.standard_normal(dimensions)
+    for i in range(count // 2, count // 2 + 60):
+        base[i] = base[i - 1] + 0.2 * rng.standard_normal(dimensions)
+    base[-700:] = base[-1] + 0.2 * rng.standard_normal((700, dimensions))
+    ids = rng.permutation(count).tolist()
+    return [(ids[i], [float(np.float32(v)) for v in x], "third" if i % 7 else "rest") for i, x in enumerate(base)]
+
+
+@pytest.mark.parametrize("fit", [1 << 21, 64 * 500])
+def test_embeddings_recall_where_nodes_split(spark, monkeypatch, fit):
+    """Leaves hold 512 of 4000 vectors, so trees split, in a task (whole labels) and over levels (labels that don't fit)."""
+    monkeypatch.setattr(embeddings, "FIT", fit)
+    rows = clustered(np.random.default_rng(14), 4000, 64)
+    got = {r[0]: tuple(r[1:]) for r in embeddings.near(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").repartition(5)).collect()}
+    want = brute_embeddings(rows)
+    found, there = sum(v[0] for v in got.values()), sum(v[0] for v in want.values())
+    assert all(got[k][0] <= want[k][0] for k in want) and found >= 0.99 * there
+    assert all(v[2] == (v[1] == k) for k, v in got.items())
+    full = sum(got[k][1] == want[k][1] for k in want)
+    assert full >= 0.99 * len(want)
+
+
+def test_embeddings_components_are_exact_in_a_leaf(spark):
+    rows = clustered(np.random.default_rng(3), 1000, 16)
+    rows = [(k, v, f"{label}{k % 4}") for k, v, label in rows]
+    got = {r[0]: (r[1], r[2]) for r in embeddings.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == brute_embeddings(rows)
+
+
+def test_embeddings_of_odd_rows(spark):
+    schema = "vec_id long, embedding array<float>, label string, id long, size int, data int"
+    rows = [(7, [1.0, 0.0], "a"), (7, [1.0, 0.0], "a"), (3, [2.0, 0.0], "a"), (None, [1.0, 0.0], "a"), (9, [1.0, 0.0], "b"), (10, [1.0, None], "a"), (11, [1.0, 0.0, 0.0], "a"), (12, [float("inf"), 0.0], "a"), (13, [-0.0, 1.0], "a"), (14, [0.0, 1.0], "a")]
+    got = sorted((tuple(r) for r in embeddings.near(spark.createDataFrame([(*r, 1, 2, 3) for r in rows], schema)).collect()), key=str)
+    assert got == sorted([(7, 2, 3, False), (7, 2, 3, False), (3, 2, 3, True), (None, 0, None, True), (9, 0, 9, True), (10, 0, 10, True), (11, 0, 11, True), (12, 0, 12, True), (13, 1, 13, True), (14, 1, 13, False)], key=str)
+    assert embeddings.near(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 
