@@ -254,8 +254,12 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         at = following
 
 
-def page(data: bytes, order: str, fields: dict[int, tuple], most: int) -> np.ndarray:
-    """One page as (height, width, samples)."""
+#: The most bytes that one stored byte can stand for: two of PackBits repeat a byte 128 times, a deflate code of two bits stands for 258 bytes, a code of LZW (9 bits at least) for a string of at most 4096.
+EXPANSION = {NONE: 1, PACKBITS: 64, DEFLATE: 1032, OLD_DEFLATE: 1032, LZW: 3641}
+
+
+def page(data: bytes, order: str, fields: dict[int, tuple], most: int | None) -> np.ndarray:
+    """One page as (height, width, samples). Nothing is allocated that the stored bytes can't fill; most: bytes that a page and a tile may have, any number if None."""
     one = lambda tag, default=None: (fields.get(tag) or (default,))[0]
     width, height, samples, bits = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), set(fields.get(BITS, (1,)))
     if not width or not height or not samples:
@@ -263,9 +267,11 @@ def page(data: bytes, order: str, fields: dict[int, tuple], most: int) -> np.nda
     if bits not in ({8}, {16}) or one(PLANAR, 1) != 1:
         raise Broken("only interleaved samples of 8 or 16 bits")
     kind = np.dtype(np.uint8 if bits == {8} else np.uint16)
-    if width * height * samples * kind.itemsize > most:
+    if most is not None and width * height * samples * kind.itemsize > most:
         raise Broken("page too large")
     predictor, compression = one(PREDICTOR, 1), one(COMPRESSION, 1)
+    if compression not in EXPANSION:
+        raise Broken(f"compression {compression}")
     if predictor not in (1, 2):
         raise Broken(f"predictor {predictor}")
     tiled = TILE_OFFSETS in fields
@@ -276,6 +282,12 @@ def page(data: bytes, order: str, fields: dict[int, tuple], most: int) -> np.nda
     across, down = -(-width // w), -(-height // h)
     if min(len(offsets), len(counts)) < across * down:
         raise Broken("too few strips or tiles")
+    for k in range(across * down):
+        need = (h if tiled else min(h, height - k * h)) * w * samples * kind.itemsize
+        if most is not None and need > max(most, 1 << 16):
+            raise Broken("tile too large")
+        if need > EXPANSION[compression] * max(0, min(counts[k], len(data) - offsets[k])) + 258:
+            raise Broken("too few bytes in a strip or tile")
     out = np.empty((height, width, samples), kind)
     for k in range(across * down):
         y, x = k // across * h, k % across * w
@@ -288,15 +300,15 @@ def page(data: bytes, order: str, fields: dict[int, tuple], most: int) -> np.nda
     return out
 
 
-def read(data: bytes, most: int = 1 << 30) -> list[np.ndarray]:
+def read(data: bytes, most: int | None = None) -> list[np.ndarray]:
     """All pages of a file; raises Broken."""
     return [page(data, order, fields, most) for order, fields in directories(data)]
 
 
-def pages(files: DataFrame, id_col: str, content_col: str, most: int = 1 << 28) -> DataFrame:
+def pages(files: DataFrame, id_col: str, content_col: str, most: int | None = None) -> DataFrame:
     """One row per page: id, page, width, height, samples, bits, compression, predictor, pixels (row by row, little-endian) and error.
 
-    A page that can't be decoded, or is larger than `most` bytes, has null pixels and its reason in error; a file without a readable header, null and empty content give one row with page null. Repeated rows stay. Other columns are not read.
+    A page that can't be decoded has null pixels and its reason in error, as has, only if `most` is given, one of more than that many bytes; a page takes memory in proportion to its stored bytes, see EXPANSION; a file without a readable header, null and empty content give one row with page null. Repeated rows stay. Other columns are not read.
     """
     columns = {"id": pa.int64(), "page": pa.int32(), "width": pa.int64(), "height": pa.int64(), "samples": pa.int32(), "bits": pa.int32(), "compression": pa.int32(), "predictor": pa.int32(), "pixels": pa.binary(), "error": pa.string()}
     schema = pa.schema(list(columns.items()))
