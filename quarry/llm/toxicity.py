@@ -97,13 +97,16 @@ class Chain:
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Chain:
-    """Fits on at most about train_rows labelled rows, picked by a hash of their id; categories: SQL conditions on the columns of labels, by name, in the chain's order. Rows with a null condition or text are left out; of repeated label rows a category's largest counts."""
+    """Fits on at most about train_rows labelled rows, picked by a hash of their id; categories: SQL conditions on the columns of labels, by name, in the chain's order. Rows with a null condition or text are left out; of repeated label rows a category's largest counts, of repeated documents the text that sorts first."""
     marks = labels.select(F.col(id_col).cast("long").alias("id"), *(F.expr(condition).cast("int").alias(f"y{k}") for k, condition in enumerate(categories.values()))).dropna().groupBy("id").agg(*(F.max(f"y{k}").alias(f"y{k}") for k in range(len(categories))))
     n = labels.select(F.count("*")).first()[0]
     share = min(1.0, train_rows / max(n, 1))
     picked = marks.where((F.xxhash64("id") / F.lit(2.0**64) + 0.5) < share)
     joined = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").where((F.xxhash64("id") / F.lit(2.0**64) + 0.5) < share).join(F.broadcast(picked), "id")  # the sample's bound holds for both sides
 
+    # of rows that repeat an id one is learned from, so that the bound holds whatever repeats
+    joined = joined.groupBy("id", *(f"y{k}" for k in range(len(categories)))).agg(F.min("text").alias("text"))
+
     def sample(key, text, *marks):
         return key, features(text).astype("<u4").tobytes(), list(marks)
 

@@ -249,6 +249,39 @@ def test_tiff(docs, spark, empty):
     assert tiff.document_media(empty).count() == 0
 
 
+def test_tiff_sizes_that_lie(spark):
+    noise = np.random.default_rng(2).integers(0, 256, (40, 48, 1)).astype(np.uint8)
+    for compression in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS):
+        for tag, tile in ((tiff.WIDTH, None), (tiff.TILE_WIDTH, 16), (tiff.HEIGHT, 16)):
+            file = bytearray(tiff.write([noise], compression, 1, tile))
+            at = file.index(tiff.struct.pack("<HHI", tag, 4, 1)) + 8
+            file[at : at + 4] = (1 << 30).to_bytes(4, "little")
+            (row,) = tiff.pages(spark.createDataFrame([(1, bytes(file))], "id long, content binary"), "id", "content").collect()
+            assert row["error"] and row["pixels"] is None
+    flat = np.zeros((3000, 3000, 1), np.uint8)  # packs as well as anything can
+    for compression in (tiff.LZW, tiff.DEFLATE, tiff.PACKBITS):
+        file = tiff.write([flat], compression, 1, None, rows=3000)
+        assert (tiff.read(file)[0] == flat).all()
+        with pytest.raises(tiff.Broken, match="large"):
+            tiff.read(file, 1 << 20)
+
+
+def test_tiff_of_long_texts(spark):
+    long = "".join(random.Random(3).choice("abc é\n") for _ in range(2_600_000))
+    rows = [(1, long, 1, 2), (None, long, 1, 2), (2, "a" * tiff.PAGE_BYTES, 1, 2), (2, None, 1, 2), (2, "\0" * 64, 1, 2), (3, "", 1, 2)]
+    got = tiff.document_media(spark.createDataFrame(rows, "doc_id long, text string, page int, feature int").repartition(2)).collect()
+    assert len(got) == len(rows)
+    for key, text, _, _ in rows:
+        raw = (text or "").encode()
+        padded = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
+        media, n = tiff.store(text)
+        samples = np.frombuffer(padded, np.uint8).astype(int)
+        steps = np.abs(np.diff(samples.reshape(-1, 64), axis=1)).sum()
+        feature = f"pages={-(-len(padded) // tiff.PAGE_BYTES)};rows={len(padded) // 64};mean={1000 * int(samples.sum()) // len(padded)};distinct={len(set(padded))};step={1000 * int(steps) // (len(padded) // 64 * 63)}"
+        want = (key, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+        assert want in [tuple(r) for r in got]
+
+
 def test_toxicity(spark, docs, empty):
     data, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
     chain = toxicity.fit(data.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 0"), toxicity.CATEGORIES)
@@ -263,6 +296,47 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, labels, toxicity.CATEGORIES).count() == 0
 
 
+def test_toxicity_against_plain_sums(spark):
+    """Probabilities of whole texts, word by word, from the fitted weights; and that the chain sees in training what models say that have not seen a row."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 7)))
+    usual = [word() for _ in range(60)]
+    rows = []
+    for k in range(400):
+        bad, low = k % 5 == 0, k % 3 == 0
+        rows.append((k, " ".join([rng.choice(usual) for _ in range(30)] + ["Vile", "scum"] * bad + ["click", "here!"] * low), int(not low), int(bad)))
+    texts = spark.createDataFrame([(k, t, 0.5) for k, t, _, _ in rows] + [(7, rows[7][1], 0.5), (None, "vile scum", 0.5), (900, "", 0.5), (901, None, 0.5), (902, "x " * 300_000 + "vile", 0.5)], "doc_id long, text string, p_toxic double").repartition(3)
+    labels = spark.createDataFrame([(k, q, t) for k, _, q, t in rows] + [(5, 1, 1), (5, 1, 1), (None, 1, 0), (6, None, 0)], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit(texts, labels, toxicity.CATEGORIES)
+
+    def plain(text):
+        found = []
+        raw = (text or "").encode()
+        buckets = set()
+        for w in re.findall(rb"[A-Za-z\x80-\xff]+", raw):
+            for k, n in enumerate((0, 4, 5)):
+                buckets.add(int((toxicity.word_hashes(w, toxicity.LETTERS, n)[0] ^ np.uint64(k)) >> np.uint64(64 - toxicity.BITS)))
+        for model in chain.models:
+            z = model.b + sum(w for i, w in zip(model.ids.tolist(), model.weights.tolist()) if i in buckets) + sum(a * b for a, b in zip(model.v, found))
+            found.append(1 / (1 + np.exp(-np.clip(z, -30, 30))) if text else 0.0)
+        return found
+
+    got = toxicity.score(texts, labels, toxicity.CATEGORIES, keep=("text",)).collect()
+    assert len(got) == 405
+    for r in got:
+        assert np.allclose([r["p_low_quality"], r["p_toxic"]], plain(r["text"]), atol=1e-9)
+    assert {r["doc_id"] for r in got if r["p_toxic"] > toxicity.LIMIT} >= {k for k in range(0, 400, 5)} | {None}
+    sets = [toxicity.features(t) for _, t, _, _ in rows]
+    marks = np.array([[1 - q, t] for _, _, q, t in rows])
+    whole, fold = toxicity.Chain(sets, marks), np.arange(400) % toxicity.FOLDS
+    extra = np.zeros((400, 1))
+    for f in range(toxicity.FOLDS):
+        part = toxicity.Linear([s for s, g in zip(sets, fold) if g != f], marks[fold != f, 0].astype(float), np.zeros((int((fold != f).sum()), 0)))
+        for i in np.flatnonzero(fold == f):
+            extra[i, 0] = part.predict(sets[i], np.zeros(0))
+    assert np.allclose(toxicity.Linear(sets, marks[:, 1].astype(float), extra).v, whole.models[1].v)
+
+
 def test_language(spark, docs, empty):
     data = spark.read.parquet(f"{SF}/documents.parquet".replace("0.001", "0.01"))
     got = language.identify(data).join(data.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -502,8 +576,10 @@ def test_bpe(docs, empty):
         ids = own.encode(text)
         assert ids.tolist() == want
         assert own.decode(ids).decode() == theirs.decode(want, skip_special_tokens=False)
-    got = {r["doc_id"]: r["n_tokens"] for r in bpe.encode_documents(docs, tokenizer()).collect()}
-    assert got == {r[0]: len(theirs.encode(r[1] or "", add_special_tokens=False).ids) for r in sample()}
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.encode_documents(docs, tokenizer()).collect()}
+    for r in sample():
+        ids = theirs.encode(r[1] or "", add_special_tokens=False).ids
+        assert got[r[0]] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(theirs.decode(ids, skip_special_tokens=False).encode()).hexdigest())
     assert bpe.encode_documents(empty, tokenizer()).count() == 0
 
 
