@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions import rules, scalars as S
 from quarry.operators import packages
-from quarry.sources import archives
+from quarry.sources import archives, jpeg
 
 # Chunks that a picture can lose without changing how it looks; elements of an office package's metadata parts that are emptied.
 PNG_METADATA = ("tEXt", "zTXt", "iTXt", "eXIf", "tIME")
@@ -61,10 +61,8 @@ def office_engine(data: bytes, found: list[dict], macro: bool, allow_macros: boo
     def transform(name, raw):
         if name in CLEARED:
             return emptied(raw, CLEARED[name])
-        if not name.lower().endswith(".png"):
-            return None
         try:  # any doubt keeps the picture
-            made, checks = png_engine(raw, strip)
+            made, checks = (png_engine if name.lower().endswith(".png") else jpeg_engine)(raw, strip)
         except (archives.Corrupt, zlib.error, struct.error, IndexError, ValueError):
             return None
         return made if made is not None and all(ok for _, ok in checks) else None
@@ -111,8 +109,16 @@ def png_engine(data: bytes, strip: bool = False) -> tuple[bytes | None, list[tup
     return made, [("same pixels", pixels(made) == pixels(data))]
 
 
+def jpeg_engine(data: bytes, strip: bool = False) -> tuple[bytes | None, list[tuple[str, bool]]]:
+    try:
+        made = jpeg.smaller(data, strip)
+    except jpeg.Unfit as error:
+        raise archives.Corrupt(str(error)) from error
+    return made, [] if made is None else [("same coefficients", jpeg.same_coefficients(data, made))]
+
+
 #: A new format is one function here.
-ENGINES: dict[str, Callable[[bytes], tuple[bytes | None, list[tuple[str, bool]]]]] = {"zip": zip_engine, "png": png_engine}
+ENGINES: dict[str, Callable[[bytes], tuple[bytes | None, list[tuple[str, bool]]]]] = {"zip": zip_engine, "png": png_engine, "jpeg": jpeg_engine}
 SCHEMA = "file_id string, candidate binary, checks array<struct<label:string,ok:boolean>>, failure string"
 
 
@@ -131,7 +137,7 @@ def compress(files: DataFrame, id_col: str = "file_id", content_col: str = "cont
                 try:
                     made, checks = ENGINES[format_](data)
                 except archives.Corrupt as error:
-                    failure = str(error) if str(error) in ("unsafe-paths", "validation", "unreadable", "macro") else "corrupt"
+                    failure = str(error) if str(error) in ("unsafe-paths", "validation", "unreadable", "macro", "unsupported", "too-large") else "corrupt"
                 except (zlib.error, struct.error, IndexError, ValueError):
                     failure = "corrupt"
                 yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([data], pa.binary()), pa.array([made], pa.binary()), pa.array([[{"label": a, "ok": b} for a, b in checks]], pa.list_(pa.struct([("label", pa.string()), ("ok", pa.bool_())]))), pa.array([failure], pa.string())], ["file_id", "content", "candidate", "checks", "failure"])

@@ -5,13 +5,14 @@ from __future__ import annotations
 import struct
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.operators import engines
 from quarry.plans.registry import query
 from quarry.session import table
-from quarry.sources import archives
+from quarry.sources import archives, documents, jpeg
 
 
 def entry(name: str, raw: bytes, method: int = 0, time: int = 0) -> tuple[dict, bytes]:
@@ -116,3 +117,48 @@ def packages(spark, d) -> DataFrame:
 @query("SELECT s_suppkey::VARCHAR AS file_id, CASE WHEN s_suppkey % 7 = 0 THEN 'unsafe-paths' WHEN s_suppkey % 4 = 0 THEN 'macro' END AS reason, s_suppkey % 7 > 0 AND s_suppkey % 4 > 0 AS optimized FROM supplier")
 def office_rewrite(spark, d):
     return engines.compress(packages(spark, d)).select("file_id", "reason", "optimized")
+
+
+def coefficient_pictures(spark, d) -> DataFrame:
+    """vec_id, way and content: an 8 by 8 gray JPEG whose coefficients are an embedding's numbers, sequential and progressive."""
+
+    def build(batches):
+        for batch in batches:
+            rows = []
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                made = jpeg.frame(0xC0, struct.pack(">BHHB", 8, 8, 8, 1) + bytes([1, 0x11, 0]))
+                made.components[0].blocks[0, 0, : len(x)] = np.floor(np.array(x) * 60 + 0.5).astype(int)[:64]
+                made.quantisers = {0: bytes([0, *[1] * 64])}
+                rows += [(key, way, jpeg.encode(made, way)) for way in (False, True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.binary()))], ["vec_id", "progressive", "content"])
+
+    return table(spark, d, "embeddings").select("vec_id", "embedding").mapInArrow(build, "vec_id long, progressive boolean, content binary")
+
+
+@query("SELECT vec_id, p AS progressive, (i - 1)::INT AS place, floor(embedding[i]::DOUBLE * 60 + 0.5)::INT AS value FROM embeddings, generate_series(1, 64) AS g(i), (VALUES (false), (true)) AS w(p) WHERE floor(embedding[i]::DOUBLE * 60 + 0.5) <> 0")
+def jpeg_coefficients(spark, d):
+    files = coefficient_pictures(spark, d)
+
+    def run(batches):
+        for batch in batches:
+            found = [jpeg.coefficients(data)[0][0, 0].tolist() for data in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["vec_id", "progressive", "all"])
+
+    rows = files.mapInArrow(run, "vec_id long, progressive boolean, all array<int>")
+    return rows.select("vec_id", "progressive", F.posexplode("all").alias("place", "value")).where("value <> 0")
+
+
+@query("SELECT vec_id, p AS progressive, 1 AS pages, round(8 * 0.75, 2) AS width, round(8 * 0.75, 2) AS height, true AS same FROM embeddings, (VALUES (false), (true)) AS w(p)")
+def picture_document(spark, d):
+    files = coefficient_pictures(spark, d)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for data in batch.column(2).to_pylist():
+                made = documents.jpeg_page(data)
+                count, (width, height), streams = documents.facts(made)
+                rows.append((count, width, height, streams[0] == data))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.float64(), pa.float64(), pa.bool_())))], ["vec_id", "progressive", "pages", "width", "height", "same"])
+
+    return files.mapInArrow(run, "vec_id long, progressive boolean, pages int, width double, height double, same boolean")

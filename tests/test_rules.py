@@ -4,6 +4,7 @@ import unicodedata
 import zipfile
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,100 @@ def test_png_info(spark):
     rows = [(1, files.png(3, 2, bytes(6))), (2, animated), (3, animated[:20]), (4, None), (5, zlib.compress(b"x"))]
     got = {r["k"]: (r["width"], r["height"], r["animated"]) for r in archives.png_info(spark.createDataFrame(rows, "k int, c binary"), "k", "c").collect()}
     assert got == {1: (3, 2, False), 2: (1600, 1200, True), 3: (None, None, None), 4: (None, None, None), 5: (None, None, None)}
+
+
+def photo(rng, width, height, sampling, header=()):
+    """A picture of invented coefficients, most of the later ones zero."""
+    from quarry.sources import jpeg
+
+    parts = [jpeg.Component(k + 1, a, d, min(k, 1)) for k, (a, d) in enumerate(sampling)]
+    body = struct.pack(">BHHB", 8, height, width, len(parts)) + b"".join(bytes([c.name, c.across << 4 | c.down, c.quantiser]) for c in parts)
+    made = jpeg.frame(0xC0, body)
+    for c in made.components:
+        shape = c.blocks.shape
+        scale = 60 / (1 + np.arange(64)) ** 1.1
+        c.blocks[:] = np.round(rng.laplace(size=shape) * scale).astype(int) * (rng.random(shape) < 0.35)
+        c.blocks[:, :, 0] = np.clip(np.cumsum(rng.integers(-9, 10, shape[:2]), axis=1), -900, 900)
+        c.blocks[:, :, 40] += (rng.random(shape[:2]) < 0.02) * rng.integers(-3, 4, shape[:2])
+    made.header, made.quantisers = list(header), {0: bytes([0, *range(1, 65)]), 1: bytes([1, *range(2, 66)])}
+    return made
+
+
+@pytest.mark.parametrize("sampling", [[(1, 1)], [(2, 2), (1, 1), (1, 1)], [(1, 1)] * 4, [(4, 2), (1, 1), (2, 1)]])
+@pytest.mark.parametrize("size", [(8, 8), (67, 45)])
+def test_jpeg_round_trips(sampling, size):
+    from quarry.sources import jpeg
+
+    made = photo(np.random.default_rng(9), *size, sampling)
+    if len(sampling) == 1 or sum(a * d for a, d in sampling) > 10:  # single scans say nothing of padding beyond what is visible
+        for c in made.components:
+            c.blocks[c.visible[0] :], c.blocks[:, c.visible[1] :] = 0, 0
+    baseline, progressive = jpeg.encode(made, False), jpeg.encode(made, True)
+    want = [c.blocks[: c.visible[0], : c.visible[1]] for c in made.components]
+    for data in (baseline, progressive):
+        got = jpeg.coefficients(data)
+        assert len(got) == len(want) and all((a == b).all() for a, b in zip(got, want, strict=True))
+    assert jpeg.same_coefficients(baseline, progressive) and jpeg.same_coefficients(jpeg.encode(jpeg.decode(progressive), False), baseline)
+    other = photo(np.random.default_rng(10), *size, sampling)
+    assert not jpeg.same_coefficients(baseline, jpeg.encode(other, False))
+
+
+def restarted(made, every):
+    """A sequential file with fixed codes and restart markers, written without the library's coder."""
+    from quarry.sources import jpeg
+
+    codes = {s: (k, 12) for k, s in enumerate(sorted({z << 4 | n for z in range(16) for n in range(1, 11)} | {0, 0xF0}))}
+    tables = b"".join(jpeg.segment(jpeg.DHT, bytes([t, *[0] * 11, len(codes), 0, 0, 0, 0]) + bytes(codes)) for t in (0, 16))
+    stretches, bits, last = [], "", 0
+    number = lambda v: "" if not v else format(v if v > 0 else v + (1 << abs(v).bit_length()) - 1, f"0{abs(v).bit_length()}b")
+    code = lambda s: format(codes[s][0], "012b")
+    for count, unit in enumerate(jpeg.places(made, [0])):
+        if count and count % every == 0:
+            stretches.append(bits)
+            bits, last = "", 0
+        v = made.components[0].blocks[unit[0][1], unit[0][2]].tolist()
+        bits += code(abs(v[0] - last).bit_length()) + number(v[0] - last)
+        last, zeros = v[0], 0
+        for k in range(1, 64):
+            if not v[k]:
+                zeros += 1
+                continue
+            bits += code(0xF0) * (zeros // 16) + code(zeros % 16 << 4 | abs(v[k]).bit_length()) + number(v[k])
+            zeros = 0
+        bits += code(0) if zeros else ""
+    out = b""
+    for k, part in enumerate([*stretches, bits]):
+        part += "1" * (-len(part) % 8)
+        out += (bytes([0xFF, 0xD0 + (k - 1) % 8]) if k else b"") + int(part, 2).to_bytes(len(part) // 8, "big").replace(b"\xff", b"\xff\0")
+    body = struct.pack(">BHHB", 8, made.height, made.width, 1) + bytes([1, 0x11, 0])
+    return b"\xff\xd8" + jpeg.segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0") + jpeg.segment(0xFE, b"a comment") + jpeg.segment(jpeg.DQT, made.quantisers[0]) + jpeg.segment(0xC0, body) + tables + jpeg.segment(jpeg.DRI, struct.pack(">H", every)) + jpeg.segment(jpeg.SOS, bytes([1, 1, 0, 0, 63, 0])) + out + b"\xff\xd9"
+
+
+def test_jpeg_restarts_and_engine(spark):
+    from quarry.sources import jpeg
+
+    made = photo(np.random.default_rng(4), 90, 70, [(1, 1)])
+    data = restarted(made, 7)
+    assert (jpeg.coefficients(data)[0] == made.components[0].blocks).all()
+    better = jpeg.smaller(data)
+    assert len(better) < len(data) and jpeg.same_coefficients(data, better) and b"a comment" in better
+    turned = b"\xff\xd8" + jpeg.segment(0xE1, jpeg.exif(6)) + jpeg.segment(0xE1, b"http://xmp") + data[2:]
+    bare = jpeg.smaller(turned, strip=True)
+    assert b"a comment" not in bare and b"xmp" not in bare and b"JFIF" in bare and pictures.segments(bare)["orientation"] == 6
+    rows = [("good", data), ("cut", data[: len(data) // 2]), ("bad", data[:700] + bytes(300) + data[1000:]), ("best", better), ("lossless", data.replace(b"\xff\xc0", b"\xff\xc3", 1)), ("head", b"\xff\xd8\xff\xe0")]
+    got = {r["file_id"]: r["reason"] for r in engines.compress(spark.createDataFrame(rows, "file_id string, content binary")).collect()}
+    assert got["good"] is None and got["cut"] == "corrupt" and got["best"] == "already-optimal" and got["lossless"] == "unsupported" and got["head"] == "corrupt"
+
+
+def test_jpeg_faults_are_told():
+    from quarry.sources import jpeg
+
+    data = jpeg.encode(photo(np.random.default_rng(5), 40, 40, [(2, 1), (1, 1), (1, 1)]), True)
+    rng = np.random.default_rng(6)
+    for _ in range(150):
+        broken = bytearray(data)
+        for at in rng.integers(2, len(data), 3):
+            broken[at] = int(rng.integers(0, 256))
+        jpeg.coefficients(bytes(broken))  # None or blocks, never another error
+    for cut in range(2, len(data) - 2, 37):
+        assert jpeg.coefficients(data[:cut]) is None
