@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import shuffle_partitions
+from quarry.llm.common import cut, shuffle_partitions
 from quarry.llm.words import BYTE, _mixed
 
 SPAN, GRAM = 100, 32
@@ -391,12 +391,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Each byte goes that a SPAN-byte string covers which also starts earlier: in a document with a smaller id, or in the same document further ahead. Strings are judged on the input. Null and empty texts, and texts shorter than SPAN, lose nothing. Rows with a null id come before all others; those with different texts are documents of their own, in the order of a hash. Rows with an equal id and text are one document and give equal rows; of rows with an equal id and other texts one, by a hash, counts as the earlier document. Ids below -2^62 are refused. An empty table gives none. Other columns are not read.
 
-    Exchanges: the grams' hashes, once for their counts and once with places; places of repeated grams by document; the texts, by document, once (both joins share that exchange); front-coded runs; merged ranges. The join of grams may have a gram with a third of all rows; adaptive execution splits it.
+    Exchanges: the grams' hashes, once for their counts and once with places; the repeated grams, from the checkpoint folder; places of repeated grams by document; the texts, by document, once (both joins share that exchange); front-coded runs; merged ranges. The join of grams may have a gram with a third of all rows; adaptive execution splits it.
     """
     rows = rows_of(docs, id_col, text_col)
     every = places(rows)
     sent = rows.mapInArrow(deflated, "doc long not null, mark int, packed binary")
-    often = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    often = cut(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))  # written, so that both sides of the join are exchanges of their own, which adaptive execution can split
     shared = every.join(often, "gram").select("doc", "gram", (F.col("place") + (F.col("n") > FREQUENT).cast("long")).alias("place")).repartition(shuffle_partitions(docs), "doc")
     by_doc = shared.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("place", "gram")).alias("places"))
     with_text = sent.join(by_doc.hint("shuffle_hash"), sent["doc"] == by_doc["_doc"]).select("doc", "mark", "packed", "places").sortWithinPartitions("doc", "mark")
