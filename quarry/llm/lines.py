@@ -10,6 +10,8 @@ from quarry.llm.common import cut
 SITES, SHORTEST = 6, 10
 #: log2 of a sketch's registers, and how far an estimate may lie from the threshold before it is trusted without an exact count: several standard errors of the sketch.
 LG_K, NEAR = 11, 0.25
+#: Up to so many lines that may be boilerplate are told to all tasks; with more, rows of lines are exchanged.
+TOLD = 50_000
 HASHES = ["h1", "h2"]
 
 
@@ -29,11 +31,12 @@ def lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, shortest:
 def boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES, shortest: int = SHORTEST) -> DataFrame:
     """id, of, at of every boilerplate line: a line, trimmed, of `shortest` characters or more on `sites` distinct sites or more.
 
-    Null sites are one site; null texts have no lines; lines shorter than `shortest` are never boilerplate. The first aggregation keeps a small sketch for each line hash and task, so a line that a third of all rows hold costs one row a task. Only rows of lines whose estimate may reach the threshold go on; they are found by a join that adaptive execution can split, and written once to the checkpoint folder. The exact count deduplicates (line, site) before it counts.
+    Null sites are one site; null texts have no lines; lines shorter than `shortest` are never boilerplate. The first aggregation keeps a small sketch for each line hash and task, so a line that a third of all rows hold costs one row a task. Only rows of lines whose estimate may reach the threshold go on; they are found by a broadcast of a checked size, or else by a join that adaptive execution can split, and written once to the checkpoint folder. The exact count deduplicates (line, site) before it counts.
     """
     every = lines(docs, id_col, text_col, site_col, shortest)
-    sketched = every.groupBy(*HASHES).agg(F.count("*").alias("rows"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch")).where(F.col("rows") >= sites).select(*HASHES, F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= sites * (1 - NEAR))
-    rows = cut(every.join(sketched, HASHES))
+    spread = every.groupBy(*HASHES).agg(F.count("*").alias("rows"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch")).where(F.col("rows") >= sites).select(*HASHES, F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= sites * (1 - NEAR))
+    spread = cut(spread)  # written, so that both sides of the join are exchanges of their own, which adaptive execution can split
+    rows = cut(every.join(F.broadcast(spread) if spread.count() <= TOLD else spread, HASHES))
     few = rows.where(F.col("estimate") <= sites * (1 + NEAR)).select(*HASHES, "site").distinct().groupBy(*HASHES).agg(F.count("*").alias("sites")).where(F.col("sites") < sites).select(*HASHES)
     return rows.select("id", "of", "at", *HASHES).join(few, HASHES, "left_anti").select("id", "of", "at")
 

@@ -597,8 +597,9 @@ def brute_lines(rows, sites=6, shortest=10, spare=0.0):
     return out
 
 
-@pytest.mark.parametrize("spare", [0.0, 0.5])
-def test_lines(spark, empty, spare):
+@pytest.mark.parametrize(("spare", "told"), [(0.0, 50_000), (0.5, 50_000), (0.0, 0)])
+def test_lines(spark, empty, monkeypatch, spare, told):
+    monkeypatch.setattr(lines, "TOLD", told)
     rng = random.Random(9)
     fill = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30))
     page = "\n".join(fill() for _ in range(4))
