@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions import rules, scalars as S
 from quarry.operators import packages
-from quarry.sources import archives, jpeg
+from quarry.sources import archives, jpeg, pdf
 
 # Chunks that a picture can lose without changing how it looks; elements of an office package's metadata parts that are emptied.
 PNG_METADATA = ("tEXt", "zTXt", "iTXt", "eXIf", "tIME")
@@ -117,8 +117,15 @@ def jpeg_engine(data: bytes, strip: bool = False) -> tuple[bytes | None, list[tu
     return made, [] if made is None else [("same coefficients", jpeg.same_coefficients(data, made))]
 
 
+def pdf_engine(data: bytes) -> tuple[bytes | None, list[tuple[str, bool]]]:
+    try:
+        return pdf.compress(data)
+    except pdf.Unfit as error:
+        raise archives.Corrupt(str(error)) from error
+
+
 #: A new format is one function here.
-ENGINES: dict[str, Callable[[bytes], tuple[bytes | None, list[tuple[str, bool]]]]] = {"zip": zip_engine, "png": png_engine, "jpeg": jpeg_engine}
+ENGINES: dict[str, Callable[[bytes], tuple[bytes | None, list[tuple[str, bool]]]]] = {"zip": zip_engine, "png": png_engine, "jpeg": jpeg_engine, "pdf": pdf_engine}
 SCHEMA = "file_id string, candidate binary, checks array<struct<label:string,ok:boolean>>, failure string"
 
 
@@ -137,7 +144,7 @@ def compress(files: DataFrame, id_col: str = "file_id", content_col: str = "cont
                 try:
                     made, checks = ENGINES[format_](data)
                 except archives.Corrupt as error:
-                    failure = str(error) if str(error) in ("unsafe-paths", "validation", "unreadable", "macro", "unsupported", "too-large") else "corrupt"
+                    failure = str(error) if str(error) in ("unsafe-paths", "validation", "unreadable", "macro", "unsupported", "too-large", "encrypted", "signed") else "corrupt"
                 except (zlib.error, struct.error, IndexError, ValueError):
                     failure = "corrupt"
                 yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([data], pa.binary()), pa.array([made], pa.binary()), pa.array([[{"label": a, "ok": b} for a, b in checks]], pa.list_(pa.struct([("label", pa.string()), ("ok", pa.bool_())]))), pa.array([failure], pa.string())], ["file_id", "content", "candidate", "checks", "failure"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from quarry.operators import engines
 from quarry.plans.registry import query
 from quarry.session import table
-from quarry.sources import archives, documents, jpeg
+from quarry.sources import archives, documents, jpeg, pdf
 
 
 def entry(name: str, raw: bytes, method: int = 0, time: int = 0) -> tuple[dict, bytes]:
@@ -162,3 +163,78 @@ def picture_document(spark, d):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.float64(), pa.float64(), pa.bool_())))], ["vec_id", "progressive", "pages", "width", "height", "same"])
 
     return files.mapInArrow(run, "vec_id long, progressive boolean, pages int, width double, height double, same boolean")
+
+
+#: A stream that still is long when it is packed.
+SHOWN = b"%" + b"".join(hashlib.sha256(bytes([k])).hexdigest().encode() for k in range(40))
+
+
+def paged(texts: list[str]) -> bytes:
+    """A document with a page for each text, 100 by 200 plus the page's index, its size inherited by every other page; every page shows the same long stream as well."""
+    made = pdf.Document({1: pdf.Item({b"/Type": pdf.Name(b"/Catalog"), b"/Pages": pdf.Ref(2)}), 2: pdf.Item({}), 3: pdf.Item({b"/Unused": pdf.Plain(b"(x)")})}, {b"/Root": pdf.Ref(1)})
+    kids = []
+    for k, text in enumerate(texts):
+        number = 10 + 3 * k
+        made.objects[number] = pdf.Item({b"/Type": pdf.Name(b"/Page"), b"/Parent": pdf.Ref(2), b"/Contents": [pdf.Ref(number + 1), pdf.Ref(number + 2)]} | ({b"/MediaBox": [pdf.Plain(str(n).encode()) for n in (0, 0, 100, 200 + k)]} if k % 2 else {}))
+        made.objects[number + 1] = pdf.Item({}, b"%" + text.encode())
+        made.objects[number + 2] = pdf.Item({}, SHOWN)
+        kids.append(pdf.Ref(number))
+    made.objects[2].value = {b"/Type": pdf.Name(b"/Pages"), b"/Kids": kids, b"/Count": pdf.Plain(str(len(kids)).encode()), b"/MediaBox": [pdf.Plain(b"0"), pdf.Plain(b"0"), pdf.Plain(b"100"), pdf.Plain(b"200")]}
+    return made.save()
+
+
+def facts(data: bytes) -> list[tuple[int, int, bytes]]:
+    """Height, rotation and first content of each page."""
+    document = pdf.load(data)
+    out = []
+    for _, page in document.pages():
+        item = document.objects[page[b"/Contents"][0].number]
+        raw = pdf.inflated(item.stream) if document.filters(item) else item.stream
+        out.append((int(page[b"/MediaBox"][3]), int(page.get(b"/Rotate", b"0")), raw[1:]))
+    return out
+
+
+def paged_conversations(spark, d) -> DataFrame:
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("all"))
+
+
+def on_documents(frame: DataFrame, work) -> DataFrame:
+    """conv_id, page, height, rotate and sha of the pages that work(texts) leaves of each conversation's document."""
+
+    def run(batches):
+        for batch in batches:
+            for key, all_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = [(key, k, *x) for k, x in enumerate(facts(work([t["text"] for t in all_])))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["conv_id", "page", "height", "rotate", "raw"])
+
+    rows = frame.mapInArrow(run, "conv_id long, page int, height int, rotate int, raw binary")
+    return rows.select("conv_id", "page", "height", "rotate", F.sha2("raw", 256).alias("sha"))
+
+
+PAGES = "p AS (SELECT conv_id::BIGINT AS conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS k, count(*) OVER (PARTITION BY conv_id)::INT AS n, coalesce(text, '') AS text FROM conversations)"
+
+
+@query(f"WITH {PAGES} SELECT conv_id, k AS page, 200 + CASE WHEN k % 2 = 1 THEN k ELSE 0 END AS height, 0 AS rotate, sha256(text) AS sha FROM p")
+def pdf_compress(spark, d):
+    return on_documents(paged_conversations(spark, d), lambda texts: pdf.compress(paged(texts))[0] or paged(texts))
+
+
+@query(f"WITH {PAGES} SELECT conv_id, n - 1 - k AS page, 200 + CASE WHEN k % 2 = 1 THEN k ELSE 0 END AS height, (k * 90) % 360 AS rotate, sha256(text) AS sha FROM p UNION ALL SELECT conv_id, n, 200, 0, sha256(text) FROM p WHERE k = 0")
+def pdf_organise(spark, d):
+    def work(texts):
+        spec = [(k, k * 90) for k in reversed(range(len(texts)))] + [(0, 0)]
+        return pdf.picked([(pdf.load(paged(texts)), spec)]).save()
+
+    return on_documents(paged_conversations(spark, d), work)
+
+
+@query(f"WITH {PAGES} SELECT conv_id, (CASE WHEN k = 0 THEN n - 1 ELSE k - 1 END + f * n)::INT AS page, 200 + CASE WHEN k % 2 = 1 THEN k ELSE 0 END AS height, 0 AS rotate, sha256(text) AS sha FROM p, (VALUES (0), (1)) AS v(f) WHERE n > 1")
+def pdf_merge(spark, d):
+    """Split into the first page and the others, put together the other way round, and that twice."""
+
+    def work(texts):
+        first, others = pdf.split(paged(texts), [[0], list(range(1, len(texts)))])
+        return pdf.merged([others, first, others, first])
+
+    return on_documents(paged_conversations(spark, d).where(F.size("all") > 1), work)

@@ -274,3 +274,78 @@ def test_jpeg_faults_are_told():
         jpeg.coefficients(bytes(broken))  # None or blocks, never another error
     for cut in range(2, len(data) - 2, 37):
         assert jpeg.coefficients(data[:cut]) is None
+
+
+def test_pdf_compress_keeps_pages_and_drops_the_rest(spark):
+    from quarry.sources import jpeg, pdf
+
+    photo_ = restarted(photo(np.random.default_rng(4), 64, 64, [(1, 1)]), 5)
+    texts = [f"page {k} " * 50 for k in range(4)]
+    made = pdf.load(files.paged(texts))
+    made.objects[3].value = {b"/Author": pdf.Plain(b"(me \\) (nested) \\\\)"), b"/Title": pdf.Plain(b"<feff 0041>"), b"/MSIP_Label_x": pdf.Plain(b"(y)")}
+    made.objects[4] = pdf.Item({b"/Subtype": pdf.Name(b"/Image"), b"/Filter": [pdf.Name(b"/DCTDecode")]}, photo_)
+    made.objects[5] = pdf.Item({b"/Type": pdf.Name(b"/Metadata")}, b"<xmp/>" * 20)
+    made.objects[6] = pdf.Item({}, b"never used " * 100)
+    made.objects[1].value |= {b"/Metadata": pdf.Ref(5), b"/Thumb": pdf.Ref(4)}
+    made.trailer[b"/Info"] = pdf.Ref(3)
+    data = made.save()
+    better, checks = pdf.compress(data, strip=True)
+    assert len(better) < len(data) and all(ok for _, ok in checks) and files.facts(better) == files.facts(data)
+    after = pdf.load(better)
+    assert len({n for _, p in after.pages() for n in [p[b"/Contents"][1].number]}) == 1 and 6 not in after.objects and 5 not in after.objects
+    assert jpeg.same_coefficients(after.objects[4].stream, photo_) and len(after.objects[4].stream) < len(photo_)
+    assert after.objects[3].value == {b"/Title": b"<feff 0041>", b"/MSIP_Label_x": b"(y)"}
+    assert pdf.compress(better)[0] is None
+    rows = [("good", data), ("best", better), ("cut", data[:300]), ("secret", data.replace(b"trailer\n<<", b"trailer\n<</Encrypt 9 0 R")), ("signed", data.replace(b"/Unused", b"/Unused") .replace(b"/Author", b"/ByteRange[0 1]/Contents(x)/Author"))]
+    got = {r["file_id"]: r["reason"] for r in engines.compress(spark.createDataFrame(rows, "file_id string, content binary")).collect()}
+    assert got == {"good": None, "best": "already-optimal", "cut": "corrupt", "secret": "encrypted", "signed": "signed"}
+
+
+def test_pdf_forms_of_files():
+    from quarry.sources import pdf
+
+    page = b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 9 9]/Contents 5 0 R>>"
+    body = b"%PDF-1.5\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj 2 0 obj<</Type/Pages/Kids[3 0 R]/Count 1>>endobj 5 0 obj <</Length 6 0 R>>stream\r\n1 0 obj <<>>\nendstream\nendobj 6 0 obj 12 endobj\n"
+    plain = body + b"3 0 obj" + page + b"endobj trailer <</Root 1 0 R>>"
+    document = pdf.load(plain)
+    assert len(document.pages()) == 1 and document.objects[5].stream == b"1 0 obj <<>>"
+    # the last of a number counts
+    turned = plain + b"\n3 0 obj" + page.replace(b"9 9]", b"9 9]/Rotate 90") + b"endobj trailer <</Root 1 0 R/Prev 1>>"
+    assert pdf.load(turned).pages()[0][1][b"/Rotate"] == b"90"
+    # objects in a stream, the trailer in another
+    packed = zlib.compress(b"3 0 " + page)
+    modern = body + b"7 0 obj<</Type/ObjStm/N 1/First 4/Filter/FlateDecode/Length %d>>stream\n%s\nendstream endobj 8 0 obj<</Type/XRef/Root 1 0 R/Length 0>>stream\n\nendstream endobj" % (len(packed), packed)
+    assert pdf.load(pdf.load(modern).save()).pages()[0][1][b"/MediaBox"] == [b"0", b"0", b"9", b"9"]
+    for wrong in (b"", b"%PDF-1.4", body, plain.replace(b"/Kids[3 0 R]", b"/Kids[2 0 R]"), plain.replace(b"/Pages 2 0 R", b"/Pages 9 0 R")):
+        with pytest.raises(pdf.Unfit, match="corrupt"):
+            pdf.load(wrong)
+    for asked in ([], [(1, 0)], [(-1, 0)]):
+        with pytest.raises(pdf.Unfit, match="invalid"):
+            pdf.picked([(document, asked)])
+    rng = np.random.default_rng(7)
+    data = files.paged(["a", "b" * 600, "c"])
+    for _ in range(200):
+        broken = bytearray(data)
+        for at in rng.integers(0, len(data), 4):
+            broken[at] = int(rng.integers(0, 256))
+        for work in (pdf.compress, lambda x: pdf.merged([x, x]), lambda x: pdf.split(x, [[0]])):
+            try:
+                work(bytes(broken))
+            except pdf.Unfit:
+                pass
+
+
+def test_pdf_page_work():
+    from quarry.sources import documents, pdf
+
+    data = files.paged([str(k) for k in range(5)])
+    assert [f[2] for f in files.facts(pdf.merged([data, data]))] == [str(k).encode() for k in range(5)] * 2
+    assert [[f[2] for f in files.facts(part)] for part in pdf.split(data, [[4, 0], [2]])] == [[b"4", b"0"], [b"2"]]
+    turned = pdf.picked([(pdf.load(data), [(1, 90), (1, 270), (0, -90)])]).save()
+    assert [(f[0], f[1]) for f in files.facts(turned)] == [(201, 90), (201, 270), (200, 270)]
+    assert [f[1] for f in files.facts(pdf.picked([(pdf.load(turned), [(2, 180)])]).save())] == [90]
+    picture = restarted(photo(np.random.default_rng(4), 64, 48, [(1, 1)]), 5)
+    made = documents.jpeg_page(picture)
+    assert len(pdf.load(made).pages()) == 1 and documents.facts(made)[1:] == ((48.0, 36.0), [picture])
+    with pytest.raises(documents.Unfit):
+        documents.jpeg_page(picture[:40])
