@@ -563,7 +563,7 @@ def test_embeddings_of_odd_rows(spark):
     assert embeddings.near(spark.createDataFrame([], schema)).count() == 0
 
 
-def test_bpe(docs, empty):
+def test_bpe(docs, empty, monkeypatch):
     from tokenizers import Tokenizer
 
     own, theirs = bpe.codec(tokenizer()), Tokenizer.from_file(tokenizer())
@@ -571,7 +571,8 @@ def test_bpe(docs, empty):
     letters = "abcdefghijklmnopqrstuvwxyzABC 0123456789'.,!?-_éßΣς中文İ́\x1c\x85\xa0​²Ⅷ½\n\tñ😀ﬁ"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)] + ["".join(rng.choice("aeinrsthol") for _ in range(rng.randint(1, 30))) for _ in range(1500)]
     texts += ["<|endoftext|> hi<|startoftext|>x", "it's we'll I'M", "", "a" * 3000, "hello</w> \0"]
-    for text in texts:
+    monkeypatch.setattr(bpe, "WORDS_KEPT", 300)  # tables fill, and what they held comes back
+    for text in [*texts, *texts[:400]]:
         want = theirs.encode(text, add_special_tokens=False).ids
         ids = own.encode(text)
         assert ids.tolist() == want
