@@ -43,7 +43,9 @@ def sha256_digest(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-@query()
+@query("""WITH steps AS (SELECT list(step ORDER BY n) AS steps FROM (SELECT n, list_reduce(list_concat([n], range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS step FROM (SELECT unnest(range(256)) AS n))),
+raw AS (SELECT doc_id, text IS NULL AS none, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents)
+SELECT doc_id, CASE WHEN NOT none THEN xor(list_reduce(list_concat([4294967295], bytes), lambda x, b: xor(x >> 8, steps[(xor(x, b) & 255) + 1])), 4294967295) END AS crc32 FROM raw, steps""")
 def crc32_digest(spark, d):
     return table(spark, d, "documents").select("doc_id", F.crc32("text").alias("crc32"))
 
