@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 # File name extensions by family, in the order in which families are listed.
 FAMILIES = {
@@ -63,10 +59,10 @@ def category(name: Column) -> Column:
     return F.coalesce(F.try_element_at(table, extension(name)), F.lit("other"))
 
 
-@F.pandas_udf(StringType())
-def nfc(names: pd.Series) -> pd.Series:
-    """Names in composed form (NFC), which no expression of Spark's makes; names in ASCII pass as they are."""
-    return names.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+def nfc(name: Column) -> Column:
+    """A name in composed form (NFC). Spark has no function for it, but the library that it brings for its collations has; names in ASCII pass as they are. Spark takes a reflected call for one that may differ each time, so that it can't stand in a join's condition."""
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), name, F.lit(False))
+    return F.when(F.octet_length(name) == F.char_length(name), name).when(name.isNotNull(), composed)
 
 
 def utf16_head(text: Column, units: int) -> Column:
@@ -79,11 +75,17 @@ def utf16_head(text: Column, units: int) -> Column:
 
 def safe_name(name: Column) -> Column:
     """A name that any file system takes: composed (NFC); controls and direction marks go, separators become underscores, leading dots and outer white space go, 200 UTF-16 units at most, never empty."""
-    x = F.regexp_replace(nfc(name), f"[\\x00-\\x1F\\x7F{BIDI}]", "")
-    x = F.regexp_replace(x, r'[\\/:*?"<>|]', "_")
-    x = F.regexp_replace(x, "(?U)^[.\\s\\x{FEFF}]+", "")
-    x = utf16_head(F.regexp_replace(x, "(?U)[\\s\\x{FEFF}]+$", ""), 200)
-    return F.when(F.coalesce(x, F.lit("")) == "", "file").otherwise(x)
+
+    def clean(x):
+        x = F.regexp_replace(x, f"[\\x00-\\x1F\\x7F{BIDI}]", "")
+        x = F.regexp_replace(x, r'[\\/:*?"<>|]', "_")
+        x = F.regexp_replace(x, "(?U)^[.\\s\\x{FEFF}]+", "")
+        return F.regexp_replace(x, "(?U)[\\s\\x{FEFF}]+$", "")
+
+    x = F.array(nfc(name))
+    for step in (clean, lambda x: utf16_head(x, 200), lambda x: F.when(F.coalesce(x, F.lit("")) == "", "file").otherwise(x)):
+        x = F.transform(x, step)  # binds what it takes, so that no step is worked out twice
+    return F.get(x, F.lit(0))
 
 
 def unsafe_name(name: Column) -> Column:

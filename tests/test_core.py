@@ -116,3 +116,15 @@ def test_query_matches_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     rows = lambda x: sorted(map(str, x[sorted(x.columns)].astype(object).where(x[sorted(x.columns)].notna(), None).itertuples(index=False, name=None)))
     assert rows(got) == rows(want)
+
+
+def test_composed_names(spark):
+    import unicodedata
+
+    pool = [*map(chr, [*range(0x41, 0x5B), *range(0xC0, 0x180), *range(0x300, 0x330), *range(0x1100, 0x1113), *range(0x1161, 0x1176), 0x958, 0x2126, 0x212B, 0x1F600])]
+    names = [None, "", "plain.txt", "e\u0301", *("".join(pool[(k * 7919 + j * (k + 31)) % len(pool)] for j in range(k % 7 + 1)) for k in range(300))]
+    rows = spark.createDataFrame(list(enumerate(names)), "i int, n string").repartition(2)
+    found = {r["i"]: r for r in rows.select("i", S.nfc(F.col("n")).alias("c"), S.safe_name(F.col("n")).alias("safe")).collect()}
+    for i, n in enumerate(names):
+        assert found[i]["c"] == (None if n is None else unicodedata.normalize("NFC", n))
+    assert [found[i]["safe"] for i in range(4)] == ["file", "file", "plain.txt", "\u00e9"]
