@@ -1,4 +1,4 @@
-"""Pictures: resampling as a join of taps, the segments of a JPEG file, and optimal prefix codes. After the public ITU T.81 and Exif specifications."""
+"""Pictures: resampling by the pixels that each reaches, the segments of a JPEG file, and optimal prefix codes. After the public ITU T.81 and Exif specifications."""
 
 from __future__ import annotations
 
@@ -7,32 +7,33 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 # Markers without a body, and of frames that are read.
 BARE, FRAMES = {0x01, *range(0xD0, 0xD9)}, {0xC0, 0xC1, 0xC2}
 MOST_PIXELS, LONGEST_CODE, RESERVED = 120_000_000, 16, 256
+#: More than rounding can move a place, in pixels.
+SLACK = 1e-6
 SEGMENTS = "array<struct<marker:int,at:int,size:int>>"
 
 
 def upsample(image: DataFrame, key: str, width: int, height: int, value: str = "v") -> DataFrame:
     """key, y, x, value of every picture resampled to width by height, bilinear with pixel centres and clamped edges.
 
-    Each new pixel is a weighted sum of four; the taps meet the pixels in one equi-join by picture and place, and are summed by an aggregation with partial results. Null pixels count as absent weight 0; pictures may differ in size.
+    Each new pixel is a weighted sum of up to four. Pixels are shuffled once, by picture, to learn its size from a window; each then lists the new pixels that it reaches, and these are summed where they are. No table of taps is joined: its size can't be estimated, so that it might be broadcast. All of this spills; one picture is one task's. Null pixels add nothing, and a new pixel that only null ones reach is null; pictures may differ in size, and a null key is a picture of its own.
     """
-    sizes = image.groupBy(key).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-
-    def taps(name: str, size: str, count: int):
-        at = lambda k: F.least(F.greatest((k + 0.5) * F.col(size) / count - 0.5, F.lit(0.0)), (F.col(size) - 1).cast("double"))
-        low = lambda k: F.floor(at(k)).cast("int")
-        part = lambda k: at(k) - F.floor(at(k))
-        both = lambda k: F.array(F.struct(k.alias("to"), low(k).alias("from"), (1 - part(k)).alias("share")), F.struct(k.alias("to"), F.least(low(k) + 1, F.col(size) - 1).cast("int").alias("from"), part(k).alias("share")))
-        return F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), both))).alias(name)
-
-    grid = sizes.select(key, "h", taps("tx", "w", width)).select(key, "tx", taps("ty", "h", height))
-    grid = grid.select(F.col(key).alias("_key"), "tx", "ty")
-    joined = image.join(grid, (F.col(key) == F.col("_key")) & (F.col("y") == F.col("ty.from")) & (F.col("x") == F.col("tx.from")))
-    return joined.groupBy(key, F.col("ty.to").alias("y"), F.col("tx.to").alias("x")).agg(F.sum(F.coalesce(F.col(value).cast("double"), F.lit(0.0)) * F.col("tx.share") * F.col("ty.share")).alias(value))
+    whole = Window.partitionBy(key)
+    rows = image.select(key, "y", "x", F.col(value).cast("double").alias("_v"), (F.max("x").over(whole) + 1).alias("_w"), (F.max("y").over(whole) + 1).alias("_h"))
+    for name, size, count in (("x", "_w", width), ("y", "_h", height)):
+        at, to = F.col(name), f"_{name}"
+        reach = lambda shift, size=size, count=count, at=at: (at + shift) * F.lit(float(count)) / F.col(size) - 0.5
+        first = F.when(at <= 1, 0).otherwise(F.least(F.lit(count - 1), F.greatest(F.lit(0), F.ceil(reach(-0.5) - SLACK)))).cast("int")
+        last = F.when(at >= F.col(size) - 1, count - 1).otherwise(F.least(F.lit(count - 1), F.greatest(first, F.floor(reach(1.5) + SLACK)))).cast("int")
+        rows = rows.select("*", F.explode(F.sequence(first, last)).alias(to))  # a few too many
+        place = F.least(F.greatest((F.col(to) + 0.5) * F.col(size) / count - 0.5, F.lit(0.0)), (F.col(size) - 1).cast("double"))
+        step, part = at - F.floor(place), place - F.floor(place)
+        rows = rows.where(step.isin(0, 1)).withColumn(f"_s{name}", F.when(step == 0, 1 - part).otherwise(part))
+    return rows.groupBy(key, F.col("_y").alias("y"), F.col("_x").alias("x")).agg(F.sum(F.col("_v") * F.col("_sx") * F.col("_sy")).alias(value))
 
 
 def orientation(data: bytes, at: int, size: int) -> int:

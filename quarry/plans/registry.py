@@ -360,7 +360,8 @@ def taps_sql(name: str, size: int, count: int) -> str:
 
 @query(f"WITH {PIXELS}, {taps_sql('tx', 8, 11)}, {taps_sql('ty', 8, 13)} SELECT vec_id, CAST(ty.k AS INT) AS y, CAST(tx.k AS INT) AS x, round(sum(v * tx.share * ty.share), 5) + 0 AS v FROM p JOIN tx ON tx.src = p.x JOIN ty ON ty.src = p.y GROUP BY ALL")
 def upsample(spark, d):
-    found = Pic.upsample(R.pixels(table(spark, d, "embeddings"), "vec_id", "embedding", 8), "vec_id", 11, 13)
+    square = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.get("embedding", k))  # 8 by 8 whatever the vector, as in SQL
+    found = Pic.upsample(R.pixels(table(spark, d, "embeddings").select("vec_id", square.alias("embedding")), "vec_id", "embedding", 8), "vec_id", 11, 13)
     return found.withColumn("v", F.round("v", 5) + 0.0)
 
 

@@ -65,6 +65,51 @@ def test_upsample_vector(spark):
     assert line == pytest.approx([0, 0.25, 0.75, 1]) and len(found) == 4
 
 
+def resampled(pixels, w, h, width, height):
+    """The plain way: {(y, x): v}; pixels that are null or absent add nothing."""
+    out = {}
+    for y in range(height):
+        for x in range(width):
+            fy, fx = (min(max((k + 0.5) * size / count - 0.5, 0.0), size - 1) for k, size, count in ((y, h, height), (x, w, width)))
+            taps = [(int(fy) + j, int(fx) + i, (fx - int(fx) if i else 1 - fx + int(fx)) * (fy - int(fy) if j else 1 - fy + int(fy))) for j in (0, 1) for i in (0, 1)]
+            found = [(pixels[j, i], share) for j, i, share in taps if (j, i) in pixels]
+            if found:
+                known = [v * share for v, share in found if v is not None]
+                out[y, x] = sum(known) if known else None
+    return out
+
+
+@pytest.mark.parametrize(("width", "height"), [(1, 1), (4, 3), (7, 21), (30, 2)])
+def test_upsample_of_any_size(spark, width, height):
+    sizes = {"one": (1, 1), "wide": (9, 1), "odd": (7, 5), "large": (23, 17), None: (2, 3)}
+    pictures_ = {k: {(y, x): None if (x * 5 + y) % 7 == 3 or k == "odd" and y < 3 else (x * 31 + y * 17) % 11 - 5.0 for y in range(h) for x in range(w) if (k, y, x) != ("wide", 0, 4)} for k, (w, h) in sizes.items()}
+    rows = [(k, y, x, v) for k, image in pictures_.items() for (y, x), v in image.items()]
+    got = pictures.upsample(spark.createDataFrame(rows, "k string, y int, x int, v double"), "k", width, height).collect()
+    want = {(k, y, x): v for k, image in pictures_.items() for (y, x), v in resampled(image, *sizes[k], width, height).items()}
+    assert {(r.k, r.y, r.x): r.v for r in got} == {k: v if v is None else pytest.approx(v) for k, v in want.items()} and len(got) == len(want)
+
+
+def test_upsample_broadcasts_nothing(spark, tmp_path):
+    """Pixels of many pictures go through one exchange, by picture; the plan that runs has no join, whatever is estimated."""
+    spark.range(3000).selectExpr("id AS vec_id", "transform(sequence(1, 64), k -> cast(k + id AS float)) AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = registry.upsample(spark, str(tmp_path))
+    assert found.agg(F.count("*"), F.count("v")).first() == (3000 * 143, 3000 * 143)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert "Join" not in plan and "Broadcast" not in plan and final.count("Exchange hashpartitioning") == 1
+
+
+def test_upsample_of_odd_vectors(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, [float(k) for k in range(64)]), (2, None), (3, []), (4, [1.0, 2.0]), (5, [float(k) for k in range(80)]), (6, [None] * 63 + [1.0]), (7, [1.0] * 63 + [inf]), (8, [nan] + [0.5] * 63), (None, [2.0] * 64), (9, [1.0] * 64), (9, [0.25] * 64)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    embeddings = duckdb.read_parquet(f"{tmp_path}/embeddings.parquet/*.parquet")  # noqa: F841  (the SQL reads it)
+    got = [tuple(r) for r in registry.upsample(spark, str(tmp_path)).select("vec_id", "y", "x", "v").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, duckdb.sql(registry.ORACLE_SQL["upsample"]).fetchall()))
+
+
 def jpeg(*parts):
     return b"\xff\xd8" + b"".join(bytes([0xFF, m]) + struct.pack(">H", len(b) + 2) + b for m, b in parts) + b"\xff\xd9"
 
