@@ -110,11 +110,12 @@ def half_up(x: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """Decimal units to terabytes; no digit for plain bytes and from 100 on, else one; thousands are grouped."""
+    """Decimal units to terabytes; no digit for plain bytes and from 100 on, else one; thousands are grouped. Any numeric column; figures beyond a long are decimals."""
     cases = F.lit(None).cast("string")
+    whole = lambda x: F.when(x < 2.0**53, half_up(x).cast("double")).otherwise(x)  # noqa: E731  (from there on doubles are whole, and may exceed a long)
     for k, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
         value = (n / F.lit(1000.0**k)).cast("double")
-        shown = F.when((F.lit(k) == 0) | (value >= 100), F.format_number(half_up(value).cast("double"), 0)).otherwise(F.format_number(half_up(value * 10) / 10, 1))
+        shown = F.when((F.lit(k) == 0) | (value >= 100), F.format_number(whole(value), 0)).otherwise(F.format_number(half_up(value * 10) / 10, 1))
         shown = F.concat(shown, F.lit(" " + unit))
         cases = F.when(n >= F.lit(1000.0**k), shown).otherwise(cases) if k else shown
     return cases

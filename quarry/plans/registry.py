@@ -132,7 +132,7 @@ def memory_cost(spark, d):
 @query("""WITH s AS (SELECT o_orderkey, o_orderkey * pow(10, o_orderkey % 14)::BIGINT AS n FROM orders), t AS (SELECT *, CASE WHEN n >= 1e12 THEN 4 WHEN n >= 1e9 THEN 3 WHEN n >= 1e6 THEN 2 WHEN n >= 1000 THEN 1 ELSE 0 END AS i FROM s), u AS (SELECT *, n / pow(1000.0, i) AS v FROM t)
 SELECT o_orderkey, CASE WHEN i = 0 OR v >= 100 THEN format('{:,}', floor(v + 0.5)::BIGINT) ELSE printf('%.1f', floor(v * 10 + 0.5) / 10) END || (['' , 'K', 'M', 'G', 'T'])[i + 1] || 'B' AS shown FROM u""".replace("|| (['' ,", "|| ' ' || (['',"))
 def size_format(spark, d):
-    n = F.col("o_orderkey") * F.pow(F.lit(10), F.col("o_orderkey") % 14).cast("long")
+    n = F.col("o_orderkey").cast("decimal(20,0)") * F.pow(F.lit(10), F.col("o_orderkey") % 14).cast("decimal(18,0)")  # exact; a long would overflow from key 922337 on
     return table(spark, d, "orders").select("o_orderkey", S.human_bytes(n).alias("shown"))
 
 

@@ -3,6 +3,7 @@ import struct
 import unicodedata
 import zipfile
 import zlib
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import rules as D, scalars as S
 from quarry.operators import engines, packages, pictures, relational as R
-from quarry.plans import files
+from quarry.plans import files, registry
 from quarry.sources import archives
 
 
@@ -50,6 +51,22 @@ def test_sizes_beyond_terabytes(spark):
     assert values(spark, S.human_bytes(F.col("n")), [(1_234_567_000_000_000,), (999_949,), (1_000_000_000_000,)], "n long") == ["1,235 TB", "1,000 KB", "1.0 TB"]
 
 
+def test_sizes_beyond_a_long(spark, tmp_path):
+    """Keys from 922337 on make sizes that no long holds; the others are held against the SQL, which stops at such a key."""
+    assert values(spark, S.human_bytes(F.col("n")), [(Decimal(n),) for n in (10**19, 92_233_700 * 10**12, 10**36, 2**63)] + [(None,)], "n decimal(38,0)") == ["10,000,000 TB", "92,233,700 TB", "1,000,000,000,000,000,000,000,000 TB", "9,223,372 TB", None]
+    keys = [0, 1, 13, 27, 922_319, 922_333, 1_064_349, 8_999_983, 8_999_997, 8_999_999, 2**53 + 9, 2**63 - 1, 2**63 - 8, -1, -13, -14, -1_400_000, None]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.o_orderkey: r.shown for r in registry.size_format(spark, str(tmp_path)).collect()}
+    assert got.keys() == set(keys)
+    duckdb = pytest.importorskip("duckdb")
+    large = [k for k in keys if k and k > 0 and k * 10 ** (k % 14) >= 2**63]
+    orders = duckdb.read_parquet(f"{tmp_path}/orders.parquet/*.parquet").filter(f"o_orderkey IS NULL OR o_orderkey NOT IN ({', '.join(map(str, large))})")  # noqa: F841  (the SQL reads it)
+    said = dict(duckdb.sql(registry.ORACLE_SQL["size_format"]).fetchall())
+    assert len(said) == len(keys) - len(large) and {k: got[k] for k in said} == said
+    digits = lambda k: k * 10 ** (k % 14) / 10**12
+    assert len(large) >= 4 and all(float(got[k].removesuffix(" TB").replace(",", "")) == pytest.approx(digits(k), rel=1e-15, abs=0.5) for k in large)
+
+
 def test_memory_cost_by_format(spark):
     rows = [("compress", "image", "png", 10, None, None), ("compress", "image", "webp", 10, 100, 100), ("compress", "other", "", 10, None, None), ("compress", "image", "png", 10, 1600, 1200)]
     got = values(spark, S.memory_cost(*(F.col(c) for c in "abcdef")), rows, "a string, b string, c string, d long, e int, f int")
